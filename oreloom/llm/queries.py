@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality import op5
 from .repacking import op10
+from .simhash import op6
 from .token_packing import pack_tokens
 
 
@@ -18,12 +20,20 @@ def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5(_table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6(_table(spark, sf_dir, "documents"))
+
+
 def op10_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_packing, op10_repacking)}
+    return {f.__name__: f for f in (op2_token_packing, op5_quality, op6_simhash, op10_repacking)}
 
 
 def oracle_sql() -> dict[str, str]:
