@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op9
 from .quality import op5
 from .repacking import op10
 from .simhash import op6
@@ -28,12 +29,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6(_table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9(_table(spark, sf_dir, "documents"))
+
+
 def op10_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_packing, op5_quality, op6_simhash, op10_repacking)}
+    return {f.__name__: f for f in (op2_token_packing, op5_quality, op6_simhash, op9_language, op10_repacking)}
 
 
 def oracle_sql() -> dict[str, str]:
