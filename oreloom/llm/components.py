@@ -34,6 +34,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``root`` is the least node of the component.  Self-loops give a component of their
     own node, rows with a null end are dropped, direction and repeats don't matter.
     """
+    edges = materialise(edges.select("a", "b"), "links")
     alone = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
     now = materialise(
         edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
