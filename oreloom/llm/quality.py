@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import let
 from .rows import chunks
 from .storage import bounded_rows, materialise
 
@@ -103,11 +104,16 @@ def assess(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE,
     small = bounded_rows(found, BROADCAST_LINES) is not None
     rows = docs.select(F.struct("*").alias("row")).withColumn("host", F.coalesce(F.col("row.source").cast("string"), F.lit("")))
     rows = rows.join(F.broadcast(by_host) if small else by_host, "host", "left")
-    lines = F.split("row.text", "\n")
-    hit = F.array_intersect(F.transform(lines, _line_hash), "removed")
-    rows = rows.select("row", lines.alias("lines"), hit.alias("hit"))
-    kept_lines = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("hit", _line_hash(x)), F.lit(False)))
-    rows = rows.select("row", F.when(F.size("hit") > 0, F.array_join(kept_lines, "\n")).alias("cleaned"))
+    held = F.struct(F.split("row.text", "\n").alias("lines"), F.col("removed").alias("removed"))
+
+    def strip(held: Column) -> Column:
+        def without(hit: Column) -> Column:
+            left = F.filter(held["lines"], lambda x: ~F.coalesce(F.array_contains(hit, _line_hash(x)), F.lit(False)))
+            return F.when(F.size(hit) > 0, F.array_join(left, "\n"))
+
+        return let(F.array_intersect(F.transform(held["lines"], _line_hash), held["removed"]), without)
+
+    rows = rows.select("row", let(held, strip).alias("cleaned"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
