@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op9
+from .pii import op1
 from .quality import op5
 from .repacking import op10
 from .simhash import op6
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_packing, op5_quality, op6_simhash, op9_language, op10_repacking)}
+    return {f.__name__: f for f in (op1_pii, op2_token_packing, op5_quality, op6_simhash, op9_language, op10_repacking)}
 
 
 def oracle_sql() -> dict[str, str]:
