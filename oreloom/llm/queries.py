@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op8
 from .language import op9
 from .pii import op1
 from .quality import op5
@@ -34,6 +35,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6(_table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8(_table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_packing, op5_quality, op6_simhash, op9_language, op10_repacking)}
+    return {f.__name__: f for f in (op1_pii, op2_token_packing, op5_quality, op6_simhash, op8_byte_bpe, op9_language, op10_repacking)}
 
 
 def oracle_sql() -> dict[str, str]:

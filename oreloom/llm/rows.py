@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,3 +32,14 @@ def task_base() -> int:
     """First of 2^33 row numbers that no other task of the stage uses."""
     context = TaskContext.get()
     return (context.partitionId() if context else 0) << 33
+
+
+def per_worker(key: tuple, make: Callable[[], object]):
+    """``make()``, once per Python worker process and key: tasks that follow reuse it.
+
+    For encoders, whose memory is bounded and whose results don't depend on what they saw.
+    """
+    held = sys.modules.setdefault("_oreloom_worker", types.ModuleType("_oreloom_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
