@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binpack import best_fit_decreasing, lower_bound
-from .rows import chunks, task_base
+from .rows import chunks, per_worker, task_base
 from .storage import materialise
 from .word_tokens import WordEncoder
 
@@ -44,7 +44,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
     """(uid, doc_id, piece, start, length, ids_crc32) of each document's pieces; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, uid, end, step = WordEncoder(path), task_base(), END_ID.to_bytes(4, "little"), 4 * capacity
+        encoder, uid, end, step = per_worker((WordEncoder.__name__, path), lambda: WordEncoder(path)), task_base(), END_ID.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: tuple[list, ...] = ([], [], [], [], [], [])
