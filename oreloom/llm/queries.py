@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op8
+from .kmeans_tree import op4
 from .language import op9
 from .pii import op1
 from .quality import op5
 from .repacking import op10
 from .simhash import op6
 from .token_packing import pack_tokens
+from .urls import op7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,10 @@ def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +41,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6(_table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7(_table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +58,7 @@ def op10_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_packing, op5_quality, op6_simhash, op8_byte_bpe, op9_language, op10_repacking)}
+    return {f.__name__: f for f in (op1_pii, op2_token_packing, op4_kmeans_tree, op5_quality, op6_simhash, op7_urls, op8_byte_bpe, op9_language, op10_repacking)}
 
 
 def oracle_sql() -> dict[str, str]:
