@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op8
 from .kmeans_tree import op4
 from .language import op9
+from .licenses import scan_licenses
 from .pii import op1
 from .quality import op5
 from .repacking import op10
@@ -29,6 +30,10 @@ def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4(_table(spark, sf_dir, "embeddings"))
 
@@ -58,7 +63,7 @@ def op10_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_packing, op4_kmeans_tree, op5_quality, op6_simhash, op7_urls, op8_byte_bpe, op9_language, op10_repacking)}
+    return {f.__name__: f for f in (op1_pii, op2_token_packing, op3_licenses, op4_kmeans_tree, op5_quality, op6_simhash, op7_urls, op8_byte_bpe, op9_language, op10_repacking)}
 
 
 def oracle_sql() -> dict[str, str]:

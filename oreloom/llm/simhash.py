@@ -193,5 +193,18 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return own.join(linked.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Documents in their own columns, of each component the one with the smallest doc_id.
+
+    Rows that repeat its doc_id and text are one document; rows with a null doc_id can't
+    be told apart and stay.
+    """
+    found = simhash_components(docs, distance).where(F.col("doc_id") == F.col("component_id"))
+    kept = materialise(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
 def op6(docs: DataFrame) -> DataFrame:
     return simhash_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
