@@ -41,5 +41,6 @@ def document(rows: DataFrame, generated_at: Column) -> DataFrame:
 
     Collects all entries into one value; a registry file is one document by nature.
     """
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("skill_id", F.struct(*(c for c in rows.columns)).alias("e")))).alias("s"))
-    return listed.select(F.to_json(F.struct(F.lit(1).alias("version"), generated_at.alias("generated_at"), F.col("s.e").alias("skills")), {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
+    by_id = lambda a, b: F.when(a["skill_id"] < b["skill_id"], -1).when(a["skill_id"] > b["skill_id"], 1).otherwise(0)
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns)), by_id).alias("skills"))
+    return listed.select(F.to_json(F.struct(F.lit(1).alias("version"), generated_at.alias("generated_at"), "skills"), {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))

@@ -84,10 +84,14 @@ def check_python(text: str, entry: str | None) -> tuple[list[str], list[str]]:
     return errors, sorted(findings)
 
 
-@F.udf("struct<errors:array<string>,findings:array<string>>", useArrow=True)
-def _python_check(text: str | None, entry: str | None):
-    errors, findings = check_python(text or "", entry)
-    return {"errors": errors, "findings": findings}
+def _python_check(text: str, entry: str) -> Column:
+    """struct(errors, findings) of script columns, parsed in Arrow batches."""
+
+    def check(text: str | None, entry: str | None) -> dict:
+        errors, findings = check_python(text or "", entry)
+        return {"errors": errors, "findings": findings}
+
+    return F.udf(check, "struct<errors:array<string>,findings:array<string>>", useArrow=True)(text, entry)
 
 
 def predicted_help_failure() -> Column:

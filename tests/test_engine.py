@@ -1,0 +1,507 @@
+"""Expectations of the engine on small inputs."""
+
+import json
+import re
+import subprocess
+import sys
+import textwrap
+from pathlib import Path
+
+import pandas as pd
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from oreloom.functions import dims, text
+from oreloom.operators import agent, bundle, data, decide, dependencies, document, extract, registry, script, validate
+from oreloom.operators.components import connected_components
+from oreloom.plans.mining import mine_files, mine_tree
+from oreloom.plans.sink import install, write_registry, write_skills
+from oreloom.sources import scan
+from oreloom.streaming.limits import grant, registry_stream, token_bucket, token_bucket_stream
+
+CLASS = '''\
+import math
+from os import path as p
+
+class Runner:
+    @decorator
+    def run(self, value: int = 1, /, *, flag: bool = True, **rest) -> str:
+        """Run it."""
+        return str(value)
+
+    async def later(self, *args):
+        def inner():
+            pass
+        return inner
+'''
+JAVA = """\
+package demo;
+import java.util.List;
+import java.util.Map;
+
+public class Box {
+    /**
+     * Joins parts.
+     */
+    @Named("x")
+    public List<String> join(int n) throws Exception {
+        String s = "}{";
+        return null;
+    }
+    Box() { }
+}
+"""
+PAIRS = '''\
+"""Pairs."""
+import json
+
+def find_pairs(edges: list, limit: int = 3, name: str = "x") -> list:
+    """Find pairs in edges."""
+    out = []
+    for edge in edges:
+        out.append(list(edge))
+    return out[:limit]
+'''
+
+
+def one(spark, expression, **columns):
+    schema = ", ".join(f"{k} {'binary' if isinstance(v, bytes) else 'string'}" for k, v in columns.items()) or "x int"
+    return spark.createDataFrame([tuple(columns.values()) or (1,)], schema).select(expression.alias("r")).first()["r"]
+
+
+def files(spark, **sources):
+    return spark.createDataFrame([(k.replace("__", "/").replace("_dot_", "."), v, None) for k, v in sources.items()], "path string, text string, error string")
+
+
+# --- text ---
+
+ODD = st.text(alphabet=st.sampled_from(list("ab Z9-_.#\n\r\t\x0b\x0c\x1c\x1f\x85\xa0  　éß")), max_size=25)
+
+
+@given(st.lists(ODD, min_size=1, max_size=40))
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_text_functions_equal_python(spark, texts):
+    def slug(x):
+        x = re.sub("[^a-z0-9]+", "-", "".join(c.lower() if c.isascii() else c for c in x)).strip("-") or "generated-skill"
+        return x[:10].strip("-")
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    ascii_lower = F.translate("t", "ßé", "--")
+    rows = df.select("i", text.strip("t").alias("strip"), text.lines("t").alias("lines"), text.slugify(ascii_lower, 10).alias("slug"), text.normalise_spaces("t").alias("flat")).collect()
+    for r in rows:
+        t = texts[r.i]
+        assert r.strip == t.strip() and r.lines == t.splitlines() and r.flat == re.sub(r"\s+", " ", t).strip()
+        assert r.slug == slug(t.replace("ß", "-").replace("é", "-"))
+
+
+def test_names_and_ids(spark):
+    for path in ("a/b.py", "x/.hidden", "y/Makefile", "a.b/c.tar.gz", "noext", "d/e."):
+        assert one(spark, text.suffix("p"), p=path) == Path(path).suffix and one(spark, text.stem("p"), p=path) == Path(path).stem
+    assert one(spark, text.title_words(F.col("p")), p="foo2bar it's X_y-z") == "foo2bar it's X_y-z".title()
+    made = one(spark, text.node_id(F.col("p"), F.lit(0), F.lit(9), F.lit("n")), p="a.py")
+    assert re.fullmatch(r"a\.py:0-9:n:[0-9a-f]{12}", made)
+    assert one(spark, text.slugify("p"), p="---") == "generated-skill" and one(spark, text.slugify("p"), p="A" * 99) == "a" * 64
+
+
+# --- scan ---
+
+
+def test_scan_tree(spark, tmp_path):
+    for name, content in {"a/b.py": b"x = 1\n", "a-b.py": b"y", "c.R": b"z", "run": b"#!/usr/bin/env node\n1", "nul": b"#!\0", "notes.zzz": b"n", "bad.js": b"\xff", "empty.go": b" \n", "plain": b"no"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    found = scan.decode(scan.scan_tree(spark, str(tmp_path)))
+    rows = {r.path: r for r in found.collect()}
+    assert set(rows) == {"a/b.py", "a-b.py", "c.R", "run", "bad.js", "empty.go"}
+    assert rows["bad.js"].error == "not UTF-8" and rows["empty.go"].error == "empty source" and rows["run"].error is None
+    assert [r.path for r in scan.ordered(found).collect()][:2] == ["a/b.py", "a-b.py"]
+    kinds = {r.path: (r.language, r.runtime_hint) for r in scan.with_runtime(found.where("error is null")).collect()}
+    assert kinds["run"] == ("javascript", "node") and kinds["c.R"] == ("r", "Rscript") and kinds["a-b.py"] == ("python", "python")
+    listed = [r.entry for r in scan.list_workspace(spark, str(tmp_path), 3).collect()]
+    assert listed[0] == "a-b.py" and listed[1] == "a/" and listed[-1] == "... 7 more"
+
+
+def test_scan_pieces(spark):
+    assert one(spark, scan.safe_relative_path(F.col("p"), "/r"), p="/r/a/b.py") == "a/b.py"
+    assert one(spark, scan.safe_relative_path(F.col("p"), "/r"), p="/other/x.py") == "x.py"
+    assert one(spark, scan.safe_relative_path(F.col("p"), "/r"), p="/r/../x.py") is None
+    assert one(spark, scan.read_workspace_text(F.col("p"), 3), p=b"ab\xffcd").startswith("ab�\n...[truncated")
+    versions = spark.createDataFrame([("#!/usr/bin/python3.11\n", "s"), ("#!", "t"), ("#!/bin/sh -e", "u"), ("#!/usr/bin/env -S python3", "v")], "text string, path string")
+    assert {r.path: r.language for r in scan.with_runtime(versions).collect()} == {"s": "generic", "t": "generic", "u": "shell", "v": "python"}
+
+
+# --- extraction ---
+
+
+def test_python_nodes(spark):
+    rows = {r.name: r for r in extract.python_nodes(files(spark, m_dot_py=CLASS)).collect()}
+    assert list(rows) == ["run", "later", "inner"]
+    run = rows["run"]
+    assert run.signature == "def run(self, value: int = 1, /, *, flag: bool = True, **rest) -> str"
+    assert run.scope_path == ["Runner"] and run.annotations == ["@decorator"] and run.docstring == "Run it." and run.bound and run.has_varargs
+    assert run.imports == ["import math", "from os import path as p"] and run.start_line == 5 and run.end_line == 8
+    assert run.raw_code.encode() == CLASS.encode()[run.start_byte : run.end_byte] and run.raw_code.startswith("    @decorator")
+    assert rows["later"].is_async and rows["inner"].scope_path == ["Runner", "later"]
+    assert rows["inner"].bound and not rows["inner"].bundle_bound and rows["inner"].only_pass
+    broken = extract.python_nodes(files(spark, b_dot_py="def x(", e_dot_py="x = 1")).collect()
+    assert [r.error[:11] for r in broken] == ["SyntaxError"]
+
+
+def test_java_nodes(spark):
+    rows = {r.name: r for r in extract.java_nodes(files(spark, B_dot_java=JAVA)).collect()}
+    join = rows["join"]
+    assert join.docstring == "Joins parts." and join.annotations == ['@Named("x")'] and join.dependencies == ["java.util.List"]
+    assert join.signature == "public List<String> join(int n) throws Exception" and join.scope_path == ["Box"] and join.node_type == "method"
+    assert join.raw_code.rstrip().endswith("return null;\n    }") and rows["Box"].node_type == "constructor"
+    assert join.start_line == 6 and join.end_line == 13
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [("\n// a\n//  b */\nx", "a b"), ("x\n# a", None), ("# a\n\n# b", "a"), ("#!/usr/bin/env x\n", "!/usr/bin/env x"), ("/* a\n * b\n */\nx", "a b"), ("#\n# a", "a"), ("", None), ("\n" * 12 + "# a", None)],
+)
+def test_leading_comment(spark, source, want):
+    assert one(spark, extract.leading_comment("p"), p=source) == want
+
+
+def test_generic_imports(spark):
+    assert one(spark, extract.generic_imports("p"), p="from b import c\n  import a\nimport a\nuse x;\rimport z\nimportant") == ["import a", "from b import c", "use x;\rimport z"]
+
+
+def test_generic_node(spark):
+    node = extract.generic_nodes(scan.with_runtime(files(spark, app__my_dot_tool_dot_js="// Helps.\nfunction f() {}\n"))).first()
+    assert (node.language, node.node_type, node.name, node.docstring, node.end_line) == ("javascript", "file", "my_tool", "Helps.", 3)
+    assert node.signature == "JavaScript source file my.tool.js"
+
+
+# --- dependencies and decisions ---
+
+
+def test_import_classes(spark):
+    sources = {"pkg__m_dot_py": "import json, os\nfrom helper import x\nfrom . import y\nimport numpy as np\nfrom .json import z\ndef f(a: int) -> int:\n    b = a\n    return b\n", "helper_dot_py": "x = 1"}
+    nodes = extract.python_nodes(files(spark, **sources)).where("error is null")
+    got = dependencies.with_dependencies(nodes, files(spark, **sources).select("path")).first()
+    assert got.stdlib_imports == ["import json, os", "from .json import z"] and got.internal_imports == ["from helper import x"] and got.pip_imports == ["import numpy as np"]
+    assert one(spark, dependencies.dependency_names(F.array(F.lit("import NumPy as n"), F.lit("from numpy import x"), F.lit("x")))) == ["numpy"]
+    blocks = dependencies.internal_blocks(nodes, files(spark, **sources)).collect()
+    assert [(b.path, b.block) for b in blocks] == [("helper.py", "x = 1")]
+
+
+@pytest.mark.parametrize("line, root", [('import x from "@scope/pkg";', "scope"), ("using System.Text;", "System"), ("import './util'", None), ("package a.b", "a"), ("require fs", "fs"), ("???", None)])
+def test_generic_roots(spark, line, root):
+    assert one(spark, dependencies.root_module(F.col("p"), F.lit("generic")), p=line) == root
+
+
+def test_coupling_and_effects(spark):
+    code = "a reaction in Flask; os.environ; config.x; self.y; reopen( ; shutil.rmtree(z)"
+    labels = one(spark, dependencies.coupling(F.col("p"), F.array(F.lit("import Django"))), p=code)
+    assert labels == [dims.FRAMEWORKS[0][1], dims.FRAMEWORKS[1][1], dims.FRAMEWORKS[9][1], dims.ENVIRONMENT, dims.SETTINGS, dims.INSTANCE]
+    assert one(spark, dependencies.side_effects(F.col("p")), p=code) == ["uses filesystem open", "deletes directory trees"]
+
+
+def test_decision_ladder(spark):
+    sources = {
+        "a_dot_py": "def _p(x):\n    return 1\n", "b_dot_py": "async def f(x):\n    return x\n", "c_dot_py": "def f(*a):\n    return a\n", "d_dot_py": CLASS.split("    async")[0].replace(", **rest", ""),
+        "e_dot_py": "def f(x):\n    return flask.x(x)\n", "g_dot_py": "import os\ndef f(x):\n    os.remove(x)\n    return 1\n", "h_dot_py": "def f(x):\n    return x\n", "graph__i_dot_py": PAIRS,
+        "k_dot_py": "def skill_x(a):\n    '''Doc.'''\n    b = a\n    return b\n", "z_dot_js": "x = 1",
+    }
+    mined = mine_files(files(spark, **sources))
+    rows = {r.file_path: r for r in mined.decisions.collect()}
+    starts = {"a.py": "private", "b.py": "async", "c.py": "varargs", "d.py": "class-bound", "e.py": "business coupling detected: depends on Flask", "g.py": "unsafe or hard-to-sandbox side effects detected: deletes", "h.py": "function is too trivial", "k.py": "skill_id", "z.js": "function is too trivial"}
+    for path, start in starts.items():
+        assert rows[path].reason.startswith(start) and rows[path].decision == "skip" and rows[path].skill_id is None and rows[path].coupling_score == 1.0
+    good = rows["graph/i.py"]
+    assert (good.decision, good.skill_id, good.source, good.tags) == ("extract", "find-pairs", "graph.i.find_pairs", ["find", "pairs", "graph"]) and good.reusable_boundary_score == 0.85
+    assert {r.node_id for r in mined.skipped.collect()} == {r.node_id for r in rows.values() if r.decision == "skip"}
+
+
+def test_tags(spark):
+    assert one(spark, decide.tags(F.lit("get_set"), F.lit(None).cast("string"))) == ["utility"]
+    assert one(spark, decide.tags(F.lit("a_a_b_c_d_e_f_g_h"), F.lit("table.py"))) == list("abcdefg")
+
+
+# --- scripts, documents, packages ---
+
+
+def test_python_package_runs(spark, tmp_path):
+    package = mine_files(files(spark, graph__pairs_dot_py=PAIRS)).packages.first()
+    assert package.filename == "find_pairs.py" and package.example_command == "python scripts/find_pairs.py --edges-json '{}' --limit '10' --name 'sample' --output json"
+    assert [(p.flag, p.value_type, p.required, p.default) for p in package.cli_arguments] == [("--edges-json", "json", True, None), ("--limit", "int", False, "3"), ("--name", "str", False, '"x"')]
+    path = tmp_path / package.filename
+    path.write_text(package.script_text)
+    shown = subprocess.run([sys.executable, str(path), "--help"], capture_output=True, text=True, timeout=30)
+    assert shown.returncode == 0 and "--edges-json" in shown.stdout
+    ran = subprocess.run([sys.executable, str(path), "--edges-json", '[["a","b"],["c","d"]]', "--limit", "1"], capture_output=True, text=True, timeout=30)
+    assert json.loads(ran.stdout) == [["a", "b"]]
+    assert package.skill_md.startswith("---\nname: find-pairs\ndescription: 'Use when a task needs to find pairs in edges. Triggers on: find, pairs, graph.'\n---\n\n# Find Pairs\n")
+    assert "- `--limit` (optional, default: 3): int value for limit. Example: `10`." in package.instructions and '[["A","B"]' in package.instructions
+
+
+def test_java_and_script_packages(spark):
+    mined = mine_files(files(spark, Box_dot_java=JAVA.replace("Box() { }", ""), tool_dot_js="// Adds numbers.\nfunction add(a, b) {\n  return a + b;\n}\n"))
+    rows = {r.language: r for r in mined.packages.collect()}
+    assert rows["java"].filename == "Box.java" and rows["java"].runtime_hint == "java" and rows["java"].example_command == "javac scripts/Box.java && java -cp scripts Box"
+    assert rows["java"].entry_symbol == "join" and rows["java"].script_text == JAVA.replace("Box() { }", "").rstrip() + "\n"
+    assert rows["javascript"].example_command == "node scripts/tool.js" and "node scripts/tool.js" in rows["javascript"].skill_md
+    entries = {r.skill_id: r for r in mined.registry.collect()}
+    assert entries["join"].script == "join/scripts/Box.java" and entries["join"].source_span == {"start_line": 6, "end_line": 13} and entries["join"].status == "active"
+
+
+def test_bad_defaults_and_future_imports_are_left_out(spark):
+    body = "(x: bool = True) -> int:\n    '''Doc.'''\n    y = x\n    return y\n"
+    mined = mine_files(files(spark, a_dot_py="def f" + body, b_dot_py="from __future__ import annotations\n" + "def g" + body.replace(" = True", "")))
+    assert mined.packages.count() == 0 and {r.reason for r in mined.skipped.collect()} == {decide.INVALID}
+
+
+def test_example_commands(spark):
+    table = {r[0]: r[4] for r in dims.RUNTIMES} | {"generic": dims.GENERIC[4]}
+    made = lambda k, path, entry=None: one(spark, script.example_command(F.lit(table[k]), F.col("p"), F.lit(entry).cast("string")), p=path)
+    assert made("python", "scripts/a.py") == "python scripts/a.py --help" and made("c", "scripts/S.c") == "cc scripts/S.c -o skill-bin && ./skill-bin"
+    assert made("generic", "scripts/x", "go") == "sandbox-run --language generic --script scripts/x --entry go" and made("generic", "x").endswith("--entry main")
+    assert len(dims.RUNTIMES) == 26
+
+
+def test_python_script_rules():
+    errors, findings = validate.check_python("import shutil\ndef core_function(a): return eval(a)\nx = '/etc/x'\ny = 'c:\\\\z'\n", "core_function")
+    assert errors == ["missing main", "core_function argument missing type hint: a", "core_function missing return type hint"]
+    assert findings == ["banned import: shutil", "eval: dynamic eval is not allowed", validate.PATH_FOUND]
+    assert validate.check_python("def (", None)[0][0].startswith("syntax error:")
+
+
+def test_document_checks(spark):
+    good = "# T\n## Quick start\n1. a\n2. b\n## Scripts\n`scripts/x.py`\n## Inputs\nx\n## Output\nstdout, stderr\n## When to use\nUse when: a. Do not use when: b."
+    error = lambda x: one(spark, validate.document_error("p"), p=x)
+    assert error(good) is None
+    assert error(good.replace("2. b", "3. b")) == "Quick start steps must be numbered without gaps"
+    assert error(good.replace("2. b", "2) b")) == "Quick start steps must use '1.' numbering, not '1)'"
+    assert error(good.replace("\nx\n", "\nNone.\n")).startswith("SKILL.md body must omit") and error(good.replace("## Inputs", "")).endswith("content: ## Inputs")
+    assert error(good.replace("T", "é", 1)).endswith("ASCII text and punctuation only") and error(good.replace("stderr", "")).startswith("Output section")
+    numbering = lambda x: one(spark, validate.numbering_errors("p"), p=x)
+    assert numbering("no section") == [] and numbering("## Quick start\ntext") == ["instructions: Quick start must include numbered steps"]
+    assert numbering("## Quick start\n1) a\n3. b") == ["instructions: Quick start steps must use '1.' numbering, not '1)'", "instructions: Quick start steps must be numbered without gaps"]
+    body = "# T\n## Helper Scripts Available\nnone here\n## Quick Start\n1. Check I/O\n2. Do"
+    check = lambda x: one(spark, validate.instruction_error("p"), p=x)
+    assert check(body) is None and check(body.replace("2. Do", "3. Do")).endswith("without gaps") and check(body + "\nI do it") == check(body + "\nask us") == "instructions must avoid first-person phrasing"
+    assert one(spark, validate.description_error("p"), p="Use when x. Do not use when y.") is None
+
+
+def payload(spark, **changes):
+    base = {
+        "name": "good-name", "description": "Does it.", "scripts_dict": {"run.py": "x"}, "references_dict": {"r.md": "y"},
+        "instructions": "# T\n## Quick start\n1. Run scripts/run.py.\n## Scripts\n## Inputs\n## Output\n## When to use\nSee references/r.md.",
+    }
+    row = base | changes
+    df = spark.createDataFrame([tuple(row.values())], "name string, description string, scripts_dict map<string,string>, references_dict map<string,string>, instructions string")
+    return df.select(validate.payload_errors().alias("e")).first()["e"]
+
+
+def test_payload_errors(spark):
+    assert payload(spark) == []
+    text_ = "# T\n## Quick start\n1. a\n## Scripts\nscripts/run.py and references/gone.md.\n## Inputs\n## Output\n## When to use"
+    assert payload(spark, instructions=text_) == ["instructions: referenced file does not exist: references/gone.md"]
+    assert payload(spark, instructions=text_.replace("references/gone.md.", "").replace("scripts/run.py", "")) == ["instructions: must mention packaged script scripts/run.py"]
+    assert payload(spark, name="My claude " + "x" * 60) == ["name: must be 64 characters or fewer", "name: must match ^[a-z0-9-]+$", "name: must not contain reserved terms: claude"]
+    assert "scripts: ../x must be a safe filename" in payload(spark, scripts_dict={"../x": " "}) and "instructions: must be non-empty" in payload(spark, instructions=" ")
+
+
+def test_response_errors(spark):
+    error = lambda x: one(spark, validate.response_error("p", ("name",)), p=x)
+    body = lambda content: json.dumps({"choices": [{"message": {"content": content}}]})
+    assert error(body('{"name": 1}')) is None and error(body('{"name": 1, "b": 2}')) == "provider returned unexpected fields: b"
+    assert error(body("nope")) == "chat completion content was not strict JSON" and error('{"choices": []}') == "chat completion response missing choices"
+    assert [one(spark, validate.status_class(F.lit(s))) for s in (200, 404, 429, 503)] == ["ok", "rejected", "rate_limited", "transient"]
+
+
+# --- bundles ---
+
+
+def test_bundles(spark):
+    wipe = "import shutil\ndef wipe(path):\n    shutil.rmtree(path)\n"
+    sources = {"w_dot_py": wipe, "t_dot_py": "class R:\n    def build_title(self, project):\n        return project\n", "a_dot_py": "def add(left: int, right: int):\n    return left + right\n", "B_dot_java": JAVA}
+    nodes = extract.mine(scan.with_runtime(files(spark, **sources))).where("error is null").withColumn("slice_id", F.lit("s"))
+    found = bundle.findings(nodes)
+    assert [(f.rule_id, f.severity, f.line) for f in found.collect()] == [("python-delete-tree", "critical", 3)]
+    rows = {r.name: r for r in bundle.bundle(nodes, found).collect()}
+    assert rows["quarantined-wipe.md"].content.count("[critical] python-delete-tree at line 3: Recursive deletion") == 1
+    assert "# Python Source Reference: build_title" in rows["method-build-title.md"].content and "def build_title(self" in rows["method-build-title.md"].content
+    assert "# Java Source Reference" in rows["join.md"].content and "- java.util.List" in rows["join.md"].content
+    ran = subprocess.run([sys.executable, "-c", rows["add.py"].content, "--args-json", "[2, 3]"], capture_output=True, text=True, timeout=30)
+    assert ran.stdout.strip() == "5"
+    java = "class A {\n  void go() {\n    System.exit(1);\n    System.exit(2);\n    HttpClient c;\n  }\n}\n"
+    more = bundle.findings(extract.mine(scan.with_runtime(files(spark, A_dot_java=java))))
+    assert sorted((f.rule_id, f.line) for f in more.collect()) == [("java-http-auth-context", 2), ("java-system-exit", 3), ("java-system-exit", 4)]
+
+
+def test_unique_names_probe_for_free_numbers(spark):
+    rows = spark.createDataFrame([("g", i, n) for i, n in enumerate(["x.md", "x-2.md", "x.md", "x.md", "y.tar.md", "y.tar.md"])] + [("h", 0, "x.md"), ("h", 1, "x.md")], "g string, o int, candidate string")
+    got = {(r.g, r.o): r.unique_name for r in bundle.unique_names(rows, "g", "o").collect()}
+    assert [got[("g", i)] for i in range(6)] == ["x.md", "x-2.md", "x-3.md", "x-4.md", "y.tar.md", "y-2.tar.md"] and got[("h", 1)] == "x-2.md"
+
+
+# --- registry and sinks ---
+
+
+def test_upsert_and_sinks(spark, tmp_path):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "skill_id string, v int")
+    new = spark.createDataFrame([("b", 2, 1), ("b", 3, 2), ("c", 4, 0)], "skill_id string, v int, seq int")
+    assert {tuple(r) for r in registry.upsert(old, new).collect()} == {("a", 1), ("b", 3), ("c", 4)}
+    (tmp_path / "src" / "graph").mkdir(parents=True)
+    (tmp_path / "src" / "graph" / "pairs.py").write_text(PAIRS)
+    (tmp_path / "src" / "bad.py").write_text("def x(")
+    mined = mine_tree(spark, str(tmp_path / "src"))
+    out = tmp_path / "out"
+    write_skills(mined.packages, str(out))
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == ["find-pairs/SKILL.md", "find-pairs/scripts/find_pairs.py"]
+    assert [r.stage for r in mined.rejects.collect()] == ["parse"]
+    path = write_registry(mined.registry, str(out))
+    saved = json.loads(path.read_text())
+    assert saved["version"] == 1 and saved["skills"][0]["skill_id"] == "find-pairs" and saved["skills"][0]["validation"]["help_exit_code"] == 0
+    assert [r.skill_id for r in scan.read_registry(spark, str(path)).collect()] == ["find-pairs"] and scan.read_registry(spark, str(out / "gone.json")).count() == 0
+    with pytest.raises(Exception, match="FileExistsError"):
+        write_skills(mined.packages, str(out))
+    write_skills(mined.packages, str(out), overwrite=True)
+
+
+def test_install_brings_the_old_folder_back(tmp_path, monkeypatch):
+    old, new = tmp_path / "t", tmp_path / "n"
+    old.mkdir(), new.mkdir()
+    (old / "f").write_text("old")
+    real = Path.rename
+    monkeypatch.setattr(Path, "rename", lambda self, to: (_ for _ in ()).throw(OSError()) if self == new else real(self, to))
+    monkeypatch.setattr("shutil.copytree", lambda *a: (_ for _ in ()).throw(OSError()))
+    with pytest.raises(OSError):
+        install(new, old, overwrite=True, tries=2)
+    assert (old / "f").read_text() == "old"
+
+
+# --- data ---
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("e", "f"), ("f", "e"), ("a", None), *((f"p{i:03}", f"p{i + 1:03}") for i in range(200))], "a string, b string")
+    got = {r.node: r.root for r in connected_components(edges).collect()}
+    assert {k: got[k] for k in "abcdef"} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "e"} and {v for k, v in got.items() if k[0] == "p"} == {"p000"} and len(got) == 207
+
+
+def test_edges(spark):
+    rows = spark.createDataFrame([("a, b", '[["a","b"],["c"]]'), ("a,b,c", "nope"), (" ,b", "[]")], "edge string, edges string")
+    assert [tuple(r) for r in data.parse_edges(rows).collect()] == [("a", "b", None), (None, None, "edge must have two parts"), (None, None, "edge must have two parts")]
+    assert [tuple(r) for r in data.parse_json_edges(rows).collect()] == [("a", "b", None), (None, None, "edge must have two parts"), (None, None, "edge must have two parts")]
+
+
+def test_sequences(spark):
+    assert one(spark, data.gc_content("p"), p="gCAt") == 0.5 and one(spark, data.gc_content("p"), p="") == 0.0
+    assert one(spark, data.reverse_complement("p"), p="ATGC") == "GCAT" and one(spark, data.reverse_complement("p"), p="aXn") == "nXt"
+
+
+def test_json_summary(spark):
+    rows = spark.createDataFrame([('{"a": 1, "b": "2", "c": true, "d": null}',), ('{"a": 2.5, "b": " 4 "}',), ("[1]",), ("bad",)], "row string")
+    got = lambda **o: {r.column: (r.min, r.max, r["mean"]) for r in data.summarize_json(rows, "row", **o).collect()}
+    assert got() == {"a": (1.0, 2.5, 1.75)} and got(count_booleans=True)["c"] == (1.0, 1.0, 1.0)
+    assert got(allow_numeric_strings=True, exclude=["a"]) == {"b": (2.0, 4.0, 3.0)} and got(include=["z"]) == {}
+    with pytest.raises(ValueError):
+        data.summarize_json(rows, "row", include=["a"], exclude=["a"])
+
+
+# --- agent ---
+
+
+def test_history_and_backoff(spark):
+    turns = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c")], "conv_id int, turn int, text string")
+    assert [r.history for r in agent.history(turns).orderBy("turn").collect()] == [None, ["a"], ["a", "b"]]
+    assert one(spark, agent.backoff_schedule(7)) == [1, 2, 4, 8, 16, 30, 30]
+
+
+def test_arguments_and_commands(spark):
+    args = '{"input_json": {"value": 1}, "verbose": true, "quiet": false, "none": null, "ids": [1, 2], "rows_json": [1, 2], "n": 1.5, "s": "a b"}'
+    argv = one(spark, agent.named_arguments(F.col("p")), p=args)
+    assert argv == ["--input-json", '{"value":1}', "--verbose", "--ids", "1", "--ids", "2", "--rows-json", "[1,2]", "--n", "1.5", "--s", "a b"]
+    command = one(spark, agent.sandbox_command(F.lit("c"), F.lit("/w"), F.lit("skill"), F.lit("scripts/run.py"), F.array(F.lit("--x"))))
+    assert command[:5] == ["docker", "run", "--rm", "--name", "c"] and command[-3:] == ["python", "/workspace/skills/skill/scripts/run.py", "--x"] and command[command.index("--network") + 1] == "none"
+    rest, name = agent.split_output_file(F.col("m"))
+    row = spark.createDataFrame([({"a": "1", "output_file": "o.json"},)], "m map<string,string>").select(rest.alias("rest"), name.alias("name")).first()
+    assert row.rest == {"a": "1"} and row.name == "o.json"
+
+
+def test_results_and_guards(spark):
+    shown = lambda rc, out, err, late=False: one(spark, agent.format_result(F.lit(rc), F.lit(out), F.lit(err), F.lit(late)))
+    assert shown(0, " ok ", "") == "ok" and shown(2, "o", "e") == "Sandbox execution failed with exit code 2.\n\nstdout:\no\n\nstderr:\ne" and shown(0, "", "", True).startswith("Sandbox execution timed out")
+    path = lambda x: one(spark, agent.workspace_path("p"), p=x)
+    assert path("a/../b") == "/workspace/b" and path("../x") is None and path("/workspacex") is None and path(" ") == "/workspace"
+    assert one(spark, agent.completions_url("p"), p="https://h/v1/") == "https://h/v1/chat/completions" and one(spark, agent.schema_name("p"), p="A b!") == "A_b_"
+    said = one(spark, agent.messages(F.lit(" do "), F.lit("S"), F.lit("{}"), F.lit("sys")))
+    assert said[0].content.startswith("sys\nReturn exactly one") and said[1].content == "do\n\nRequired response schema name: S\nRequired JSON schema:\n{}"
+
+
+def test_model_calls_retry(spark):
+    rows = spark.createDataFrame([("1", "ok"), ("2", "fail")], "id string, body string").coalesce(1)
+
+    def transport(body):
+        if body == "fail":
+            raise RuntimeError("down")
+        return body.upper()
+
+    got = {r.id: (r.response, r.error) for r in agent.call_model(rows, transport, retries=1).collect()}
+    assert got == {"1": ("OK", None), "2": (None, "RuntimeError: down")}
+
+
+def test_contexts(spark):
+    nodes = extract.python_nodes(files(spark, m_dot_py=CLASS)).where("name = 'run'")
+    shown = nodes.select(document.node_context(20).alias("c")).first()["c"]
+    assert shown.startswith("Node: run\nLanguage: python\nType: function\nSignature: def run(") and "Scope: Runner\nDocstring: Run it.\nAnnotations: @decorator\n```python\n" in shown and "# ... truncated by" in shown
+    none = F.array().cast("array<string>")
+    sliced = nodes.withColumns({"slice_id": F.lit("s"), "title": F.lit("T"), "summary": F.lit(""), "source_files": F.array(F.lit("m.py")), "warnings": none, "references": F.create_map(F.lit("b"), F.lit("x"))})
+    assert document.slice_contexts(sliced).first()["context"].startswith("# Capability Slice: T\n\nSlice ID: s\n\nSource files: m.py\n\nReferences:\n\n- b\n\nExtracted nodes:\n\nNode: run\n")
+
+
+# --- streams ---
+
+
+def test_token_bucket(spark, tmp_path):
+    rows = [("c", i, 0.0, 1.0) for i in range(5)] + [("c", 9, 0.0, 99.0), ("d", 1, 5.0, 2.0)]
+    requests = spark.createDataFrame(rows, "client string, request_id long, arrival double, tokens double")
+    got = {(r.client, r.request_id): r for r in token_bucket(requests, 3.0).collect()}
+    assert [got[("c", i)].wait for i in range(5)] == [0.0, 0.0, 0.0, 20.0, 40.0] and got[("c", 9)].error == "requested tokens exceed bucket capacity" and got[("d", 1)].granted == 5.0
+    first, level, at = grant(pd.DataFrame(rows[:4], columns=["client", "request_id", "arrival", "tokens"]), 3, 0.05, 3, 0)
+    assert (level, at) == (0, 20.0) and len(first) == 4
+    requests.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = token_bucket_stream(spark.readStream.schema(requests.schema).parquet(f"{tmp_path}/in"), 3.0)
+    q = stream.writeStream.format("memory").queryName("granted").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("granted").where("client = 'c'").agg(F.max("wait")).first()[0] == 40.0
+
+
+def test_registry_stream(spark, tmp_path):
+    schema = "skill_id string, v int, seq long"
+    for part, rows in enumerate(([("a", 1, 1), ("b", 1, 2)], [("a", 2, 5)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        registry_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/r", f"{tmp_path}/c").awaitTermination(120)
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/r/v2").select("skill_id", "v").collect()} == {("a", 2), ("b", 1)}
+
+
+# --- the driver's contract ---
+
+
+def test_entry_without_llm(tmp_path):
+    """With the llm folders gone everything else imports, and its queries are registered."""
+    root = Path(__file__).resolve().parents[1]
+    code = """
+        import importlib.util, sys
+        sys.path.insert(0, {root!r})
+        find = importlib.util.find_spec
+        importlib.util.find_spec = lambda name, *a: None if name in ("oreloom.llm", "corpus_pipeline") else find(name, *a)
+        import __spark_entry__ as e
+        q, o = e.queries(), e.oracle_sql()
+        assert "scan_runtime_profile" in q and "pipeline" not in q and not [n for n in q if n.startswith("op")] and set(o) <= set(q)
+        assert not [m for m in sys.modules if m.startswith("oreloom.llm")]
+    """
+    subprocess.run([sys.executable, "-c", textwrap.dedent(code).format(root=str(root))], check=True, timeout=120, cwd=tmp_path)
+
+
+def test_all_python_of_the_engine_keeps_away_from_llm():
+    root = Path(__file__).resolve().parents[1] / "oreloom"
+    for path in root.rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert not re.search(r"(?:from|import)\s+\S*\bllm\b", path.read_text())
