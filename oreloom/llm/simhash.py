@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.components import connected_components
 from .rows import chunks
-from .storage import bounded_rows, materialise
+from ..plans.storage import bounded_rows, materialise
 
 SHINGLE = 4
 DISTANCE = 4
@@ -201,9 +201,11 @@ def keep_representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     """
     found = simhash_components(docs, distance).where(F.col("doc_id") == F.col("component_id"))
     kept = materialise(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    # the ids grow with the documents, so they are never broadcast
+    of = lambda ids: docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    out = of(kept.where("n = 1")).unionByName(docs.where(F.col("doc_id").isNull()))
+    again = kept.where("n > 1")
+    return out.unionByName(of(again).dropDuplicates(["doc_id", "text"])) if bounded_rows(again, 0) is None else out
 
 
 def op6(docs: DataFrame) -> DataFrame:

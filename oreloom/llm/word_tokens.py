@@ -20,7 +20,7 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9
 class WordEncoder:
     """``encode_bytes(texts)``: each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str | None = None, most_words: int = 400_000):
+    def __init__(self, path: str | None = None, most_words: int = 250_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
