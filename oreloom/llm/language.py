@@ -174,7 +174,7 @@ def segments(text: str) -> list[bytes]:
 class Labeller:
     """Predicts texts; remembers the sums of up to ``most`` distinct words."""
 
-    def __init__(self, model: ByteGRU, most: int = 300_000):
+    def __init__(self, model: ByteGRU, most: int = 200_000):
         self.model, self.most = model, most
         self._forget()
 
@@ -192,7 +192,7 @@ class Labeller:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         k, languages, out = len(self.model.languages), self.model.languages, []
-        split = [segments(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
+        split = [segments(t) if languages and t and any(map(str.isalpha, t)) else [] for t in texts]
         unknown = set().union(*split).difference(self.index) if split else set()
         if len(self.index) + len(unknown) > self.most:
             self._forget()

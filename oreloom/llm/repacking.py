@@ -3,8 +3,9 @@
 Method: pieces are dealt at random into groups of bounded size and packed by best-fit
 decreasing.  A dual-feasible-function lower bound certifies each group whose bin count
 meets it.  Groups with a gap give up all their unfilled bins, certified groups their
-least filled one; the pieces so released are dealt into fewer groups and packed again,
-until one group holds them all or a round saves nothing.
+least filled one and those under ``OPEN_FILL`` full, which other groups' pieces might
+fill; the pieces so released are dealt into fewer groups and packed again, until one group
+holds them all or a round saves nothing.
 
 Only lengths travel: texts are read once, ids reduced to lengths and checksums.  Pieces
 that fill a row are rows already and are never shuffled.
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .binpack import best_fit_decreasing, lower_bound
 from .rows import chunks, per_worker, task_base
-from .storage import materialise
+from ..plans.storage import materialise
 from .word_tokens import WordEncoder
 
 CAPACITY = 4096
 #: Rows' worth of tokens in a group; a group is one task's work of about a second.
 GROUP_ROWS = 4096
 END_ID = 1
+#: A bin less full than this is open to pieces of other groups, certified or not.
+OPEN_FILL = 0.9
 
 _PIECE = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -82,7 +85,7 @@ def _round(pieces: DataFrame, tokens: int, capacity: int, group_rows: int, numbe
     return materialise(dealt.groupBy("grp").applyInArrow(_pack_group(capacity), PLACED), f"packed{number}"), groups
 
 
-def repack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_rows: int = GROUP_ROWS, rounds: int = 4) -> DataFrame:
+def repack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_rows: int = GROUP_ROWS, rounds: int = 8) -> DataFrame:
     """One row per piece: where it lies (sequence_id, offset), how its bin was certified.
 
     ``group_bins`` and ``group_bound`` are the bin count and the lower bound of the group
@@ -103,7 +106,7 @@ def repack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, g
         # a bin's first piece stands for it: one row a bin, so the least fill needs no window over pieces
         heads = placed.where(F.col("offset") == 0)
         least = heads.groupBy("grp").agg(F.min_by("bin", F.struct("fill", "bin")).alias("least"))
-        open_ = placed.join(least, "grp").withColumn("gives", (F.col("fill") < capacity) & ((F.col("bins") > F.col("bound")) | (F.col("bin") == F.col("least"))))
+        open_ = placed.join(least, "grp").withColumn("gives", (F.col("fill") < capacity) & ((F.col("bins") > F.col("bound")) | (F.col("bin") == F.col("least")) | (F.col("fill") < OPEN_FILL * capacity)))
         freed = open_.where("gives").agg(F.sum("length"), F.count(F.when(F.col("offset") == 0, 1))).first()
         if groups == 1 or number + 1 == rounds or not freed[0] or freed[1] <= -(-freed[0] // capacity):
             break
