@@ -14,7 +14,7 @@ from oreloom.llm.pii import redact
 from oreloom.llm.quality import keep_good
 from oreloom.llm.repacking import op10
 from oreloom.llm.simhash import keep_representatives
-from oreloom.llm.storage import materialise
+from oreloom.plans.storage import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
