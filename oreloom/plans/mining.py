@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.contracts import node_error, script_error, split_valid
 from ..operators.decide import INVALID, decide
 from ..operators.dependencies import with_dependencies
 from ..operators.document import skill_document, skill_file
@@ -42,7 +43,7 @@ def mine_files(files: DataFrame) -> Mined:
     """All stages over (path, text, error) rows; lazy but for the parsed nodes."""
     good = files.where("error is null").select("path", "text")
     parsed = materialise(mine(with_runtime(good)), "nodes")
-    nodes = parsed.where("error is null").drop("error")
+    nodes, broken = split_valid(parsed.where("error is null").drop("error"), node_error(), "node", "node_id")
     bad = files.where("error is not null").select(F.lit("decode").alias("stage"), F.col("path").alias("key"), "error")
     rejects = bad.unionByName(parsed.where("error is not null").select(F.lit("parse").alias("stage"), F.col("file_path").alias("key"), "error"))
     decisions = decide(with_dependencies(nodes, files.select("path")))
@@ -51,13 +52,14 @@ def mine_files(files: DataFrame) -> Mined:
     distilled = (F.col("language") == "python") & F.col("core_source").isNotNull()
     chosen = chosen.withColumn("runtime_hint", F.lit(None).cast("string"))
     scripts = python_scripts(chosen.where(distilled)).select(*SCRIPT).unionByName(native_scripts(chosen.where(~F.coalesce(distilled, F.lit(False))), good).select(*SCRIPT))
+    scripts, unfit = split_valid(scripts, script_error(), "script", "node_id")
     checked = validate_scripts(scripts)
     passed = checked.where("passed").withColumn("instructions", skill_document())
     passed = passed.withColumn("doc_error", document_error("instructions"))
     packages = passed.where("doc_error is null").withColumn("skill_md", skill_file())
     undocumented = passed.where("doc_error is not null").select(F.lit("document").alias("stage"), F.col("node_id").alias("key"), F.col("doc_error").alias("error"))
     skipped = decisions.where("decision = 'skip'").select("node_id", "source", "reason").unionByName(checked.where("not passed").select("node_id", "source", F.lit(INVALID).alias("reason")))
-    return Mined(nodes, decisions, packages, skipped, rejects.unionByName(undocumented))
+    return Mined(nodes, decisions, packages, skipped, rejects.unionByName(broken).unionByName(unfit).unionByName(undocumented))
 
 
 def mine_tree(spark: SparkSession, root: str) -> Mined:

@@ -91,3 +91,15 @@ def read_workspace_text(content: Column, most: int = 24_000) -> Column:
     """Lossy UTF-8 text of binary content, cut at ``most`` characters with a marker."""
     text = F.make_valid_utf8(content.cast("string"))
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(f"\n...[truncated after {most} characters]"))).otherwise(text)
+
+
+def skill_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(skill, size) of the folders directly below ``root`` that hold a SKILL.md; error if there is none."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "SKILL.md").option("recursiveFileLookup", "true").load(root)
+    base = F.lit(root.rstrip("/").split("://")[-1].lstrip("/"))
+    inside = F.expr("substring(regexp_replace(path, '^[a-z]+:/+', ''), length(base) + 2)")
+    rows = found.select("path", "length", base.alias("base")).select(inside.alias("inside"), "length")
+    rows = rows.where(F.size(F.split("inside", "/")) == 2).select(F.split("inside", "/")[0].alias("skill"), F.col("length").alias("size"))
+    if rows.isEmpty():
+        raise ValueError(f"skill directory contains no immediate SKILL.md entries: {root}")
+    return rows

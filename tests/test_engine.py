@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from oreloom.functions import dims, text
-from oreloom.operators import agent, bundle, data, decide, dependencies, document, extract, registry, script, validate
+from oreloom.operators import agent, bundle, contracts, data, decide, dependencies, document, extract, legacy, prompts, registry, script, validate
 from oreloom.operators.components import connected_components
 from oreloom.plans.mining import mine_files, mine_tree
 from oreloom.plans.sink import install, write_registry, write_skills
@@ -340,6 +340,59 @@ def test_unique_names_probe_for_free_numbers(spark):
     assert [got[("g", i)] for i in range(6)] == ["x.md", "x-2.md", "x-3.md", "x-4.md", "y.tar.md", "y-2.tar.md"] and got[("h", 1)] == "x-2.md"
 
 
+# --- contracts, older payloads, prompts ---
+
+
+def test_node_and_script_contracts(spark):
+    nodes = extract.python_nodes(files(spark, m_dot_py=CLASS)).where("name = 'run'")
+    error = lambda **c: nodes.withColumns({k: F.lit(v) for k, v in c.items()}).select(contracts.node_error().alias("e")).first()["e"]
+    assert error() is None and error(name=" ") == "name must be non-empty" and error(file_path="a/../b") == "file_path must be a safe project-relative path"
+    assert error(file_path="\\x.py").endswith("project-relative path") and error(end_byte=0) == "end_byte must be greater than start_byte" and error(end_line=1).startswith("end_line")
+    rows = spark.createDataFrame([("a-b", "a.py"), ("-a", "a.py"), ("skill-a", "a.py"), ("a", "skill_a.py"), ("a", "a b.py")], "skill_id string, filename string")
+    rows = rows.withColumns({"script_text": F.lit("x"), "description": F.lit("d"), "runtime_hint": F.lit("r"), "example_command": F.lit("e")})
+    got = [r.e and r.e.split(" ")[:3] for r in rows.select(contracts.script_error().alias("e")).collect()]
+    assert got == [None, ["skill_id", "must", "use"], ["skill_id", "must", "not"], ["filename", "must", "not"], ["filename", "must", "be"]]
+    kept, bad = contracts.split_valid(rows, contracts.script_error(), "script", "filename")
+    assert kept.count() == 1 and {r.stage for r in bad.collect()} == {"script"}
+    decisions = spark.createDataFrame([("extract", None, 0.5), ("skip", "a", 0.5), ("skip", None, 2.0), ("extract", "a", 1.0)], "decision string, skill_id string, s double")
+    decisions = decisions.withColumns({c: F.col("s") for c in ("reusable_boundary_score", "domain_value_score", "coupling_score")})
+    assert [r.e for r in decisions.select(contracts.decision_error().alias("e")).collect()] == ["extract decisions require skill_id", "skip decisions must not include skill_id", "scores must lie in 0..1", None]
+
+
+def test_files_that_break_contracts_are_rejected(spark):
+    mined = mine_files(files(spark, **{"a b_dot_js": "// Adds numbers.\nfunction add(a, b) {\n  return a + b;\n}\n"}))
+    assert mined.packages.count() == 0 and [(r.stage, r.error[:8]) for r in mined.rejects.collect()] == [("script", "filename")]
+
+
+def test_older_payloads(spark):
+    sources = {"a_dot_py": "def add(left: int, right: int):\n    return left + right\n", "w_dot_py": "import shutil\ndef wipe(path):\n    shutil.rmtree(path)\n"}
+    nodes = extract.mine(scan.with_runtime(files(spark, **sources))).where("error is null")
+    nodes = nodes.withColumns({"slice_id": F.col("name"), "title": text.title_words(F.col("name")), "summary": F.lit("")})
+    rows = {r.slice_id: r for r in legacy.payloads(nodes).collect()}
+    assert rows["add"].name == "add" and list(rows["add"].scripts_dict) == ["add.py"] and rows["add"].description.startswith("Use when an agent needs to apply the extracted Add capability")
+    assert "- `scripts/add.py` - black-box helper" in rows["add"].instructions and "5. Report outputs" in rows["add"].instructions
+    wipe = rows["wipe"].instructions
+    assert "`references/quarantined-wipe.md` only when" in wipe and "5. Treat the security warnings" in wipe and "- critical:python-delete-tree:Recursive deletion must be quarantined." in wipe
+    checked = spark.createDataFrame([(rows["add"].instructions,), (wipe,)], "p string").select(validate.instruction_error("p").alias("e")).collect()
+    assert [r.e for r in checked] == [None, None]
+
+
+def test_prompts_hold_what_they_ask_about(spark):
+    nodes = extract.python_nodes(files(spark, m_dot_py=CLASS)).where("name = 'run'")
+    row = nodes.select(prompts.candidate(F.lit("{}")).alias("a"), prompts.python_script(F.lit("D")).alias("b"), prompts.manual(F.lit("S")).alias("c"), prompts.review(F.lit("R")).alias("d"), prompts.repair(F.lit("x" * 5000), F.lit("E"), F.lit("{}")).alias("e")).first()
+    assert "Node: run" in row.a and "Decision:\nD" in row.b and row.c.endswith("Script:\nS") and row.d.endswith("Draft:\nR") and row.e.count("x") >= 4000 > row.e.count("x") - 100
+
+
+def test_skill_folders(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "SKILL.md").write_text("x")
+    (tmp_path / "two" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "two" / "deep" / "er" / "SKILL.md").write_text("y")
+    assert [r.skill for r in scan.skill_folders(spark, str(tmp_path)).collect()] == ["one"]
+    with pytest.raises(ValueError, match="no immediate SKILL.md"):
+        scan.skill_folders(spark, str(tmp_path / "two"))
+
+
 # --- registry and sinks ---
 
 
