@@ -8,8 +8,9 @@ are known, and visits widen until they would find ``RECALL`` of them.
 
 Bounds: the tree is fitted on at most ``SAMPLE_FLOATS`` numbers, so it and everything sent
 to all executors (tree, calibration vectors, rows per leaf) is bounded; rows are not.
-Leaves of many rows are dealt into blocks and leaves of many visits into parts, so no
-group grows with the data.  Each visit gives at most k rows.
+Neighbouring leaves are searched as one group; groups of many rows are dealt into blocks
+and groups of many queries into parts, so no task grows with the data.  Each query gets at
+most k rows from a block.
 
 Distances are Euclidean, in double precision on the original vectors; ties go to the
 smaller vec_id.  The row that is the query is left out by its vec_id.
@@ -41,7 +42,7 @@ BRANCHES = 8
 LEAF_ROWS = 128
 CALIBRATION = 150
 RECALL = 0.94
-#: Rows of a leaf, and visits of a leaf, that one task compares at once.
+#: Rows of a group, and queries of a group, that one task compares at once.
 BLOCK, PART = 4096, 4096
 SEED = 11
 
@@ -144,6 +145,17 @@ def _nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], distance[some]))[:k]]
 
 
+def _starts(held: np.ndarray, most: int) -> np.ndarray:
+    """1 where a new group of neighbouring leaves starts: groups hold ``most`` rows, or one leaf."""
+    out, total = np.zeros(len(held), np.int64), most
+    for i, n in enumerate(held.tolist()):
+        if total + n > most:
+            out[i], total = 1, 0
+        total += n
+    out[:1] = 1
+    return out
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query, with their rank."""
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -209,47 +221,60 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
         held[row[0]] = row[1]
     visits = _calibrate(indexed, tree, width, n, k, recall)
 
+    # neighbouring leaves share a group, so that a query meets a group once; a leaf that
+    # fills one alone is dealt into blocks
+    group = np.cumsum(_starts(held, BLOCK)) - 1
+    rows_in = np.bincount(group, weights=held).astype(np.int64)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, leaves, which = batch.column(0), [], []
+            ids, groups, leaves, which = batch.column(0), [], [], []
             for i, q in enumerate(_matrix(batch.column(1), width)):
-                seen = candidates = 0
+                seen, candidates = [], 0
                 for leaf in tree.visits(q):
-                    if seen >= visits and candidates > k:
+                    if len(seen) >= visits and candidates > k:
                         break
-                    seen += 1
-                    if held[leaf]:
-                        candidates += int(held[leaf])
-                        leaves.append(leaf)
-                        which.append(i)
+                    seen.append(leaf)
+                    candidates += int(held[leaf])
+                seen = np.array(sorted(x for x in seen if held[x]), np.int64)
+                own = np.unique(group[seen])
+                groups += own.tolist()
+                leaves += [seen[group[seen] == g] for g in own]
+                which += [i] * len(own)
             at = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), ids.take(at), batch.column(1).take(at)], ["leaf", "query_id", "q"])
+            columns = [pa.array(groups, pa.int64()), pa.array(leaves, pa.list_(pa.int64())), ids.take(at), batch.column(1).take(at)]
+            yield pa.RecordBatch.from_arrays(columns, ["grp", "leaves", "query_id", "q"])
 
     queries = indexed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    walked = materialise(queries.mapInArrow(walk, "leaf long, query_id long, q array<double>"), "visits")
-    asked = {row[0]: row[1] for row in walked.groupBy("leaf").count().collect()}  # a row a leaf
-    shares = [(leaf, -(-int(held[leaf]) // BLOCK), -(-count // PART)) for leaf, count in asked.items()]
-    plan = F.broadcast(spark.createDataFrame(shares, "leaf long, blocks long, parts long")) if shares else None
-    if plan is None:
+    walked = materialise(queries.mapInArrow(walk, "grp long, leaves array<long>, query_id long, q array<double>"), "visits")
+    asked = {row[0]: row[1] for row in walked.groupBy("grp").count().collect()}  # a row a group
+    if not asked:
         return empty
+    shares = [(g, max(1, -(-int(rows_in[g]) // BLOCK)), -(-count // PART)) for g, count in asked.items()]
+    plan = F.broadcast(spark.createDataFrame(shares, "grp long, blocks long, parts long"))
+    place = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "leaf long, grp long"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = indexed.join(plan, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).select("leaf", "block", every("parts").alias("part"), "vec_id", "v")
-    right = walked.join(plan, "leaf").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts"))).select("leaf", every("blocks").alias("block"), "part", "query_id", "q")
+    left = indexed.join(place, "leaf").join(plan, "grp").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    left = left.select("grp", "block", every("parts").alias("part"), "leaf", "vec_id", "v")
+    right = walked.join(plan, "grp").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
+    right = right.select("grp", every("blocks").alias("block"), "part", "leaves", "query_id", "q")
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if len(a) and len(b):
-            ids, x = a["vec_id"].to_numpy(), _matrix(a["v"].combine_chunks(), width)
-            for query_id, q in zip(b["query_id"].to_pylist(), _matrix(b["q"].combine_chunks(), width), strict=True):
-                distance = np.sqrt(((x - q) ** 2).sum(axis=1))
-                distance[ids == query_id] = np.inf
-                best = _nearest(distance, ids, k)
-                best = best[np.isfinite(distance[best])]
-                out.append((np.full(len(best), query_id), ids[best], distance[best]))
+            ids, leaf, x = a["vec_id"].to_numpy(), a["leaf"].to_numpy(), _matrix(a["v"].combine_chunks(), width)
+            visited = np.zeros(len(held), bool)
+            for query_id, leaves, q in zip(b["query_id"].to_pylist(), b["leaves"].to_pylist(), _matrix(b["q"].combine_chunks(), width), strict=True):
+                visited[leaves] = True
+                rows = np.flatnonzero(visited[leaf] & (ids != query_id))
+                visited[leaves] = False
+                distance = np.sqrt(((x[rows] - q) ** 2).sum(axis=1))
+                best = _nearest(distance, ids[rows], k)
+                out.append((np.full(len(best), query_id), ids[rows[best]], distance[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
-    keys = ("leaf", "block", "part")
+    keys = ("grp", "block", "part")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
