@@ -26,7 +26,7 @@ SCRIPT = (
 
 @dataclass
 class Mined:
-    """Tables of one run.  ``nodes`` is written once: parsing is what costs."""
+    """Tables of one run.  Nodes, decisions and scripts are written once: the later branches read them."""
 
     nodes: DataFrame
     decisions: DataFrame
@@ -40,20 +40,21 @@ class Mined:
 
 
 def mine_files(files: DataFrame) -> Mined:
-    """All stages over (path, text, error) rows; lazy but for the parsed nodes."""
+    """All stages over (path, text, error) rows; lazy after the checked scripts."""
     good = files.where("error is null").select("path", "text")
     parsed = materialise(mine(with_runtime(good)), "nodes")
     nodes, broken = split_valid(parsed.where("error is null").drop("error"), node_error(), "node", "node_id")
     bad = files.where("error is not null").select(F.lit("decode").alias("stage"), F.col("path").alias("key"), "error")
     rejects = bad.unionByName(parsed.where("error is not null").select(F.lit("parse").alias("stage"), F.col("file_path").alias("key"), "error"))
-    decisions = decide(with_dependencies(nodes, files.select("path")))
+    decisions = materialise(decide(with_dependencies(nodes, files.select("path"))), "decisions")
     chosen = decisions.where("decision = 'extract'")
     # a Python script needs a function; a suffix-less one found by its shebang goes whole
     distilled = (F.col("language") == "python") & F.col("core_source").isNotNull()
     chosen = chosen.withColumn("runtime_hint", F.lit(None).cast("string"))
     scripts = python_scripts(chosen.where(distilled)).select(*SCRIPT).unionByName(native_scripts(chosen.where(~F.coalesce(distilled, F.lit(False))), good).select(*SCRIPT))
-    scripts, unfit = split_valid(scripts, script_error(), "script", "node_id")
-    checked = validate_scripts(scripts)
+    # written, so that rules don't make the script's text anew wherever they look at it
+    scripts, unfit = split_valid(materialise(scripts, "scripts"), script_error(), "script", "node_id")
+    checked = materialise(validate_scripts(scripts), "checked")
     passed = checked.where("passed").withColumn("instructions", skill_document())
     passed = passed.withColumn("doc_error", document_error("instructions"))
     packages = passed.where("doc_error is null").withColumn("skill_md", skill_file())

@@ -46,3 +46,13 @@ def bounded_rows(df: DataFrame, limit: int) -> int | None:
     """Row count if at most ``limit``, else None; reads no more than it must."""
     n = df.limit(limit + 1).count()
     return n if n <= limit else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer partitions than there are cores, else as it is.
+
+    For work that costs far more per row than moving the row: a few unsplittable files
+    would otherwise leave most cores idle.  Inputs of as many splits as cores don't move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -15,6 +15,7 @@ from .functions import dims, text
 from .operators import agent, bundle, data, decide, dependencies, document, extract, registry, validate
 from .operators.components import connected_components as components
 from .plans.mining import mine_files
+from .plans.storage import spread
 from .sources.scan import with_runtime
 from .streaming.limits import token_bucket
 
@@ -60,7 +61,8 @@ CODE = f"(select event_id, {_PATH} as path, {_TEXT} as text from events)"
 
 
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").selectExpr("event_id", f"{_PATH} as path", f"{_TEXT} as text")
+    events = spread(_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"))
+    return events.selectExpr("event_id", f"{_PATH} as path", f"{_TEXT} as text")
 
 
 _DOC_PATH = "source || '/' || lang || '/doc_' || cast(doc_id as string) || case doc_id % 6 when 0 then '.py' when 1 then '.java' when 2 then '.tsx' when 3 then '.R' when 4 then '.unknown' else '' end"
@@ -281,7 +283,7 @@ select event_id, case when regexp_matches(g, '(?im)^\\s*(none|n/a|not applicable
   when event_id % 7 = 0 then 'Output section must describe stdout and stderr behavior' end as error from s""")
 def doc_section_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First fault of skill documents."""
-    return _table(spark, sf_dir, "events").selectExpr("event_id", f"{_GUIDE} as g").select("event_id", validate.document_error("g").alias("error"))
+    return spread(_table(spark, sf_dir, "events").select("event_id", "event_type")).selectExpr("event_id", f"{_GUIDE} as g").select("event_id", validate.document_error("g").alias("error"))
 
 
 @query("""
@@ -348,7 +350,7 @@ def cli_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     args = F.expr(
         "'{\"event_type\":\"' || event_type || '\",\"verbose\":' || case when event_id % 2 = 0 then 'true' else 'false' end || ',\"skip\":null,\"ids\":[' || user_id || ',7],\"rows_json\":[' || user_id || ',7],\"props\":' || props || '}'"
     )
-    return _table(spark, sf_dir, "events").select("event_id", F.array_join(agent.named_arguments(args), " ").alias("argv"))
+    return spread(_table(spark, sf_dir, "events")).select("event_id", F.array_join(agent.named_arguments(args), " ").alias("argv"))
 
 
 @query("""select r_regionkey, i as attempt, least(1.0 * power(2.0, i), 30.0)::double as wait from region, unnest(range(0, r_regionkey + 3)) t(i)""")
@@ -480,7 +482,8 @@ _MIXED_PATH = "'lib/' || event_type || '_graph/m' || cast(event_id as string) ||
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").selectExpr(f"{_MIXED_PATH} as path", f"{_MIXED} as text").withColumn("error", F.lit(None).cast("string"))
+    events = spread(_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"))
+    return events.selectExpr(f"{_MIXED_PATH} as path", f"{_MIXED} as text").withColumn("error", F.lit(None).cast("string"))
 
 
 @query(f"""
