@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import spread
 from .byte_bpe import op8
 from .kmeans_tree import op4
 from .language import op9
@@ -18,8 +19,12 @@ from .token_packing import pack_tokens
 from .urls import op7
 
 
+#: What the operators read of each table.
+_COLUMNS = {"documents": ("doc_id", "text", "lang", "source"), "embeddings": ("vec_id", "embedding"), "pages": ("page_id", "url", "html")}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*_COLUMNS[name]))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
