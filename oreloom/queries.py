@@ -413,6 +413,22 @@ def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").selectExpr("doc_id", _FOLD.format(g="") + " as s").select("doc_id", data.reverse_complement("s").alias("rc"))
 
 
+#: The same of whole texts.
+_WHOLE = _FOLD.replace("substr(text, 1, 400)", "text")
+
+
+@query(f"""select doc_id, case when length(s) = 0 then 0.0 else (length(s) - length(regexp_replace(upper(s), '[GC]', '', 'g')))::double / length(s) end as gc from (select doc_id, {_WHOLE.format(g=", 'g'")} as s from documents)""")
+def gc_content_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GC content of whole texts."""
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", _WHOLE.format(g="") + " as s").select("doc_id", data.gc_content("s").alias("gc"))
+
+
+@query(f"""select doc_id, reverse(translate(s, 'ACGTacgt', 'TGCAtgca')) as rc from (select doc_id, {_WHOLE.format(g=", 'g'")} as s from documents)""")
+def reverse_complement_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reverse complements of whole texts."""
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", _WHOLE.format(g="") + " as s").select("doc_id", data.reverse_complement("s").alias("rc"))
+
+
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 

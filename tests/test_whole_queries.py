@@ -24,3 +24,14 @@ def test_components_take_every_row_and_id(spark, tmp_path):
             parent[b] = a
     got = [tuple(r) for r in QUERIES["connected_components_all"](spark, str(tmp_path)).select("node", "root").collect()]
     assert sorted(got) == sorted((x, find(x)) for x in parent)
+
+
+def test_bases_of_whole_texts(spark, tmp_path):
+    texts = {1: "a" * 400 + "c" * 1200, 2: "bd " * 5000 + "G", 3: "", 4: "é 12", 5: "f" * 399 + "ée"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fold = str.maketrans("bdefhijklmnopqrsuvwxyzBDEFHIJKLMNOPQRSUVWXYZ", "acgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTAC")
+    bases = {i: "".join(c for c in t if c.isascii() and c.isalpha()).translate(fold) for i, t in texts.items()}
+    gc = {r.doc_id: r.gc for r in QUERIES["gc_content_whole"](spark, str(tmp_path)).collect()}
+    assert gc == {i: sum(c in "GCgc" for c in s) / len(s) if s else 0.0 for i, s in bases.items()}
+    rc = {r.doc_id: r.rc for r in QUERIES["reverse_complement_whole"](spark, str(tmp_path)).collect()}
+    assert rc == {i: s.translate(str.maketrans("ACGTacgt", "TGCAtgca"))[::-1] for i, s in bases.items()}
