@@ -5,9 +5,10 @@ hashed; for every host (column ``source``) the distinct documents holding the ha
 counted.  A line above the host's limit is boilerplate and is removed; a document that
 loses too many of its words is depleted and rejected.
 
-What a distinct document is: copies and near copies must not make a clean text look like
-boilerplate, so documents are told apart by a sketch, the smallest hash among their other
-lines.  Boilerplate stands among ever different lines; a copied line among the same ones.
+What a distinct document is: a set of normalised lines, told from others by a hash of the
+whole set, so exact copies count once, for a line and for its host's size alike.  A near
+copy is a document of its own: by its lines alone it can't be told from one that shares
+boilerplate.
 
 Counting explodes lines once and combines before each shuffle, so a hot host or line is
 summed where it is read.  The removed lines of a host reach its documents by a broadcast
@@ -82,15 +83,15 @@ def _line_hash(line: Column) -> Column:
 
 def frequent_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """(host, line, documents) of the lines above their host's limit."""
-    hashes = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), _line_hash), lambda h: h.isNotNull()))
-    rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.array_sort(hashes).alias("all"))
-    rows = rows.select("host", "all", F.get("all", F.lit(0)).alias("first"), F.coalesce(F.get("all", F.lit(1)), F.lit(0)).alias("second"))
-    lines = rows.select("host", F.explode("all").alias("line"), "first", "second")
-    lines = lines.select("host", "line", F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("sketch"))
-    once = lines.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one"))
-    counted = once.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") >= least)
-    hosts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("size"))
-    return counted.join(hosts, "host").where(F.col("documents") >= F.col("size") * share).select("host", "line", "documents")
+    hashes = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), _line_hash), lambda h: h.isNotNull())))
+    rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce(hashes, F.array().cast("array<long>")).alias("all"))
+    # the null line stands for the document itself: its count is the host's size
+    held = rows.select("host", F.xxhash64("all").alias("document"), F.explode(F.concat("all", F.array(F.lit(None).cast("long")))).alias("line"))
+    once = held.groupBy("host", "line", "document").agg(F.lit(1).alias("one"))
+    counted = once.groupBy("host", "line").agg(F.count("*").alias("documents")).where((F.col("documents") >= least) | F.col("line").isNull())
+    counted = materialise(counted, "counts")
+    hosts = counted.where(F.col("line").isNull()).select("host", F.col("documents").alias("size"))
+    return counted.where(F.col("line").isNotNull()).join(hosts, "host").where(F.col("documents") >= F.col("size") * share).select("host", "line", "documents")
 
 
 def assess(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:

@@ -147,6 +147,18 @@ def test_boilerplate_goes_and_copies_stay(table):
     assert good.columns == docs.columns and good.count() == 101 and not good.where("doc_id < 40 and lower(text) like '%newsletter%'").count()
 
 
+def test_lines_count_distinct_documents(table):
+    """Shared blocks and single lines don't fold different documents; copies count once, for hosts too."""
+    block = [f"menu entry {k}" for k in range(20)]
+    rows = [(i, "\n".join([*block, f"own line {i}"]), "blocks", "en") for i in range(1000)]
+    rows += [(2000 + i, f"Header\nsame words\nown {i}\nsame words", "pairs", "en") for i in range(12)]
+    rows += [(3000 + i, f"Header\nonly {i % 9}", "copies", "en") for i in range(90)]
+    rows += [(4000 + i, f"Rare\nonly {i}", "size", "en") for i in range(10)] + [(5000 + i, "one text", "size", "en") for i in range(2000)]
+    rows += [(9000, None, "blocks", "en"), (9001, "", "blocks", "en")]
+    found = quality.frequent_lines(make(table, rows)).collect()
+    assert Counter((r.host, r.documents) for r in found) == {("blocks", 1000): 20, ("pairs", 12): 2, ("size", 10): 1}
+
+
 # --- near copies (op6) ---
 
 
