@@ -333,6 +333,12 @@ def llm_context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("file_path", document.node_context().alias("context"))
 
 
+@query()
+def llm_context_render_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model context of the nodes of all eight kinds of source files."""
+    return extract.generic_nodes(with_runtime(_code(spark, sf_dir))).select("file_path", document.node_context().alias("context"))
+
+
 @query("""
 select conv_id, turn, coalesce(len(h), 0)::bigint as before, coalesce(array_to_string(h, '|'), '') as history from (
   select conv_id, turn, list(text) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as h from conversations)""")
@@ -488,6 +494,13 @@ def token_bucket_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_bucket(rows, 30.0).where("error is null and granted >= arrival").select("client", "request_id", "arrival")
 
 
+@query()
+def token_bucket_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grant times and waits of all events; a recurrence over floats, so held against brute force."""
+    rows = _table(spark, sf_dir, "events").selectExpr("cast(user_id % 5 as string) as client", "event_id as request_id", "cast(event_id div 40 as double) as arrival", "1.0D as tokens")
+    return token_bucket(rows, 30.0)
+
+
 # --- parsers ----------------------------------------------------------------------------
 
 _PYTHON = [
