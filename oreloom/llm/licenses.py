@@ -4,8 +4,10 @@ Method: words of the text and of a template are aligned on words that occur once
 either; the longest increasing subsequence of those anchors is kept, and the gaps between
 anchors are aligned in turn, equal words at their ends included.  Coverage is the share of
 the template's words so aligned.  Where a gap has no such word (a license that stands
-twice in a text has none), windows of the template's length around each occurrence of its
-rarest word are tried, best first by shared words, and the best aligned one counts.
+twice in a text has none), windows around each occurrence of its rarest words are tried,
+best first by shared words, and the best aligned one counts.  Of n template places, a copy
+with coverage c misses at most floor((1 - c) n), so windows around one more place than
+that, two template lengths and three long, leave no copy out.
 
 A template that shares too few words with the whole text (counted with repeats) cannot
 reach the threshold and is passed over; that bound loses nothing.
@@ -22,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,23 +136,24 @@ class Scanner:
         best = [(own[i][0], j) for i, j in whole]
         if len(best) >= self.least * len(template) and best[-1][0] - best[0][0] < 2 * len(template):
             return best
-        have = Counter(w for _, w in own)
-        rarest = min((w for w in need if have[w]), key=lambda w: (have[w] / need[w], template.index(w)), default=None)
-        if rarest is None:
-            return best
-        at, n, tried = template.index(rarest), len(template), []
-        positions = [p for p, _ in own]
-        for p in (p for p, w in own if w == rarest):
-            # half a template of slack on either side for words that the text adds
-            lo, hi = bisect_left(positions, p - at - n // 2), bisect_left(positions, p + n - at + n // 2)
-            shared = sum((Counter(w for _, w in own[lo:hi]) & need).values())
-            if shared >= self.least * n:
-                tried.append((-shared, lo, hi))
-        for shared, lo, hi in sorted(set(tried)):
-            if -shared <= len(best) and best[-1][0] - best[0][0] < 2 * n:
+        n, tried = len(template), set()
+        have, positions = Counter(w for _, w in own), [p for p, _ in own]
+        # a copy over the threshold misses fewer template places than these, so it holds one of them
+        places: dict[str, list[int]] = {}
+        for at in sorted(range(n), key=lambda at: (have[template[at]], at))[: n - ceil(self.least * n - 1e-9) + 1]:
+            places.setdefault(template[at], []).append(at)
+        for p, w in own:
+            for at in places.get(w, ()):
+                # words that the text adds: half a template on either side, or as many as a copy may span
+                for slack in (n // 2, n):
+                    tried.add((bisect_left(positions, p - at - slack), bisect_left(positions, p + n - at + slack)))
+        shared = {(lo, hi): sum((Counter(w for _, w in own[lo:hi]) & need).values()) for lo, hi in tried}
+        fits = lambda found: bool(found) and found[-1][0] - found[0][0] < 2 * n
+        for lo, hi in sorted((x for x in tried if shared[x] >= self.least * n), key=lambda x: (-shared[x], x)):
+            if fits(best) and shared[lo, hi] <= len(best):
                 break
             found = [(own[lo + i][0], j) for i, j in align([w for _, w in own[lo:hi]], template)]
-            if len(found) >= len(best) or best[-1][0] - best[0][0] >= 2 * n:
+            if (fits(found), len(found)) >= (fits(best), len(best)):
                 best = found
         return best
 

@@ -100,6 +100,21 @@ def test_license_scan(table):
     assert licenses.scan_licenses(make(table, [])).count() == 0
 
 
+def test_license_copy_without_its_rarest_word():
+    scanner = licenses.Scanner()
+    filler = "nothing here says much " * 300
+    text = "released " + filler + "under the license and the license " * 3 + filler + "Published under the MIT License. " + filler + "under the license"
+    start = len(licenses.words_of(text[: text.index("under the MIT")]))
+    assert [x for x in scanner.scan(text) if x[0] == "mit-line"] == [("mit-line", 4, 5, start, start + 3)]
+    # one altered word in five, another one each time, with the altered word elsewhere
+    words = licenses.words_of(licenses.TEMPLATES["isc"])
+    for k in range(5):
+        altered = range(k, len(words), 5)[: len(words) // 5]
+        copy = [f"x{i}" if i in altered else w for i, w in enumerate(words)]
+        text = " ".join([*words[::-1], *["zz"] * 500, *copy, *["zz"] * 500, *words[::-1]])
+        assert [x[0] for x in scanner.scan(text)] == ["isc"], k
+
+
 # --- quality (op5) ---
 
 
