@@ -87,11 +87,17 @@ def _target(tag: Column, url: Column) -> Column:
     )
 
 
+def _tag(html: Column, name: str, attribute: str) -> Column:
+    """First whole tag of a name with an attribute, null if none; linear in the text, as an open tag takes all that follows."""
+    tags = F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b[^>]*+>?"), F.lit(0))
+    return F.get(F.filter(tags, lambda t: t.endswith(">") & t.rlike("(?i)" + attribute)), F.lit(0))
+
+
 def edges(pages: DataFrame) -> DataFrame:
     """(a, b): keys of urls that stand for one page."""
     html = F.col("html")
-    canonical = F.regexp_extract(html, r"""(?i)<link\b(?=[^>]{0,2000}\brel\s*=\s*["']?canonical\b)[^>]{0,2000}>""", 0)
-    refresh = F.regexp_extract(html, r"""(?i)<meta\b(?=[^>]{0,2000}\bhttp-equiv\s*=\s*["']?refresh\b)[^>]{0,2000}>""", 0)
+    canonical = _tag(html, "link", r"""\brel\s*+=\s*+["']?canonical\b""")
+    refresh = _tag(html, "meta", r"""\bhttp-equiv\s*+=\s*+["']?refresh\b""")
     found = pages.where(F.contains("url", F.lit("://"))).select(
         _key(F.col("url")).alias("key"), F.array(F.col("url"), _target(canonical, F.col("url")), _target(refresh, F.col("url"))).alias("to")
     )

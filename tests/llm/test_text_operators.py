@@ -347,6 +347,17 @@ def test_url_rules_and_aliases(table):
     assert urls.op7(table([], "page_id long, url string, html string")).count() == 0
 
 
+def test_long_tags_give_edges(table):
+    long = "x" * 30_000
+    pages = [
+        (1, "http://one.org/a", f'<link href="http://bad.net/es/{long}" rel="canonical">'), (2, "http://two.org/a", f'<LINK data-a="{long}" rel=canonical data-b="{long}" href="http://bad.net/fr/2">'),
+        (3, "http://three.org/a", f"<meta charset=x><meta data-a='{long}' content='0; url=http://bad.net/es/3' http-equiv=refresh>"), (4, "http://four.org/a", f'<link href="http://bad.net/es/4" data-a="{long}" rel="icon">'),
+        (5, "http://five.org/a", "<link " * 200_000 + 'href="http://bad.net/es/5" rel="canonical"'),
+    ]
+    rows = urls.op7(table(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in rows} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+
+
 # --- vectors (op4) ---
 
 
