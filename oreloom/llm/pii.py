@@ -1,24 +1,30 @@
-"""Personal data by weak supervision, in DataFrame expressions only.
+"""Personal data and secrets by weak supervision, in DataFrame expressions only.
 
 Method: patterns propose candidate spans of each kind.  Three labelers vote on every
-candidate: one checks its format (digits, checksum, ranges), one looks parts of it up in
-gazetteers (domains, issuers, country codes, given names), one reads the words before it.
-Expectation-maximisation over the counts of vote patterns estimates how reliable each
-labeler is, and its posteriors train a logistic span classifier over votes and shape.
-
-What leaves the executors is a count per (kind, votes, shape): at most
-``len(KINDS) * 27 * 16`` rows whatever the corpus, so training sees every candidate of
-every text.  Labelling and redaction happen inside each row: no shuffle, no Python.
+candidate: one checks its format (digits, checksum, ranges, mix of characters), one looks
+parts of it up in gazetteers (domains, issuers, country codes, given names, prefixes of
+keys), one reads the ``NEAR`` characters before it.  Expectation-maximisation over the
+counts of vote patterns estimates how reliable each labeler is for a kind, and its
+posteriors train a logistic span classifier over votes and shape.
+
+The patterns read each text once: candidates are written with what is carried of their
+rows, and both training and labelling read them back.  What leaves the executors is a
+count per (kind, votes, shape): at most ``len(KINDS) * 27 * 16`` rows whatever the corpus,
+so training sees every candidate of every text.  Labelling and redaction happen inside
+each row: no shuffle, no Python.
 
 Base spans (email, ip, card, phone in their valid form) always stay; the classifier adds
-spans of the other kinds that overlap none of them.
+spans of the other kinds that overlap none of them, and secrets, as digits inside of one
+may look like a base span.
 
-Offsets count code points.  They come from the lengths of what stands between matches,
-summed in blocks, so texts with very many matches stay cheap.
+Offsets count code points.  Running sums, the test for overlaps and redaction work in
+blocks, so the cost is linear in the text and its spans.
 
-Defined cases: null text counts as empty and has no span; very long texts are read whole;
-repeated rows are labelled alike; an empty table gives no rows and untrained weights that
-follow the format labeler; other columns are ignored or kept as they came.
+Defined cases: null text counts as empty and has no span; very long texts, words and
+matches are read whole; repeated rows are labelled alike; spans that overlap are redacted
+as one stretch with the marks of those that start in it outside an earlier one; a
+candidate without a vote for it is never added; an empty table gives no rows and untrained
+weights that follow the labelers; other columns are ignored or kept as they came.
 """
 
 from __future__ import annotations
@@ -30,10 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
+from ..plans.storage import materialise
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "ssn", "name", "email_spelled", "phone_local")
+KINDS = (*BASE_KINDS, "ssn", "name", "email_spelled", "phone_local", "secret")
 THRESHOLD = 0.5
+#: Characters before a candidate that the context labeler reads.
+NEAR = 40
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Given names of the gazetteer (fixed values).
@@ -49,9 +58,11 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": rf"(?<!\p{{L}})(?:(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]{{1,20}}+(?: [A-Z][a-z]{{1,20}}+)?|(?:{'|'.join(NAMES)}) [A-Z][a-z]{{1,20}}+)(?!\p{{L}})",
-    "email_spelled": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+ ?[(\[]at[)\]] ?{_LABEL}{{1,63}}+(?: ?(?:[(\[]dot[)\]]|\.) ?{_LABEL}{{1,63}}+){{1,8}}+",
+    "name": rf"(?<!\p{{L}})(?:(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]++(?: [A-Z][a-z]++)?|(?:{'|'.join(NAMES)}) [A-Z][a-z]++)(?!\p{{L}})",
+    "email_spelled": rf"(?<!{_LOCAL}){_LOCAL}++ ?[(\[]at[)\]] ?{_LABEL}++(?: ?(?:[(\[]dot[)\]]|\.) ?{_LABEL}++)++",
     "phone_local": r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
+    # a run of 20 and more with a letter and a digit
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+",
 }
 #: Text without this can't hold the kind.
 _NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-", "phone_local": "-", "email_spelled": "at"}
@@ -66,8 +77,11 @@ CUES = {
     "name": r"\b(?:name is|named|contact|signed|regards|author|patient|dear)\b",
     "email_spelled": r"\b(?:e-?mail|contact|write|reach|courriel|correo)\b",
     "phone_local": r"\b(?:phone|call|tel|mobile|fax|telefon)\b",
+    "secret": r"(?:\b|_)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|authorization|bearer|credentials?)\b",
 }
-_AGAINST = r"\b(?:version|isbn|issn|doi|order|invoice|part no|serial|build|rfc|release)\b"
+_AGAINST = r"\b(?:version|isbn|issn|doi|order|invoice|part no|serial|build|rfc|release|commit|checksum|digest|revision|uuid|md5|sha-?[0-9]+)\b"
+#: Prefixes that issuers give their keys (fixed values).
+_KEY_PREFIXES = "AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|pk_live_|rk_live_|xox[abprs]-|ya29|eyJ|npm_|hf_"
 _BLOCK = 256
 
 
@@ -101,6 +115,10 @@ def _format_vote(kind: str, m: Column) -> Column:
         return _vote(m.rlike(r"^\w+\."), 0)
     if kind == "phone_local":
         return _vote(_digits(m).rlike("^[2-9]..[2-9]"), 1)
+    if kind == "secret":  # many different characters in a mix of cases; hex may be a secret or a digest
+        varied = F.size(F.array_distinct(F.split(m, ""))) >= 10
+        mixed = m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9].*[0-9]")
+        return F.when(varied & m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"), 0).otherwise(_vote(varied & mixed, 1))
     return F.lit(2)
 
 
@@ -115,6 +133,8 @@ def _gazetteer_vote(kind: str, m: Column) -> Column:
         return _vote(_digits(m).rlike("^(?:1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), 0)
     if kind == "name":
         return _vote(m.rlike(rf"^(?:{'|'.join(NAMES)}) "), 0)
+    if kind == "secret":
+        return _vote(m.rlike(rf"^(?:{_KEY_PREFIXES})"), 0)
     return F.lit(0)
 
 
@@ -130,17 +150,16 @@ def _shape(m: Column, before: Column, after: Column) -> Column:
     return size * 4 + edge(before, r"[\p{L}0-9]$") * 2 + edge(after, r"^[\p{L}0-9]")
 
 
-def _placed(items: Column, step) -> Column:
-    """Running sum over ``items`` (skip, size): step(start, end, item) of each.
+def _scan(items: Column, state, step) -> Column:
+    """``step(state, item)`` -> (next state, output) along ``items``; the outputs.
 
     Blocks of ``_BLOCK`` keep the growing arrays short: the cost is linear in the items.
     """
-    empty = F.filter(F.array(step(F.lit(0), F.lit(0), F.get(items, F.lit(0)))), lambda x: F.lit(False))
+    empty = F.filter(F.array(step(state, F.get(items, F.lit(0)))[1]), lambda x: F.lit(False))
 
     def one(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["skip"]
-        end = start + x["size"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(step(start, end, x))).alias("out"))
+        after, out = step(acc["at"], x)
+        return F.struct(after.alias("at"), F.concat(acc["out"], F.array(out)).alias("out"))
 
     def block(acc: Column, first: Column) -> Column:
         inner = F.aggregate(F.slice(items, first, _BLOCK), F.struct(acc["at"].alias("at"), empty.alias("out")), one)
@@ -148,7 +167,17 @@ def _placed(items: Column, step) -> Column:
 
     none = F.filter(F.array(empty), lambda x: F.lit(False))
     blocks = F.sequence(F.lit(1), F.size(items), F.lit(_BLOCK))
-    return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block)["out"])
+    return F.flatten(F.aggregate(blocks, F.struct(state.alias("at"), none.alias("out")), block)["out"])
+
+
+def _placed(items: Column, out) -> Column:
+    """Running sum over ``items`` (skip, size): out(start, end, item) of each."""
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["skip"]
+        return start + x["size"], out(start, start + x["size"], x)
+
+    return _scan(items, F.lit(0), step)
 
 
 def _items(kind: str, text: Column) -> Column:
@@ -157,7 +186,7 @@ def _items(kind: str, text: Column) -> Column:
     def item(held: Column):
         def one(m: Column, i: Column) -> Column:
             before, after = F.get(held["parts"], i), F.get(held["parts"], i + 1)
-            near, beyond = F.substring(before, -40, 40), F.substring(after, 1, 1)
+            near, beyond = F.substring(before, -NEAR, NEAR), F.substring(after, 1, 1)
             votes = (_format_vote(kind, m).alias("format"), _gazetteer_vote(kind, m).alias("gazetteer"), _context_vote(kind, near).alias("context"))
             return F.struct(F.length(before).alias("skip"), F.length(m).alias("size"), *votes, _shape(m, near, beyond).alias("shape"))
 
@@ -171,10 +200,11 @@ def _items(kind: str, text: Column) -> Column:
     return F.when(F.contains(text, F.lit(_NEEDS[kind])), hits) if kind in _NEEDS else hits
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``row`` and ``found``: candidates (start, rank, end, format, gazetteer, context, shape)."""
+def candidates(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns ``carry``, all by default) and ``found``: candidates (start, rank, end, format, gazetteer, context, shape)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select(F.struct("*").alias("row"), *(_items(kind, text).alias(f"_i_{kind}") for kind in KINDS))
+    row = F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns))
+    out = docs.select(row.alias("row"), *(_items(kind, text).alias(f"_i_{kind}") for kind in KINDS))
     placed = []
     for rank, kind in enumerate(KINDS):
         step = lambda start, end, x, rank=rank: F.struct(
@@ -194,11 +224,19 @@ class SpanModel:
     votes: np.ndarray  # [labeler, vote]
     shape: np.ndarray
 
+
+class KindModels:
+    """A model for each kind, as a labeler that is sound for one kind may say nothing of another."""
+
+    def __init__(self, models: list[SpanModel]):
+        self.models = models
+
     def logit(self, x: Column) -> Column:
         table = lambda weights, at: F.element_at(F.array(*(F.lit(round(float(w), 12)) for w in weights)), at + 1)
-        out = table(self.kind, x["rank"]) + table(self.shape, x["shape"])
+        out = table([m.kind[i] for i, m in enumerate(self.models)], x["rank"])
+        out = out + table([w for m in self.models for w in m.shape], x["rank"] * 16 + x["shape"])
         for k, name in enumerate(("format", "gazetteer", "context")):
-            out = out + table(self.votes[k], x[name])
+            out = out + table([w for m in self.models for w in m.votes[k]], x["rank"] * 3 + x[name])
         return out
 
 
@@ -207,16 +245,22 @@ def fit(counts: list[tuple[int, int, int, int, int, int]], rounds: int = 60, ste
 
     ``counts`` holds (kind, format, gazetteer, context, shape, number) of each pattern.
     Every parameter starts from, and is smoothed towards, labelers that are mostly right.
+    A labeler that abstains says nothing, and a pattern of abstentions alone teaches nothing.
     """
     table = np.array(counts, np.float64).reshape(-1, 6)
-    kinds, votes, shapes, n = table[:, 0].astype(int), table[:, 1:4].astype(int), table[:, 4].astype(int), table[:, 5]
+    kinds, votes, shapes = table[:, 0].astype(int), table[:, 1:4].astype(int), table[:, 4].astype(int)
+    n = table[:, 5] * votes.any(axis=1)
+
+    def evidence() -> np.ndarray:  # [labeler, vote]: log odds of a vote, given that the labeler votes
+        given = reliability / reliability[:, :, 1:].sum(axis=2, keepdims=True)
+        return np.log(given[:, 1] / given[:, 0]) * [0, 1, 1]
+
     belief = np.array([[0.4, 0.5, 0.1], [0.3, 0.05, 0.65]])  # [class, vote]
     smooth = 20 * np.stack([belief] * 3)
     reliability, prior = smooth / 20, np.full(len(KINDS), 0.5)
     for _ in range(rounds):
         odds = np.log(prior[kinds] / (1 - prior[kinds]))
-        for k in range(3):
-            odds = odds + np.log(reliability[k, 1, votes[:, k]] / reliability[k, 0, votes[:, k]])
+        odds = odds + sum(said[votes[:, k]] for k, said in enumerate(evidence()))
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         reliability = smooth.copy()
         for k in range(3):
@@ -228,9 +272,8 @@ def fit(counts: list[tuple[int, int, int, int, int, int]], rounds: int = 60, ste
         np.add.at(all_, kinds, n)
         prior = up / all_
     # the classifier starts at what the labelers' reliabilities say and fits the posteriors
-    log_votes = np.log(reliability[:, 1] / reliability[:, 0])
-    model = SpanModel(reliability, prior, np.log(prior / (1 - prior)), log_votes, np.zeros(16))
-    if not len(table):
+    model = SpanModel(reliability, prior, np.log(prior / (1 - prior)), evidence(), np.zeros(16))
+    if not n.sum():
         return model
     weight = n / n.sum()
     for _ in range(steps):
@@ -240,28 +283,44 @@ def fit(counts: list[tuple[int, int, int, int, int, int]], rounds: int = 60, ste
             step = np.zeros_like(target)
             np.add.at(step, at, wrong)
             target -= 2.0 * (step + 1e-4 * target)
+    model.votes[:, 0] = 0
     return model
 
 
-def train(found: DataFrame) -> SpanModel:
-    """Fit on all candidates; collects one row per pattern, at most len(KINDS) * 27 * 16."""
+def train(found: DataFrame) -> KindModels:
+    """Fit on all candidates, kind by kind; collects one row per pattern, at most len(KINDS) * 27 * 16."""
     names = ("rank", "format", "gazetteer", "context", "shape")
     x = found.select(F.explode("found").alias("x")).select(*(F.col(f"x.{c}").alias(c) for c in names))
-    rows = x.groupBy(*names).agg(F.count("*").alias("n")).collect()
-    return fit(sorted(tuple(r) for r in rows))
+    rows = sorted(tuple(r) for r in x.groupBy(*names).agg(F.count("*").alias("n")).collect())
+    return KindModels([fit([r for r in rows if r[0] == kind]) for kind in range(len(KINDS))])
 
 
-def spans(found: DataFrame, model: SpanModel, threshold: float = THRESHOLD) -> DataFrame:
+def chosen(x: Column, model: KindModels, least: float = 0.0) -> Column:
+    """Whether the classifier takes a candidate; without a vote for it there is nothing to go by."""
+    return F.greatest(x["format"], x["gazetteer"], x["context"]).eqNullSafe(2) & (model.logit(x) >= least)
+
+
+def spans(found: DataFrame, model: KindModels, threshold: float = THRESHOLD) -> DataFrame:
     """``row``, ``base`` and ``all``: spans (start, rank, end), sorted."""
     bare = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"))
     least = float(np.log(threshold / (1 - threshold)))
     base = F.transform(F.filter("found", lambda x: (x["rank"] < len(BASE_KINDS)) & (x["format"] == 2)), bare)
-    more = F.transform(F.filter("found", lambda x: (x["rank"] >= len(BASE_KINDS)) & (model.logit(x) >= least)), bare)
+    more = F.transform(F.filter("found", lambda x: (x["rank"] >= len(BASE_KINDS)) & chosen(x, model, least)), bare)
     both = F.struct(F.array_sort(base).alias("base"), more.alias("more"))
+    of_base = lambda x: x["rank"] < len(BASE_KINDS)
+    stays = lambda x: of_base(x) | (x["rank"] == KINDS.index("secret"))
+
+    def ahead(far: Column, x: Column) -> tuple[Column, Column]:  # far: where the base spans before x end
+        return F.when(of_base(x), F.greatest(far, x["end"])).otherwise(far), F.struct(*(x[c].alias(c) for c in ("start", "rank", "end")), (stays(x) | (far <= x["start"])).alias("free"))
+
+    def behind(near: Column, x: Column) -> tuple[Column, Column]:  # near: where the next base span starts
+        return F.when(of_base(x), x["start"]).otherwise(near), F.struct(bare(x).alias("x"), (stays(x) | (x["free"] & (near >= x["end"]))).alias("free"))
 
     def joined(x: Column) -> Column:
-        free = F.filter(x["more"], lambda m: ~F.exists(x["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-        every = F.when(F.size(x["more"]) > 0, F.array_sort(F.concat(x["base"], free))).otherwise(x["base"])
+        swept = lambda every: let(_scan(every, F.lit(0), ahead), lambda y: let(F.reverse(y), lambda z: _scan(z, F.lit((1 << 31) - 1), behind)))
+        free = lambda every: F.reverse(F.transform(F.filter(swept(every), lambda y: y["free"]), lambda y: y["x"]))
+        sole = F.array_sort(F.concat(x["base"], x["more"]))
+        every = F.when(F.size(x["more"]) == 0, x["base"]).when(F.size(x["base"]) == 0, sole).otherwise(let(sole, free))
         return F.struct(x["base"].alias("base"), every.alias("all"))
 
     return found.select("row", let(both, joined).alias("_s")).select("row", F.col("_s.base").alias("base"), F.col("_s.all").alias("all"))
@@ -272,34 +331,47 @@ def _listed(column: str) -> Column:
     return F.array_join(F.transform(column, lambda x: F.concat_ws(":", F.element_at(kind, x["rank"] + 1), x["start"], x["end"])), ",")
 
 
-def label(docs: DataFrame) -> DataFrame:
+def label(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``row``, ``base``, ``all``: every document with its spans.  Trains on the same documents."""
-    found = candidates(docs)
-    return spans(found, train(candidates(docs.select("text"))))
+    found = materialise(candidates(docs, carry), "candidates")
+    return spans(found, train(found))
+
+
+def _replaced(text: Column, offset: Column, stretches: Column, sizes: tuple[int, ...] = (1 << 20, 1 << 14)) -> Column:
+    """``text``, which stands at ``offset``, with its stretches (start, end, mark) replaced; block by block, as cutting costs what stands before."""
+    if sizes:
+        at = lambda i: offset + i * sizes[0]
+        own = lambda b, i: let(F.filter(stretches, lambda s: (s["start"] < at(i) + sizes[0]) & (s["end"] > at(i))), lambda s: F.when(F.size(s) == 0, b).otherwise(_replaced(b, at(i), s, sizes[1:])))
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{sizes[0]}}}+"), F.lit(0)), own), "")
+
+    def piece(s: Column, i: Column) -> Column:
+        before = F.greatest(offset, F.coalesce(F.get(stretches, i - 1)["end"], offset))
+        gap = F.substring(text, before - offset + 1, F.greatest(s["start"] - before, F.lit(0)))
+        return F.concat(gap, F.when(s["start"] >= offset, s["mark"]).otherwise(""))
+
+    rest = F.substring(text, F.element_at(stretches, -1)["end"] - offset + 1, F.length(text))
+    return F.concat(F.array_join(F.transform(stretches, piece), ""), rest)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """Documents in their own columns with each span's text replaced by ``<KIND>``; n_chars refreshed."""
     mark = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    out = label(docs).select("row", "all")
-    # overlapping spans are one stretch, named by its first
-    start = F.struct(F.lit(0).alias("at"), F.filter(F.array(F.lit("")), lambda x: F.lit(False)).alias("out"))
-
-    def put(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("row.text"), acc["at"] + 1, x["start"] - acc["at"])
-        new = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.element_at(mark, x["rank"] + 1)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), new.alias("out"))
-
-    done = F.aggregate("all", start, put)
-    out = out.select("row", F.when(F.size("all") > 0, done).alias("done"))
-    rest = F.substring(F.col("row.text"), F.col("done.at") + 1, F.length("row.text"))
-    text = F.when(F.col("done").isNull(), F.col("row.text")).otherwise(F.concat(F.array_join("done.out", ""), rest))
-    fresh = {"text": text, "n_chars": F.length(text).cast("long")}
+
+    def stretch(far: Column, x: Column) -> tuple[Column, Column]:  # what of x the spans before it leave
+        start, named = F.greatest(far, x["start"]), F.when(x["start"] >= far, F.element_at(mark, x["rank"] + 1)).otherwise("")
+        return F.greatest(far, x["end"]), F.struct(start.alias("start"), F.greatest(start, x["end"]).alias("end"), named.alias("mark"))
+
+    def clean(x: Column) -> Column:
+        own = F.filter(_scan(x["all"], F.lit(0), stretch), lambda s: s["start"] < s["end"])
+        return F.when(F.size(x["all"]) == 0, x["text"]).otherwise(let(own, lambda s: _replaced(x["text"], F.lit(0), s)))
+
+    out = label(docs).select("row", let(F.struct(F.col("row.text").alias("text"), F.col("all").alias("all")), clean).alias("text"))
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*(fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    out = label(docs.select("doc_id", "text"))
+    out = label(docs.select("doc_id", "text"), ["doc_id"])
     of = lambda r: lambda x: x["rank"] == r
     counts = [F.size(F.filter("base", of(r))).cast("long").alias(f"n_{k}") for r, k in enumerate(BASE_KINDS)]
     return out.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("all").alias("spans"))
