@@ -64,7 +64,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10(_table(spark, sf_dir, "documents"))
+    return op10(_table(spark, sf_dir, "documents"), special=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

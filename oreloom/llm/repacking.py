@@ -13,7 +13,7 @@ that fill a row are rows already and are never shuffled.
 Defined cases: null text counts as empty; an empty text is the end id alone (length 1);
 texts over the capacity become full pieces and a last shorter one; repeated rows are
 packed each on its own; an empty table gives no rows; other columns are ignored; doc_id
-may be null.
+may be null; the text of a special token is plain text, or that token with ``special``.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ from ..plans.storage import materialise
 from .word_tokens import WordEncoder
 
 CAPACITY = 4096
-#: Rows' worth of tokens in a group; a group is one task's work of about a second.
+#: Rows' worth of tokens, and pieces, in a group; a group is one task's work of about a second.
 GROUP_ROWS = 4096
+GROUP_PIECES = 200_000
 END_ID = 1
 #: A bin less full than this is open to pieces of other groups, certified or not.
 OPEN_FILL = 0.9
@@ -43,11 +44,11 @@ PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 l
 PLACED = PIECES + ", grp long, bin long, offset long, fill long, bins long, bound long"
 
 
-def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, special: bool = False) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32) of each document's pieces; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, uid, end, step = per_worker((WordEncoder.__name__, path), lambda: WordEncoder(path)), task_base(), END_ID.to_bytes(4, "little"), 4 * capacity
+        encoder, uid, end, step = per_worker((WordEncoder.__name__, path, special), lambda: WordEncoder(path, special=special)), task_base(), END_ID.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: tuple[list, ...] = ([], [], [], [], [], [])
@@ -78,20 +79,20 @@ def _pack_group(capacity: int):
     return pack
 
 
-def _round(pieces: DataFrame, tokens: int, capacity: int, group_rows: int, number: int) -> tuple[DataFrame, int]:
+def _round(pieces: DataFrame, tokens: int, count: int, capacity: int, group_rows: int, number: int) -> tuple[DataFrame, int]:
     """Pieces dealt and packed, and the number of groups."""
-    groups = max(1, -(-tokens // (capacity * group_rows)))
+    groups = max(1, -(-tokens // (capacity * group_rows)), -(-count // GROUP_PIECES))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.col("uid"), F.lit(number)), F.lit(groups)))
     return materialise(dealt.groupBy("grp").applyInArrow(_pack_group(capacity), PLACED), f"packed{number}"), groups
 
 
-def repack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_rows: int = GROUP_ROWS, rounds: int = 8) -> DataFrame:
+def repack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_rows: int = GROUP_ROWS, rounds: int = 8, special: bool = False) -> DataFrame:
     """One row per piece: where it lies (sequence_id, offset), how its bin was certified.
 
     ``group_bins`` and ``group_bound`` are the bin count and the lower bound of the group
     that placed the piece; equal numbers prove that group optimal.
     """
-    pieces = materialise(cut_pieces(docs, capacity, path), "pieces")
+    pieces = materialise(cut_pieces(docs, capacity, path, special), "pieces")
     whole = pieces.where(F.col("length") == capacity).select(
         *_PIECE.names, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("group_bins"), F.lit(1).cast("long").alias("group_bound")
     )
@@ -100,17 +101,17 @@ def repack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, g
         *_PIECE.names, (F.lit(number << 58) + F.col("grp") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset", F.col("bins").alias("group_bins"), F.col("bound").alias("group_bound")
     )
     todo = pieces.where(F.col("length") < capacity)
-    tokens = todo.agg(F.sum("length")).first()[0] or 0
-    placed, groups = _round(todo, tokens, capacity, group_rows, 0)
+    tokens, count = todo.agg(F.sum("length"), F.count("*")).first()
+    placed, groups = _round(todo, tokens or 0, count, capacity, group_rows, 0)
     for number in range(rounds):
         # a bin's first piece stands for it: one row a bin, so the least fill needs no window over pieces
         heads = placed.where(F.col("offset") == 0)
         least = heads.groupBy("grp").agg(F.min_by("bin", F.struct("fill", "bin")).alias("least"))
         open_ = placed.join(least, "grp").withColumn("gives", (F.col("fill") < capacity) & ((F.col("bins") > F.col("bound")) | (F.col("bin") == F.col("least")) | (F.col("fill") < OPEN_FILL * capacity)))
-        freed = open_.where("gives").agg(F.sum("length"), F.count(F.when(F.col("offset") == 0, 1))).first()
+        freed = open_.where("gives").agg(F.sum("length"), F.count(F.when(F.col("offset") == 0, 1)), F.count("*")).first()
         if groups == 1 or number + 1 == rounds or not freed[0] or freed[1] <= -(-freed[0] // capacity):
             break
-        again, fewer = _round(open_.where("gives").select(*_PIECE.names), freed[0], capacity, group_rows, number + 1)
+        again, fewer = _round(open_.where("gives").select(*_PIECE.names), freed[0], freed[2], capacity, group_rows, number + 1)
         if again.where(F.col("offset") == 0).count() >= freed[1]:
             break
         final.append(keep(open_.where(~F.col("gives")), number))
@@ -122,6 +123,6 @@ def repack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, g
     return out
 
 
-def op10(docs: DataFrame) -> DataFrame:
+def op10(docs: DataFrame, special: bool = False) -> DataFrame:
     """The contract's columns, then each piece's group certificate."""
-    return repack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "group_bins", "group_bound")
+    return repack(docs, special=special).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "group_bins", "group_bound")

@@ -4,6 +4,9 @@ The tokenizer normalises (NFC, white space, lower case), splits into words, digi
 symbol runs, and encodes each on its own.  For texts of ASCII and Latin-1 letters those
 steps are local, so words can be split here and looked up; any other text goes whole to
 the library.  Both ways give the library's ids.
+
+``special`` says what becomes of a special token's own text (``<|endoftext|>``): with it,
+that token's id, as the library's defaults have it, without it plain text.
 """
 
 from __future__ import annotations
@@ -18,18 +21,23 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9
 
 
 class WordEncoder:
-    """``encode_bytes(texts)``: each text's ids as little-endian unsigned 32-bit integers."""
+    """``encode_bytes(texts)``: each text's ids as little-endian unsigned 32-bit integers.
+
+    Words are remembered in two generations of up to ``most_words`` each.
+    """
 
-    def __init__(self, path: str | None = None, most_words: int = 250_000):
+    def __init__(self, path: str | None = None, most_words: int = 400_000, special: bool = False):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()}) if special else []
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = most_words
 
     def _learn(self, words: list[str]) -> None:
@@ -45,13 +53,21 @@ class WordEncoder:
                 for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                     self.cache[word] = np.array(e.ids, "<u4").tobytes()
 
+    def _words(self, text: str | None) -> list[str] | None:
+        """Words of a text that may be split here, else None."""
+        if not text or not _PLAIN(text):
+            return None
+        low = text.lower()
+        return None if any(t in low for t in self.special) else _WORDS(low)
+
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
-        split = [_WORDS(t.lower()) if t and _PLAIN(t) else None for t in texts]
+        split = list(map(self._words, texts))
+        if len(self.cache) > self.most:
+            self.cache, self.older = {}, self.cache
         unknown = set().union(*(s for s in split if s)).difference(self.cache)
-        if len(self.cache) + len(unknown) > self.most:
-            self.cache.clear()
-            unknown = set().union(*(s for s in split if s))
-        if unknown:
+        again = unknown.intersection(self.older)
+        self.cache.update((w, self.older[w]) for w in again)
+        if unknown := unknown - again:
             self._learn(sorted(unknown))
         out, known = [], self.cache.__getitem__
         for text, words in zip(texts, split, strict=True):

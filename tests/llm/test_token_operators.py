@@ -13,8 +13,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from oreloom.llm import repacking
 from oreloom.llm.binpack import CapacityTree, best_fit_decreasing, lower_bound
 from oreloom.llm.byte_bpe import Decoder, Encoder, Transducer, decode_documents, encode_documents, merge, op8, read_ranks
+from oreloom.llm.queries import queries
 from oreloom.llm.repacking import op10, repack
 from oreloom.llm.token_packing import pack_tokens, shards
 from oreloom.llm.word_tokens import WordEncoder
@@ -187,6 +189,24 @@ def test_word_encoder_forgets_without_harm():
         assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_as_the_library_has_them(spark, table, tmp_path):
+    """The registered query follows the library's defaults; texts with such strings are encoded whole."""
+    texts = ["a <|endoftext|> b", "x<|ENDOFTEXT|>y", "<|startoftext|>", "plain words", "é <|endoftext|>\tÀ", "<| endoftext |>", None]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in enumerate(texts)}
+    spark.createDataFrame([(i, t, "l", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries()["op10_repacking"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in rows} == want
+
+
+def test_very_many_tiny_pieces_share_groups(table, monkeypatch):
+    monkeypatch.setattr(repacking, "GROUP_PIECES", 500)
+    docs = table([(i, "" if i % 3 else "a b c") for i in range(6_000)], "doc_id long, text string")
+    rows = repack(docs, capacity=64).collect()
+    assert len(rows) == 6_000 and len({r.sequence_id for r in rows}) <= 1.01 * -(-sum(r.length for r in rows) // 64) + 1
+    check_layout(rows, 64)
+
+
 # --- byte-level BPE (op8) ---
 
 
