@@ -1,22 +1,26 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Method: numpy trains the network by backpropagation through time on labelled words of a
+Method: numpy trains the network by backpropagation through time on labelled texts of a
 bounded sample; every byte position gets a distribution over languages, and a document
-pools the log-probabilities of all its positions.  Segments are the words of a text (cut
-at ``SEGMENT`` bytes), each read with a space at either end, from a zero state in both
-directions.  A word's positions depend on the word alone, so each distinct word of a chunk
-runs once and its sums are added for every occurrence: whole texts are labelled at the
-cost of their vocabulary.
+pools the log-probabilities of all its positions.
 
-Sample: ``per_language`` documents of each language, chosen by a hash of their id, with a
-window of ``WINDOW`` characters each; that bound is the only one, and prediction covers
-every position of every row.  lang, source and doc_id never enter a prediction.
+A text's bytes run through the network in windows of at most ``CORE`` positions side by
+side, cut between characters.  The state is carried across words, and into a window from
+outside: each direction starts ``WARM`` bytes or more before the window's first position
+in its sense (at the text's edge where that is nearer), so every position has read at
+least that much of the text on either side.
+
+Sample: ``per_language`` documents of each language, chosen by a hash of their id, each
+with its whole text; training reads all of it, in runs of ``RUN`` bytes.  That bound on
+rows is the only one, and prediction covers every position of every row.  lang, source and
+doc_id never enter a prediction.  The languages are the distinct labels: the network's
+width, and what the driver holds of them, is their number.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; very long
-texts are read whole; ties go to the language first in order; repeated rows are predicted
-alike; rows with a null doc_id are predicted but never learned from (held_out false); a
-table without labels predicts ``und`` throughout; an empty table gives no rows; other
-columns are ignored or kept as they came.
+texts and texts without spaces are read whole; ties go to the language first in order;
+repeated rows are predicted alike; rows with a null doc_id are predicted but never learned
+from (held_out false); a table without labels predicts ``und`` throughout; an empty table
+gives no rows; other columns are ignored or kept as they came.
 """
 
 from __future__ import annotations
@@ -31,11 +35,12 @@ from pyspark.sql import types as T
 
 from .rows import chunks
 
-PER_LANGUAGE = 400
-WINDOW = 1500
-HIDDEN = 16
-SEGMENT = 32
-EPOCHS = 4
+PER_LANGUAGE = 150
+HIDDEN = 8
+#: Positions of a window, bytes before it that warm its state up, windows side by side.
+CORE, WARM, LANES = 512, 32, 2048
+#: Bytes of a training run; least updates of a training.
+RUN, STEPS = 96, 400
 SEED = 7
 #: Mean position probability of the predicted language under which the pipeline rejects.
 LEAST_SCORE = 0.3
@@ -89,25 +94,79 @@ class ByteGRU:
         at = np.maximum(mirror, 0).T
         return np.concatenate([forward, backward[at, np.arange(mirror.shape[0])]], axis=2)
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """Per word: sum of log-probabilities, then of probabilities, by language; positions."""
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """Per text: sum of log-probabilities, then of probabilities, by language; positions."""
         k = len(self.languages)
-        out = np.zeros((len(words), 2 * k + 1), np.float32)
-        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-        for at in range(0, len(words), 2048):
-            rows = order[at : at + 2048]
-            codes, reverse, mirror = self._codes([words[i] for i in rows.tolist()])
-            joined = self._joined(self._states(codes, "f"), self._states(reverse, "b"), mirror)
-            scores = joined @ self.weights["out"] + self.weights["bias"]
-            scores -= scores.max(axis=2, keepdims=True)
-            odds = np.exp(scores)
-            total = odds.sum(axis=2, keepdims=True)
-            inside = (mirror >= 0).T[:, :, None]
-            out[rows, :k] = ((scores - np.log(total)) * inside).sum(axis=0)
-            out[rows, k : 2 * k] = (odds / total * inside).sum(axis=0)
-            out[rows, 2 * k] = inside.sum(axis=0)[:, 0]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        cuts = -(-sizes // (CORE - 3))  # a cut moves back by 3 bytes at most
+        own = np.repeat(np.arange(len(texts)), cuts)
+        start = begin[own] + (np.arange(len(own)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * (CORE - 3)
+        for _ in range(3):
+            start = start - ((data[start] & 0xC0 == 0x80) & (start > begin[own]))
+        stop = np.where(np.append(own[1:] == own[:-1], False), np.append(start[1:], 0), (begin + sizes)[own])
+        out = np.zeros((len(texts), 2 * k + 1))
+        order = np.argsort(start - stop, kind="stable")
+        for at in range(0, len(order), LANES):
+            rows = order[at : at + LANES]
+            found = self._pooled(data, start[rows], stop[rows], begin[own[rows]], (begin + sizes)[own[rows]])
+            np.add.at(out, own[rows], found)
         return out
 
+    def _pooled(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """``sums`` of windows start to stop within texts first to end, side by side."""
+        h, w, n, longest = self.hidden, self.weights, len(start), int((stop - start).max())
+        place = start + np.arange(-WARM, longest + WARM)[:, None]
+        inside = (place >= first) & (place < np.minimum(end, stop + WARM))  # what is beyond depends on the windows beside
+        codes = data[np.clip(place, 0, len(data) - 1)]
+        counted = place < stop  # of the window itself, where place >= start
+        # a sigmoid is half a tanh of half its argument, so the gates' weights are halved
+        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(w["out"].dtype)
+        reads = {side: np.ascontiguousarray((w[f"in_{side}"] * half).T) for side in "fb"}
+        again = {side: np.ascontiguousarray((w[f"re_{side}"] * half).T) for side in "fb"}
+
+        def step(side: str, t: int, state: np.ndarray) -> np.ndarray:
+            x, u = reads[side].take(codes[t], axis=1), again[side] @ state
+            gates = np.tanh(x[: 2 * h] + u[: 2 * h])
+            gates += 1
+            gates *= 0.5
+            u = u[2 * h :]
+            u += w[f"c_{side}"][:, None]
+            u *= gates[h:]
+            u += x[2 * h :]
+            np.tanh(u, out=u)
+            state = state - u
+            state *= gates[:h]
+            state += u
+            return state if whole[t] else state * inside[t]
+
+        whole = inside.all(axis=1)
+        state = np.zeros((h, n), w["out"].dtype)
+        held = np.empty((longest, h, n), w["out"].dtype)
+        for t in range(WARM + longest):
+            state = step("f", t, state)
+            if t >= WARM:
+                held[t - WARM] = state
+        k = len(self.languages)
+        forth, back = np.ascontiguousarray(w["out"][:h].T), np.ascontiguousarray(w["out"][h:].T)
+        logs, odds = np.zeros((k, n)), np.zeros((k, n))
+        state = np.zeros((h, n), w["out"].dtype)
+        for t in range(2 * WARM + longest - 1, WARM - 1, -1):
+            state = step("b", t, state)
+            if t < WARM + longest:
+                scores = forth @ held[t - WARM] + back @ state + w["bias"][:, None]
+                scores -= scores.max(axis=0)
+                p = np.exp(scores)
+                total = p.sum(axis=0)
+                if counted[t].all():
+                    logs += scores - np.log(total)
+                    odds += p / total
+                else:
+                    logs += (scores - np.log(total)) * counted[t]
+                    odds += p / total * counted[t]
+        return np.concatenate([logs, odds, (stop - start)[None]]).T
+
     def _gradients(self, words: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
         codes, reverse, mirror = self._codes(words)
         traces: dict[str, list] = {"f": [], "b": []}
@@ -137,24 +196,25 @@ class ByteGRU:
                 d_re += before.T @ d_u
                 d_c += d_un.sum(axis=0)
                 d_state = d * z + d_u @ w_re.T
-            one_hot = np.zeros((read.size, 256), np.float32)
-            one_hot[np.arange(read.size), read.T.reshape(-1)] = 1
-            grads |= {f"re_{side}": d_re, f"c_{side}": d_c, f"in_{side}": one_hot.T @ flat(d_x)}
+            byte = read.T.reshape(-1)
+            d_in = np.stack([np.bincount(byte, column, 256) for column in flat(d_x).T], axis=1).astype(np.float32)
+            grads |= {f"re_{side}": d_re, f"c_{side}": d_c, f"in_{side}": d_in}
         return grads
 
-    def fit(self, words: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 1024, rate: float = 0.015) -> ByteGRU:
-        """Adam over shuffled batches of words of like length."""
-        rng = np.random.default_rng(SEED)
+    def fit(self, runs: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = 192, rate: float = 0.02) -> ByteGRU:
+        """Adam over shuffled batches of runs; every run is read, and ``steps`` updates made at least."""
+        rng, batch = np.random.default_rng(SEED), min(batch, max(16, len(runs) // 8))
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        lengths, step = np.fromiter(map(len, words), np.int64, len(words)), 0
-        total = epochs * -(-len(words) // batch)
-        for _ in range(epochs):
-            order = rng.permutation(len(words))
-            order = order[np.argsort(lengths[order], kind="stable")]
-            parts = [order[a : a + batch] for a in range(0, len(order), batch)]
-            for p in rng.permutation(len(parts)).tolist():
-                grads, step = self._gradients([words[i] for i in parts[p].tolist()], labels[parts[p]]), step + 1
+        per_epoch = -(-len(runs) // batch)
+        total, step = max(steps, per_epoch), 0
+        while step < total:
+            order = rng.permutation(len(runs))
+            for at in range(0, len(order), batch):
+                if step == total:
+                    break
+                part = order[at : at + batch]
+                grads, step = self._gradients([runs[i] for i in part.tolist()], labels[part]), step + 1
                 now = rate * (1 - step / (total + 1))
                 for k, g in grads.items():
                     first[k] += 0.1 * (g - first[k])
@@ -163,50 +223,29 @@ class ByteGRU:
         return self
 
 
-def segments(text: str) -> list[bytes]:
-    """Words of a whole text, long ones cut."""
-    words = text.encode("utf-8", "replace").split()
-    if max(map(len, words), default=0) <= SEGMENT:
-        return words
-    return [w[a : a + SEGMENT] for w in words for a in range(0, len(w), SEGMENT)]
-
-
-class Labeller:
-    """Predicts texts; remembers the sums of up to ``most`` distinct words."""
-
-    def __init__(self, model: ByteGRU, most: int = 200_000):
-        self.model, self.most = model, most
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.table = np.zeros((4096, 2 * len(self.model.languages) + 1), np.float32)
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = sorted(words)
-        found, at = self.model.sums([b" %b " % w for w in new]), len(self.index)
-        while len(self.table) < at + len(new):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at : at + len(new)] = found
-        self.index.update(zip(new, range(at, at + len(new)), strict=True))
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        k, languages, out = len(self.model.languages), self.model.languages, []
-        split = [segments(t) if languages and t and any(map(str.isalpha, t)) else [] for t in texts]
-        unknown = set().union(*split).difference(self.index) if split else set()
-        if len(self.index) + len(unknown) > self.most:
-            self._forget()
-            unknown = set().union(*split)
-        if unknown:
-            self._learn(unknown)
-        for words in split:
-            if not words or not languages:
-                out.append((UNKNOWN, 0.0))
-                continue
-            total = self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-            best = int(total[:k].argmax())
-            out.append((languages[best], min(1.0, max(0.0, float(total[k + best] / total[2 * k])))))
-        return out
+def runs(text: str) -> list[bytes]:
+    """All bytes of a text in runs of at most ``RUN``, cut between characters."""
+    data, out, at = text.encode("utf-8", "replace"), [], 0
+    while at < len(data):
+        to = min(at + RUN, len(data))
+        while to < len(data) and data[to] & 0xC0 == 0x80:
+            to -= 1
+        out.append(data[at:to])
+        at = to
+    return out
+
+
+def predict(model: ByteGRU, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and score of each text."""
+    k, out = len(model.languages), [(UNKNOWN, 0.0)] * len(texts)
+    rows = [i for i, t in enumerate(texts) if k and t and any(map(str.isalpha, t))]
+    if rows:
+        total = model.sums([texts[i].encode("utf-8", "replace") for i in rows])
+        best = total[:, :k].argmax(axis=1)
+        score = np.clip(total[np.arange(len(rows)), k + best] / total[:, 2 * k], 0, 1)
+        for i, b, s in zip(rows, best.tolist(), score.tolist(), strict=True):
+            out[i] = (model.languages[b], s)
+    return out
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -224,17 +263,15 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteGRU:
         return model
     share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(per_language / counts[lang]))))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    at = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1
-    window = F.substring("text", at.cast("int"), F.lit(WINDOW))
     # the limit only guards against many rows of one id
-    rows = usable.where(chosen).select("doc_id", "lang", window.alias("text")).limit(2 * per_language * len(languages)).collect()
-    words, labels = [], []
+    rows = usable.where(chosen).select("doc_id", "lang", "text").limit(2 * per_language * len(languages)).collect()
+    pieces, labels = [], []
     for row in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
-        own = segments(row["text"])
-        words += [b" %b " % w for w in own]
+        own = runs(row["text"])
+        pieces += own
         labels += [languages.index(row["lang"])] * len(own)
-    if words:
-        model.fit(words, np.array(labels))
+    if pieces:
+        model.fit(pieces, np.array(labels))
     return model
 
 
@@ -242,10 +279,9 @@ def identify(docs: DataFrame, model: ByteGRU) -> DataFrame:
     """``row`` (the document as it came), lang_pred and score; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model)
         for batch in batches:
             row = batch.column(0)
-            found = [x for _, _, texts in chunks(pa.RecordBatch.from_arrays([row.field("text")], ["text"])) for x in labeller.predict(texts)]
+            found = [x for _, _, texts in chunks(pa.RecordBatch.from_arrays([row.field("text")], ["text"])) for x in predict(model, texts)]
             yield pa.RecordBatch.from_arrays([row, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["row", "lang_pred", "score"])
 
     rows = docs.select(F.struct("*").alias("row"))
