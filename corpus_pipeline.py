@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreloom.llm.language import keep_known
+from oreloom.llm.near_copies import keep_distinct
 from oreloom.llm.pii import redact
 from oreloom.llm.quality import keep_good
 from oreloom.llm.repacking import op10
-from oreloom.llm.simhash import keep_representatives
 from oreloom.plans.storage import materialise
 
 
@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return keep_representatives(docs)
+    """Keeps one document of each group of near copies (Jaccard 0.8 or more of five-word shingles)."""
+    return keep_distinct(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places every document's pieces in training sequences."""
-    return op10(docs)
+    return op10(docs, special=True)
 
 
 STAGES = [
