@@ -52,7 +52,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op7(_table(spark, sf_dir, "pages"))
+    return op7(_table(spark, sf_dir, "pages"), plain_forms=False)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
