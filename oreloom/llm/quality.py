@@ -15,7 +15,7 @@ summed where it is read.  The removed lines of a host reach its documents by a b
 of checked size, else by a join that adaptive execution may split; texts move only then.
 
 Defined cases: null and blank texts have no words and fail the base rule; a null source
-is a host of its own; very long texts are read whole; repeated rows count as one document
+is a host of its own, and so is an empty one; very long texts are read whole; repeated rows count as one document
 for the limits and each get a row; an empty table gives no rows; other columns don't
 matter, even if named as a result.
 """
@@ -81,17 +81,22 @@ def _line_hash(line: Column) -> Column:
     return F.when(flat != "", F.xxhash64(F.lower(flat)))
 
 
+def _host(source: str) -> Column:
+    """A key of the host that tells a null source from an empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
 def frequent_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """(host, line, documents) of the lines above their host's limit."""
     hashes = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), _line_hash), lambda h: h.isNotNull())))
-    rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce(hashes, F.array().cast("array<long>")).alias("all"))
+    rows = docs.select(_host("source").alias("host"), F.coalesce(hashes, F.array().cast("array<long>")).alias("all"))
     # the null line stands for the document itself: its count is the host's size
     held = rows.select("host", F.xxhash64("all").alias("document"), F.explode(F.concat("all", F.array(F.lit(None).cast("long")))).alias("line"))
     once = held.groupBy("host", "line", "document").agg(F.lit(1).alias("one"))
     counted = once.groupBy("host", "line").agg(F.count("*").alias("documents")).where((F.col("documents") >= least) | F.col("line").isNull())
     counted = materialise(counted, "counts")
     hosts = counted.where(F.col("line").isNull()).select("host", F.col("documents").alias("size"))
-    return counted.where(F.col("line").isNotNull()).join(hosts, "host").where(F.col("documents") >= F.col("size") * share).select("host", "line", "documents")
+    return counted.where(F.col("line").isNotNull()).join(hosts, "host").where(F.col("documents") >= F.col("size") * share).select(F.when(F.col("host") != "", F.substr("host", F.lit(2))).alias("host"), "line", "documents")
 
 
 def assess(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
@@ -100,10 +105,10 @@ def assess(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE,
     Adds n_words .. n_repeat_words, left_words (after removal), base_failed, depleted,
     kept, and cleaned: the text without removed lines, null if none was removed.
     """
-    found = materialise(frequent_lines(docs, least, share).select("host", "line"), "lines")
+    found = materialise(frequent_lines(docs, least, share).select(_host("host").alias("host"), "line"), "lines")
     by_host = found.groupBy("host").agg(F.collect_set("line").alias("removed"))
     small = bounded_rows(found, BROADCAST_LINES) is not None
-    rows = docs.select(F.struct("*").alias("row")).withColumn("host", F.coalesce(F.col("row.source").cast("string"), F.lit("")))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("host", _host("row.source"))
     rows = rows.join(F.broadcast(by_host) if small else by_host, "host", "left")
     held = F.struct(F.split("row.text", "\n").alias("lines"), F.col("removed").alias("removed"))
 
