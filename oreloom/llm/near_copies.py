@@ -18,7 +18,7 @@ test.  Survivors are verified on the whole sets.
 
 Rounds keep groups linear: at first a text proposes one partner a key, the first of its
 order, so that a group of copies proposes little more than a star.  Proposals are verified,
-groups joined, and texts that are still apart propose more partners, four times as many
+groups joined, and texts that are still apart propose more partners, eight times as many
 each round, until nothing is left to propose.  Keys of more than ``MOST`` texts are dealt
 into blocks, and every pair of blocks is compared.
 
@@ -35,6 +35,7 @@ are read whole; an empty table gives no rows; other columns are kept as they cam
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.storage import bounded_rows, materialise
-from .rows import chunks, per_worker
+from .rows import chunks
 from .simhash import pivots
 
 SHINGLE = 5
@@ -61,49 +62,51 @@ BROADCAST_ROWS = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, size: int, known: _Words) -> np.ndarray:
-    """Hashes of the distinct shingles of a whole text, sorted."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - size + 1)
-    out = np.full(n, min(size, len(words)), np.uint64)
-    for k in range(min(size, len(words))):
-        out = _mixed((out + hashes[k : k + n]) * _ODD)
-    return np.unique(out)
+def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """Hashes of each whole text's shingles, in order."""
+    from xxhash import xxh3_64_intdigest
+
+    words = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
+    count = np.fromiter(map(len, words), np.int64, len(words))
+    hashes = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(count.sum()))
+    out = np.full(len(hashes), size, np.uint64)
+    for k in range(min(size, len(out))):  # all texts at once; what reaches over a text's end is cut away
+        out[: len(out) - k] = _mixed((out[: len(out) - k] + hashes[k:]) * _ODD)
+    end = np.cumsum(count)
+    found = [out[b - n : b - size + 1] for b, n in zip(end.tolist(), count.tolist(), strict=True)]
+    for i in np.flatnonzero((count > 0) & (count < size)).tolist():  # the whole sequence
+        one = np.full(1, count[i], np.uint64)
+        for k in range(end[i] - count[i], end[i]):
+            one = _mixed((one + hashes[k]) * _ODD)
+        found[i] = one
+    return found
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    hashes = np.sort(hashes)
+    return hashes[np.append(True, hashes[1:] != hashes[:-1])] if len(hashes) else hashes
 
 
 def simhash(hashes: np.ndarray) -> int:
     """64-bit SimHash of distinct shingles; zero for none."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # sums of 255 bits fit a byte
+        counts += np.unpackbits(hashes[at : at + 255].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint8)
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    known = per_worker(("words",), _Words)
+def _hashed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Pieces of batches (text last) with the shingles of their texts; a piece holds a bounded number of characters."""
     for batch in batches:
-        yield batch, [shingles(t, size, known) for _, _, texts in chunks(batch) for t in texts]
+        for start, end, texts in chunks(batch):
+            yield batch.slice(start, end - start), shingles(texts, size)
 
 
 def _class_of(hashes: np.ndarray) -> int:
@@ -113,13 +116,12 @@ def _class_of(hashes: np.ndarray) -> int:
 
 
 def bucket_counts(docs: DataFrame, size: int = SHINGLE, buckets: int = BUCKETS) -> np.ndarray:
-    """Number of (text, shingle) of each hash bucket, over all texts; at most ``buckets`` rows come to the driver."""
+    """Number of shingles of each hash bucket, over all texts; at most ``buckets`` rows come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for _, found in _sets(batches, size):
-            if found:
-                total += np.bincount((np.concatenate(found) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        for _, found in _hashed(batches, size):
+            total += np.bincount((np.concatenate(found) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["bucket", "n"])
 
@@ -133,15 +135,16 @@ def sign(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE, similarity: f
     """(doc_id, cid, fp, n, keys) of every row: its class, fingerprint, number of shingles, and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _sets(batches, size):
-            keys = []
+        for batch, found in _hashed(batches, size):
+            found, keys = list(map(_distinct, found)), []
             for hashes in found:
                 often = counts[(hashes & np.uint64(len(counts) - 1)).astype(np.int64)]
-                most = len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1
-                keys.append(hashes[np.lexsort((hashes, often))[: most if len(hashes) else 0]].view(np.int64))
+                most = len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+                keys.append(hashes[np.argsort(often, kind="stable")[:most]].view(np.int64))  # hashes are sorted, so ties go by them
+            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             columns = [
                 batch.column(0), pa.array(np.array([_class_of(x) for x in found], np.int64)), pa.array(np.array([simhash(x) for x in found], np.uint64).view(np.int64)),
-                pa.array(np.array([len(x) for x in found], np.int64)), pa.array(keys, pa.list_(pa.int64())),
+                pa.array(np.array([len(x) for x in found], np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cid", "fp", "n", "keys"])
 
@@ -217,7 +220,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     """Proposed pairs (a, b) and ``linked``: whether their whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _sets(batches, size):
+        for _, found in _hashed(batches, size):
+            found = list(map(_distinct, found))
             yield pa.RecordBatch.from_arrays([pa.array([_class_of(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["cid", "own"])
 
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "least"), "cid"), "wanted")
@@ -259,7 +263,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
                 roots = materialise(connected_components(linked), "roots")
         elif bounded_rows(found.where("a = b"), 0) is not None:
             break
-        offers *= 4
+        offers *= 8
     if roots is not None:
         named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
         named = materialise(named, "named")
