@@ -58,14 +58,16 @@ def unique_names(rows: DataFrame, group: str, order: str, name: str = "candidate
     """Adds ``unique_name``: of equal names in a group the later ones get -2, -3 … before the first dot.
 
     A numbered name may itself be someone's candidate.  Then the later of the two moves on
-    to the next free number; such groups are rare, and only they take a second pass.
+    to the next free number; such names are rare, and only they take a second pass.
     """
     again = Window.partitionBy(group, name).orderBy(order)
     head, tail = F.substring_index(name, ".", 1), F.expr(f"substring({name}, length(substring_index({name}, '.', 1)) + 1)")
     numbered = lambda n: F.when(n == 1, F.col(name)).otherwise(F.concat(head, F.lit("-"), n, tail))
     out = rows.withColumn("_n", F.row_number().over(again)).withColumn("unique_name", numbered(F.col("_n")))
-    clash = out.groupBy(group, "unique_name").count().where("count > 1").select(group).distinct()
-    fine, odd = out.join(clash, group, "left_anti").drop("_n"), out.join(clash, group, "left_semi").drop("_n", "unique_name")
+    # numbers only meet within a family: names that are equal but for numbers at the stem's end
+    out = out.withColumn("_family", F.concat(F.regexp_replace(head, "(?:-[0-9]+)+$", ""), tail))
+    clash = out.groupBy(group, "_family", "unique_name").count().where("count > 1").select(group, "_family").distinct()
+    fine, odd = out.join(clash, [group, "_family"], "left_anti").drop("_n", "_family"), out.join(clash, [group, "_family"], "left_semi").drop("_n", "unique_name")
 
     def probe(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -79,9 +81,9 @@ def unique_names(rows: DataFrame, group: str, order: str, name: str = "candidate
                 chosen = f"{stem}-{n}{dot}{ending}"
             taken.add(chosen)
             given.append(chosen)
-        return pdf.assign(unique_name=given)
+        return pdf.drop(columns="_family").assign(unique_name=given)
 
-    return fine.unionByName(odd.groupBy(group).applyInPandas(probe, fine.schema))
+    return fine.unionByName(odd.groupBy(group, "_family").applyInPandas(probe, fine.schema))
 
 
 def _dedented(code: Column) -> Column:
@@ -127,25 +129,52 @@ def bundle(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return named.select("slice_id", "node_id", "kind", F.col("unique_name").alias("name"), F.coalesce("body", script).alias("content"))
 
 
+# Fixed value: text of a helper script.  Names in braces stand for what differs.
+_HELPER = '''\
+#!/usr/bin/env python3
+"""Helper script around a mined function.
+
+Source: {place}
+
+Call it by its command line; the code below need not be read for that:
+    python scripts/{file} --help
+    python scripts/{file} --args-json '[...]'
+    python scripts/{file} --kwargs-json '{...}'
+"""
+
+{imports}{code}
+
+
+def _main():
+    import argparse
+    import json
+
+    options = argparse.ArgumentParser(description="Run extracted function {name}")
+    options.add_argument("--args-json", type=json.loads, default=[], help="positional arguments, a JSON array")
+    options.add_argument("--kwargs-json", type=json.loads, default={}, help="keyword arguments, a JSON object")
+    given = options.parse_args()
+    if not isinstance(given.args_json, list):
+        options.error("--args-json takes a JSON array")
+    if not isinstance(given.kwargs_json, dict):
+        options.error("--kwargs-json takes a JSON object")
+    found = {name}(*given.args_json, **given.kwargs_json)
+    if found is not None:
+        print(json.dumps(found, ensure_ascii=False, default=str))
+
+
+if __name__ == "__main__":
+    _main()
+'''
+
+
 def helper_script() -> Column:
-    """Stand-alone helper around a function; \\u0001 stands for its file name, \\u0002 for its code."""
+    """Stand-alone helper around a function; the places of its file name and its code stay open."""
     place = F.concat(F.coalesce("file_path", F.lit("<unknown>")), F.lit(":"), F.col("start_line"), F.lit("-"), F.col("end_line"))
-    use = "".join(f"    python scripts/\u0001 {x}\n" for x in ("--help", "--args-json '[...]'", "--kwargs-json '{...}'"))
-    head = F.concat(
-        F.lit('#!/usr/bin/env python3\n"""Extracted EASM helper script.\n\nSource: '), place,
-        F.lit("\nRun with --help before use. Pass function arguments as JSON so the script can\nact as a black-box helper without loading source into the agent context.\n\nUsage:\n" + use + '"""\n\n'),
-    )
     imports = F.when(F.size("imports") > 0, F.concat(F.array_join("imports", "\n"), F.lit("\n\n"))).otherwise("")
-    # Fixed value: the command line of a helper.
-    start = F.concat(F.lit('\n\n\ndef _main():\n    import argparse\n    import json\n\n    parser = argparse.ArgumentParser(description="Run extracted function '), F.col("name"), F.lit('")\n'))
-    middle = F.lit(
-        '    parser.add_argument("--args-json", default="[]", help="JSON array of positional arguments")\n'
-        '    parser.add_argument("--kwargs-json", default="{}", help="JSON object of keyword arguments")\n    parsed = parser.parse_args()\n\n'
-        "    args = json.loads(parsed.args_json)\n    kwargs = json.loads(parsed.kwargs_json)\n    if not isinstance(args, list):\n"
-        '        raise SystemExit("--args-json must decode to a JSON array")\n    if not isinstance(kwargs, dict):\n        raise SystemExit("--kwargs-json must decode to a JSON object")\n\n'
-    )
-    end = F.concat(
-        F.lit("    result = "), F.col("name"),
-        F.lit('(*args, **kwargs)\n    if result is not None:\n        print(json.dumps(result, ensure_ascii=False, default=str))\n\n\nif __name__ == "__main__":\n    _main()\n'),
-    )
-    return F.concat(head, imports, F.lit("\u0002"), start, middle, end)
+    values = {"{place}": place, "{imports}": imports, "{name}": F.col("name")}
+    out = F.lit(_HELPER.replace("{file}", "\u0001").replace("{code}", "\u0002"))
+    for k, name in enumerate(values):  # first to marks, as a value may hold the name of a place
+        out = F.replace(out, F.lit(name), F.lit(chr(k + 3)))
+    for k, value in enumerate(values.values()):
+        out = F.replace(out, F.lit(chr(k + 3)), value)
+    return out

@@ -91,7 +91,7 @@ def node_context(most: int = 4000) -> Column:
     some = lambda label, column, glue=", ": F.when(F.size(column) > 0, line(label, F.array_join(column, glue)))
     text = lambda label, column: F.when(F.coalesce(c(column), F.lit("")) != "", line(label, c(column)))
     span = lambda label, a, b: F.concat(F.lit(label + ": "), c(a), F.lit("-"), c(b))
-    code = F.when(F.length("raw_code") > most, F.concat(F.substring("raw_code", 1, most), F.lit("\n# ... truncated by ExtractedNode.render_llm_context"))).otherwise(c("raw_code"))
+    code = F.when(F.length("raw_code") > most, F.concat(F.substring("raw_code", 1, most), F.lit("\n# ... truncated by the length limit"))).otherwise(c("raw_code"))
     parts = F.array(
         line("Node", c("name")), line("Language", c("language")), line("Type", c("node_type")), line("Signature", c("signature")), span("Lines", "start_line", "end_line"),
         span("Bytes", "start_byte", "end_byte"), text("File", "file_path"), some("Scope", "scope_path", " > "), text("Docstring", "docstring"), some("Annotations", "annotations"),
