@@ -323,17 +323,11 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {_COMMENT}, f as (select event_id, path, text, docstring, octet_length(encode(text)) as n_bytes, replace(regexp_extract(path, '([^/]+?)(\\.[^./]+)?$', 1), '.', '_') as name,
-  length(text) - length(replace(text, chr(10), '')) + 1 as n from {CODE} left join comment using (event_id) where event_id % 8 in (0, 5))
+  length(text) - length(replace(text, chr(10), '')) + 1 as n from {CODE} left join comment using (event_id))
 select path as file_path, 'Node: ' || name || chr(10) || 'Language: ' || l || chr(10) || 'Type: file' || chr(10) || 'Signature: ' || d || ' source file ' || regexp_extract(path, '[^/]+$') || chr(10)
   || 'Lines: 1-' || n || chr(10) || 'Bytes: 0-' || n_bytes || chr(10) || 'File: ' || path || chr(10) || coalesce('Docstring: ' || docstring || chr(10), '') || '```' || l || chr(10) || text || chr(10) || '```' as context
-from (select *, case when event_id % 8 = 0 then 'javascript' else 'generic' end as l, case when event_id % 8 = 0 then 'JavaScript' else 'Generic Source' end as d from f)""")
-def llm_context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model context of nodes."""
-    nodes = extract.generic_nodes(with_runtime(_code(spark, sf_dir).where("event_id % 8 in (0, 5)")))
-    return nodes.select("file_path", document.node_context().alias("context"))
-
-
-@query()
+from (select *, case event_id % 8 when 0 then 'javascript' when 1 then 'shell' when 2 then 'python' when 3 then 'javascript' when 4 then 'lua' when 6 then 'csharp' when 7 then 'java' else 'generic' end as l,
+  case event_id % 8 when 0 then 'JavaScript' when 1 then 'Shell' when 2 then 'Python' when 3 then 'JavaScript' when 4 then 'Lua' when 6 then 'C#' when 7 then 'Java' else 'Generic Source' end as d from f)""")
 def llm_context_render_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model context of the nodes of all eight kinds of source files."""
     return extract.generic_nodes(with_runtime(_code(spark, sf_dir))).select("file_path", document.node_context().alias("context"))
@@ -382,20 +376,6 @@ def response_payload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", validate.response_error("body", ("name", "value")).alias("error"), validate.status_class("code").alias("status"))
 
 
-_EDGES = "select 'p' || (l_partkey % 1200) as a, 's' || (l_orderkey % 1100) as b from lineitem where l_linenumber = 1 and l_orderkey % 13 = 0"
-
-
-@query(f"""
-with recursive e as ({_EDGES}), s as (select a as x, b as y from e union select b, a from e),
-r as (select x as node, x as other from s union select r.node, s.y from r join s on r.other = s.x)
-select node, min(other) as root from r group by 1""")
-def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the part and order graph."""
-    edges = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 13 = 0").selectExpr("'p' || (l_partkey % 1200) || ' , s' || (l_orderkey % 1100) as edge")
-    parsed = data.parse_edges(edges).where("error is null")
-    return components(parsed.select(F.col("left").alias("a"), F.col("right").alias("b")))
-
-
 @query()
 def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components over every row of lineitem, ids as they are; too large for a recursive twin, so held against union-find."""
@@ -404,23 +384,8 @@ def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(parsed.select(F.col("left").alias("a"), F.col("right").alias("b")))
 
 
-_FOLD = "translate(regexp_replace(substr(text, 1, 400), '[^a-zA-Z]', ''{g}), 'bdefhijklmnopqrsuvwxyzBDEFHIJKLMNOPQRSUVWXYZ', 'acgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTAC')"
-
-
-@query(f"""select doc_id, case when length(s) = 0 then 0.0 else (length(s) - length(regexp_replace(upper(s), '[GC]', '', 'g')))::double / length(s) end as gc from (select doc_id, {_FOLD.format(g=", 'g'")} as s from documents)""")
-def gc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GC content of texts folded to bases."""
-    return _table(spark, sf_dir, "documents").selectExpr("doc_id", _FOLD.format(g="") + " as s").select("doc_id", data.gc_content("s").alias("gc"))
-
-
-@query(f"""select doc_id, reverse(translate(s, 'ACGTacgt', 'TGCAtgca')) as rc from (select doc_id, {_FOLD.format(g=", 'g'")} as s from documents)""")
-def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reverse complements of texts folded to bases."""
-    return _table(spark, sf_dir, "documents").selectExpr("doc_id", _FOLD.format(g="") + " as s").select("doc_id", data.reverse_complement("s").alias("rc"))
-
-
-#: The same of whole texts.
-_WHOLE = _FOLD.replace("substr(text, 1, 400)", "text")
+#: Whole texts folded to bases.
+_WHOLE = "translate(regexp_replace(text, '[^a-zA-Z]', ''{g}), 'bdefhijklmnopqrsuvwxyzBDEFHIJKLMNOPQRSUVWXYZ', 'acgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTAC')"
 
 
 @query(f"""select doc_id, case when length(s) = 0 then 0.0 else (length(s) - length(regexp_replace(upper(s), '[GC]', '', 'g')))::double / length(s) end as gc from (select doc_id, {_WHOLE.format(g=", 'g'")} as s from documents)""")
@@ -485,18 +450,14 @@ def sandbox_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with a as (select user_id % 5 || '' as client, event_id as request_id, (event_id // 40)::double as arrival from events where event_id % 10 = 0),
-r as (select *, row_number() over (partition by client order by arrival, request_id) - 1 as i from a)
-select client, request_id, arrival from r""")
-def token_bucket_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests as the rate limiter orders them; waits are checked in the tests."""
-    rows = _table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr("cast(user_id % 5 as string) as client", "event_id as request_id", "cast(event_id div 40 as double) as arrival", "1.0D as tokens")
-    return token_bucket(rows, 30.0).where("error is null and granted >= arrival").select("client", "request_id", "arrival")
-
-
-@query()
+with a as (select user_id % 5 || '' as client, event_id as request_id, (event_id // 40)::double as arrival from events),
+s as (select *, row_number() over w as n, max(arrival) over w as latest from a window w as (partition by client order by arrival, request_id)),
+v as (select *, max(arrival - (n - 1) * 2.0) over (partition by client order by n) as far from s),
+h as (select *, greatest(arrival, (n - 1) * 2.0 + far + (1.0 - 30.0) * 2.0) as ready from v),
+g as (select *, max(ready) over (partition by client order by n) as granted from h)
+select client, request_id, arrival, granted, granted - arrival as wait, null::varchar as error from g""")
 def token_bucket_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grant times and waits of all events; a recurrence over floats, so held against brute force."""
+    """Grant times and waits of all events."""
     rows = _table(spark, sf_dir, "events").selectExpr("cast(user_id % 5 as string) as client", "event_id as request_id", "cast(event_id div 40 as double) as arrival", "1.0D as tokens")
     return token_bucket(rows, 30.0)
 

@@ -1,14 +1,16 @@
-"""Token bucket as a stateful operator: when each request may go, per client."""
+"""Token bucket: when each request may go, per client; over a table, and as a stateful stream."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.storage import materialise
+
 OUT = "client string, request_id long, arrival double, granted double, wait double, error string"
 
 
@@ -33,14 +35,43 @@ def grant(requests: pd.DataFrame, capacity: float, rate: float, level: float, at
     return pd.DataFrame(rows, columns=["client", "request_id", "arrival", "granted", "wait", "error"]), level, at
 
 
-def token_bucket(requests: DataFrame, per_minute: float = 60.0) -> DataFrame:
-    """Batch form over (client, request_id, arrival, tokens); one client's order is its own task."""
-    capacity, rate = max(1.0, per_minute), per_minute / 60.0
+def token_bucket(requests: DataFrame, per_minute: float = 60.0, block: float = 3600.0) -> DataFrame:
+    """Batch form over (client, request_id, arrival, tokens), by running sums and maxima alone.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return grant(pdf, capacity, rate, capacity, float(pdf["arrival"].min()))[0]
+    After request n the bucket is full again at V(n) = max(arrival, V(n - 1)) + tokens / rate,
+    which is S(n) / rate + the largest arrival(k) - S(k - 1) / rate so far, S being the tokens
+    asked for.  A request goes when it has come, those before it have gone, and V(n - 1) is no
+    further off than what it leaves in the bucket takes to refill.
 
-    return requests.groupBy("client").applyInPandas(run, OUT)
+    Windows run within ``block`` seconds of a client and a row a block carries their ends on,
+    so a client with very many requests is spread over tasks.
+    """
+    capacity, rate = max(1.0, per_minute), per_minute / 60.0
+    error = F.when(F.col("tokens") <= 0, "tokens must be positive").when(F.col("tokens") > capacity, "requested tokens exceed bucket capacity")
+    rows = requests.select(F.col("client").cast("string").alias("client"), F.col("request_id").cast("long").alias("request_id"), F.col("arrival").cast("double").alias("arrival"), F.col("tokens").cast("double").alias("tokens"))
+    rows = rows.withColumn("error", F.when(F.col("tokens").isNull(), "tokens must be positive").otherwise(error)).withColumn("block", F.floor(F.col("arrival") / block))
+    rows = rows.withColumn("asked", F.when(F.col("error").isNull(), F.col("tokens")).otherwise(0.0))
+    key = ("client", "block")
+    inside = Window.partitionBy(*key).orderBy("arrival", "request_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("client").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def joined(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+        same = [rows[c].eqNullSafe(blocks[c]) for c in key]
+        return rows.join(blocks, same[0] & same[1], "left").drop(*(blocks[c] for c in key))
+
+    lead = F.when(F.col("error").isNull(), F.col("arrival") - (F.col("total") - F.col("asked")) / rate)
+    rows = rows.withColumn("total", F.sum("asked").over(inside)).withColumn("lead", F.max(lead).over(inside))
+    rows = materialise(rows, "requests")
+    blocks = rows.groupBy(*key).agg(F.sum("asked").alias("in_block"), F.max("lead").alias("far"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("in_block").over(earlier), F.lit(0.0))).withColumn("prior", F.max(F.col("far") - F.col("before") / rate).over(earlier))
+    rows = joined(rows, blocks.select(*key, "before", "prior"))
+    full = (F.col("before") + F.col("total") - F.col("asked")) / rate + F.greatest(F.col("prior"), F.col("lead") - F.col("before") / rate)
+    ready = F.when(F.col("error").isNull(), F.greatest(F.col("arrival"), full + (F.col("tokens") - capacity) / rate))
+    rows = materialise(rows.withColumn("ready", F.max(ready).over(inside)), "ready")
+    blocks = rows.groupBy(*key).agg(F.max("ready").alias("last")).withColumn("gone", F.max("last").over(earlier))
+    granted = F.when(F.col("error").isNull(), F.greatest("ready", "gone"))
+    out = joined(rows, blocks.select(*key, "gone")).withColumn("granted", granted)
+    return out.select("client", "request_id", "arrival", "granted", (F.col("granted") - F.col("arrival")).alias("wait"), "error")
 
 
 def token_bucket_stream(requests: DataFrame, per_minute: float = 60.0) -> DataFrame:
