@@ -17,6 +17,7 @@ from .operators.components import connected_components as components
 from .plans.mining import mine_files
 from .plans.storage import spread
 from .sources.scan import with_runtime
+from . import twins
 from .streaming.limits import token_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,14 +520,51 @@ def security_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(nodes.select("node_id", "file_path"), "node_id").select("file_path", "rule_id", "severity", "line")
 
 
-@query()
+#: Source files of the mining queries with what their texts are made of.
+_FILES = f"f as (select event_id, event_id % 7 as k, {_MIXED_PATH} as path, {_MIXED} as text, {_NAME} as n, event_type as t, user_id, user_id % 50 || '' as u, user_id % 9 || '' as v from events)"
+
+
+def _node_id(start: str, end: str, name: str) -> str:
+    return f"path || ':' || ({start}) || '-' || ({end}) || ':' || {name} || ':' || substr(sha1(path || ':' || ({start}) || ':' || ({end}) || ':' || {name}), 1, 12)"
+
+
+def _bundled(k: int, name: str, start: str, end: str, kind: str, file: str, content: str) -> str:
+    return f"select replace(replace(replace(path, '/', '-'), '_', '-'), '.', '-') as slice_id, {_node_id(start, end, name)} as node_id, '{kind}' as kind, {file} as name, {content} as content from f where k = {k}"
+
+
+def _helper(name: str, lines: str, file: str, code: str, imports: str = "''") -> str:
+    return twins.filled(twins.HELPER, path="path", lines=f"'{lines}'", file=file, imports=imports, code=code, n=name)
+
+
+#: 1-based position of a text in a file, as the byte before it: the texts are ASCII.
+_AT = "(strpos(text, '{}') - 1)"
+_DEF, _PRIVATE, _STATIC, _ASYNC, _DOC = (_AT.format(x) for x in ("def ", "def _private", "@staticmethod", "async def", "/**"))
+
+
+@query(f"with {_FILES} " + " union all ".join((
+    _bundled(0, "n", _DEF, "length(text) - 1", "script", "replace(n, '_', '-') || '.py'", _helper("n", "4-7", "replace(n, '_', '-') || '.py'", f"rtrim(substr(text, {_DEF} + 1), chr(10))", "'import math' || chr(10) || 'import numpy as np' || chr(10) || chr(10)")),
+    _bundled(1, "n", f"{_STATIC} - 4", f"{_ASYNC} - 2", "method", "'method-' || replace(n, '_', '-') || '.md'", twins.filled(twins.METHOD, path="path", n="n")),
+    _bundled(1, "'fetch'", _ASYNC, "length(text) - 1", "script", "'fetch.py'", _helper("'fetch'", "6-7", "'fetch.py'", f"rtrim(substr(text, {_ASYNC} + 1), chr(10))")),
+    _bundled(2, "'wipe_' || t", _DEF, "length(text) - 1", "quarantine", "'quarantined-wipe-' || t || '.md'", twins.filled(twins.WIPE, t="t")),
+    _bundled(3, "n", "0", f"{_PRIVATE} - 1", "script", "replace(n, '_', '-') || '.py'", _helper("n", "1-2", "replace(n, '_', '-') || '.py'", f"substr(text, 1, {_PRIVATE} - 1)")),
+    _bundled(3, "'_private'", _PRIVATE, "length(text) - 1", "script", "'private.py'", _helper("'_private'", "3-4", "'private.py'", f"rtrim(substr(text, {_PRIVATE} + 1), chr(10))")),
+    _bundled(5, "'run' || v", _DOC, "length(text) - 2", "quarantine", "'quarantined-run' || v || '.md'", twins.filled(twins.JAVA, t="t", u="v")),
+    _bundled(6, "'m' || event_id", "0", "length(text)", "source", "'m' || event_id || '.md'", twins.filled(twins.SOURCE, path="path", n="'m' || event_id", t="t", user="user_id || ''")),
+)))
 def code_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts, references and quarantined code of nodes."""
     nodes = extract.mine(with_runtime(_mixed(spark, sf_dir))).where("error is null").withColumn("slice_id", text.slugify("file_path"))
     return bundle.bundle(nodes, bundle.findings(nodes))
 
 
-@query()
+@query(f"""
+with {_FILES}
+select {_node_id(_DEF, "length(text) - 1", "n")} as node_id, replace(n, '_', '-') as skill_id, 'python' as language, n || '.py' as filename,
+  'python scripts/' || n || '.py --rows-json ''{{}}'' --limit ''10'' --output json' as example_command,
+  {twins.filled(twins.PYTHON_SCRIPT, id="replace(n, '_', '-')", path="path", t="t")} as script_text,
+  {twins.filled(twins.PYTHON_MANUAL, id="replace(n, '_', '-')", n="n", t="t", u="u", title="upper(t[1]) || t[2:] || ' ' || u")} as skill_md from f where k = 0
+union all select {_node_id("0", "length(text)", "'m' || event_id")}, 'm' || event_id, 'javascript', 'm' || event_id || '.js', 'node scripts/m' || event_id || '.js', text || chr(10),
+  {twins.filled(twins.FILE_MANUAL, n="'m' || event_id", t="t", title="'M' || event_id")} from f where k = 6""")
 def mined_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole mining plan: packaged skills with script and document."""
     return mine_files(_mixed(spark, sf_dir)).packages.select("node_id", "skill_id", "language", "filename", "example_command", "script_text", "skill_md")
@@ -550,8 +588,14 @@ def mining_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_files(_mixed(spark, sf_dir)).rejects.groupBy("stage").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+with {_FILES}
+select replace(n, '_', '-') as skill_id, replace(n, '_', '-') || '/scripts/' || n || '.py' as script, replace(n, '_', '-') || '/SKILL.md' as doc, 'python' as language, 'python' as runtime_hint,
+  replace(max(path)[:-4], '/', '.') || '.' || n as source, max(path) as source_file, '{{"start_line":4,"end_line":7}}' as source_span, any_value(t) || ',' || any_value(u) || ',graph' as tags, 'numpy' as dependencies,
+  'active' as status, '{{"passed":true,"static_errors":[],"security_findings":[],"help_exit_code":0}}' as validation from f where k = 0 group by n
+union all select 'm' || event_id, 'm' || event_id || '/scripts/m' || event_id || '.js', 'm' || event_id || '/SKILL.md', 'javascript', 'node', replace(path[:-4], '/', '.') || '.m' || event_id, path, '{{"start_line":1,"end_line":6}}',
+  'm' || event_id || ',graph', 'x', 'active', '{{"passed":true,"static_errors":[],"security_findings":[]}}' from f where k = 6""")
 def skill_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry entries of the mined skills, last wins."""
     rows = registry.upsert(None, mine_files(_mixed(spark, sf_dir)).registry)
-    return rows.withColumns({"source_span": F.to_json("source_span"), "validation": F.to_json("validation")})
+    return rows.withColumns({"source_span": F.to_json("source_span"), "validation": F.to_json("validation"), "tags": F.array_join("tags", ","), "dependencies": F.array_join("dependencies", ",")})
