@@ -599,3 +599,6 @@ def skill_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry entries of the mined skills, last wins."""
     rows = registry.upsert(None, mine_files(_mixed(spark, sf_dir)).registry)
     return rows.withColumns({"source_span": F.to_json("source_span"), "validation": F.to_json("validation"), "tags": F.array_join("tags", ","), "dependencies": F.array_join("dependencies", ",")})
+
+
+from . import queries_rules  # noqa: E402, F401  (registers its queries; it needs what stands above)
