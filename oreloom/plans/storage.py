@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,25 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of a batch that goes to Python while a table is written, unless the session's setting is less.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds what executors and their Python workers hold of wide rows; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if 0 < int(was) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return it reread.
 
@@ -37,7 +58,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     task-local state (row numbers) stay fixed.  The table is removed at driver exit.
     """
     path = f"{shared_dir(df.sparkSession)}/oreloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
