@@ -47,14 +47,17 @@ def completions_url(base: Column | str) -> Column:
     return F.when(F.endswith(plain, F.lit("/chat/completions")), plain).otherwise(F.concat(plain, F.lit("/chat/completions")))
 
 
-def call_model(rows: DataFrame, transport: Callable[[str], str], retries: int = 3, rate_per_minute: float | None = None) -> DataFrame:
+def call_model(rows: DataFrame, transport: Callable[[str], str], retries: int = 3, rate_per_minute: float | None = None, initial_wait: float = 1.0) -> DataFrame:
     """(id, response, error) of (id, body) rows through an injected transport, in Arrow batches.
 
-    The rate is shared among the partitions; nothing here opens a connection.
+    A failed call waits ``initial_wait`` seconds, twice as long each time, 30 at most, a tenth
+    more or less by chance.  The rate is shared among the partitions; nothing here opens a
+    connection.
     """
     share = rate_per_minute / rows.rdd.getNumPartitions() if rate_per_minute else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import random
         import time
 
         for pdf in batches:
@@ -68,7 +71,7 @@ def call_model(rows: DataFrame, transport: Callable[[str], str], retries: int =
                     except Exception as problem:  # the transport's own; kept as the row's error
                         error = f"{type(problem).__name__}: {problem}"
                         if attempt < retries:
-                            time.sleep(min(2.0**attempt, 30.0) if share else 0)
+                            time.sleep(min(initial_wait * 2.0**attempt, 30.0) * random.uniform(0.9, 1.1))
                 if share:
                     time.sleep(60.0 / share)
                 out.append((one.id, answer, error))
@@ -169,6 +172,26 @@ def workspace_path(path: Column | str, root: str = "/workspace") -> Column:
     return F.when((out == root) | F.startswith(out, F.lit(root + "/")), out)
 
 
+def writable_path(path: Column | str, root: str = "/workspace") -> Column:
+    """Where a text file may be written: below the workspace's output or logs, else null."""
+    whole = workspace_path(path, root)
+    return F.when(F.startswith(whole, F.lit(f"{root}/output/")) | F.startswith(whole, F.lit(f"{root}/logs/")), whole)
+
+
+def capture_path(requested: Column | str, root: str = "/workspace") -> tuple[Column, Column]:
+    """(path below the workspace that stdout is captured to, error) of a requested output file."""
+    plain = strip(F.translate(col(requested), "\\", "/"))
+    inside = F.startswith(plain, F.lit(f"{root}/"))
+    relative = F.when(inside, F.substring(plain, F.lit(len(root) + 2), F.length(plain))).otherwise(F.concat(F.lit("output/"), plain))
+    unsafe = F.exists(F.split(relative, "/"), lambda part: part.isin("", ".", ".."))
+    error = (
+        F.when(F.coalesce(plain, F.lit("")) == "", "output_file must be non-empty")
+        .when(F.startswith(plain, F.lit("/")) & ~inside, F.concat(F.lit(f"output_file must stay under {root}: "), col(requested)))
+        .when(unsafe, F.concat(F.lit("output_file contains an unsafe path segment: "), col(requested)))
+    )
+    return F.when(error.isNull(), relative), error
+
+
 def trimmed(text: Column | str, most: int = 24_000) -> Column:
     text = col(text)
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit(f"\n...[truncated after {most} characters]")))

@@ -14,6 +14,7 @@ from ..operators.document import skill_document, skill_file
 from ..operators.extract import mine
 from ..operators.registry import entries
 from ..operators.script import native_scripts, python_scripts
+from ..operators.structured import Transport, decide_with_model, scripts_with_model
 from ..operators.validate import document_error, validate_scripts
 from ..sources.scan import decode, scan_tree, with_runtime
 from .storage import materialise
@@ -39,19 +40,27 @@ class Mined:
         return entries(self.packages)
 
 
-def mine_files(files: DataFrame) -> Mined:
-    """All stages over (path, text, error) rows; lazy after the checked scripts."""
+def mine_files(files: DataFrame, transport: Transport | None = None, **call) -> Mined:
+    """All stages over (path, text, error) rows; lazy after the checked scripts.
+
+    With a ``transport`` a model judges what the rules let pass and writes the Python scripts;
+    rows whose answer doesn't hold go on as without one.
+    """
     good = files.where("error is null").select("path", "text")
     parsed = materialise(mine(with_runtime(good)), "nodes")
     nodes, broken = split_valid(parsed.where("error is null").drop("error"), node_error(), "node", "node_id")
     bad = files.where("error is not null").select(F.lit("decode").alias("stage"), F.col("path").alias("key"), "error")
     rejects = bad.unionByName(parsed.where("error is not null").select(F.lit("parse").alias("stage"), F.col("file_path").alias("key"), "error"))
     decisions = materialise(decide(with_dependencies(nodes, files.select("path"))), "decisions")
+    if transport:
+        decisions = materialise(decide_with_model(decisions, transport, **call), "decisions")
     chosen = decisions.where("decision = 'extract'")
     # a Python script needs a function; a suffix-less one found by its shebang goes whole
     distilled = (F.col("language") == "python") & F.col("core_source").isNotNull()
     chosen = chosen.withColumn("runtime_hint", F.lit(None).cast("string"))
     scripts = python_scripts(chosen.where(distilled)).select(*SCRIPT).unionByName(native_scripts(chosen.where(~F.coalesce(distilled, F.lit(False))), good).select(*SCRIPT))
+    if transport:
+        scripts = scripts_with_model(scripts, decisions, transport, **call)
     # written, so that rules don't make the script's text anew wherever they look at it
     scripts, unfit = split_valid(materialise(scripts, "scripts"), script_error(), "script", "node_id")
     checked = materialise(validate_scripts(scripts), "checked")

@@ -63,6 +63,35 @@ def write_skills(packages: DataFrame, output: str, overwrite: bool = False) -> N
     rows.foreachPartition(write)
 
 
+def clean_legacy(output: str) -> list[str]:
+    """Removes what the older layout left in an output folder: scripts, skills and skill_*; their names."""
+    found = sorted(p for p in Path(output).glob("*") if p.is_dir() and not p.is_symlink() and (p.name in ("scripts", "skills") or p.name.startswith("skill_")))
+    for folder in found:
+        shutil.rmtree(folder)
+    return [p.name for p in found]
+
+
+def copy_skill(source: str, workspace: str) -> Path:
+    """A skill's folder below the workspace's skills; caches stay behind, a copy that is there is kept."""
+    target = Path(workspace) / "skills" / Path(source).name
+    if not target.exists():
+        temporary = target.with_name(f".{target.name}.{uuid.uuid4().hex[:8]}.new")
+        shutil.copytree(source, temporary, ignore=shutil.ignore_patterns("__pycache__", "*.pyc", ".pytest_cache"))
+        install(temporary, target, overwrite=False)
+    return target
+
+
+def write_workspace_text(workspace: str, path: str, content: str) -> Path:
+    """Writes a text file below the workspace's output or logs, nowhere else."""
+    root = Path(workspace).resolve()
+    target = (root / path).resolve()
+    if not any(target.is_relative_to(root / name) and target != root / name for name in ("output", "logs")):
+        raise ValueError("a workspace file must stay under output or logs")
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(content, encoding="utf-8")
+    return target
+
+
 def write_registry(new: DataFrame, output: str, existing: DataFrame | None = None) -> Path | None:
     """skills_registry.json of all entries; untouched if there is none."""
     merged = upsert(existing, new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import data, dependencies, extract, script, validate
+from .operators import agent, data, dependencies, extract, legacy, script, structured, validate
 from .queries import _DEF, _FILES, _PATH, _PRIVATE, _ASYNC, _STATIC, CODE, _code, _lines, _mixed, _table, query
 from .sources import scan
 
@@ -180,3 +180,40 @@ def numeric_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").selectExpr(json)
     found = data.summarize_json(rows, "row", exclude=["d"], allow_numeric_strings=True, count_booleans=True)
     return found.withColumn("mean", F.round("mean", 6))
+
+
+# --- workspaces and models --------------------------------------------------------------
+
+_ASKED = _by("event_id", "'/workspace/output/a' || event_id || '.txt'", "'logs/b.txt'", "'/etc/passwd'", "'../x'", "' '", "'sub/./c.txt'", "'/workspace/input/d.txt'")
+
+
+@query(f"""select event_id, {_by("event_id", "'/workspace/output/a' || event_id || '.txt'", "'/workspace/logs/b.txt'", *["null"] * 5)} as writable,
+  {_by("event_id", "'output/a' || event_id || '.txt'", "'output/logs/b.txt'", "null", "null", "null", "null", "'input/d.txt'")} as captured,
+  {_by("event_id", "null", "null", "'output_file must stay under /workspace: /etc/passwd'", "'output_file contains an unsafe path segment: ../x'", "'output_file must be non-empty'", "'output_file contains an unsafe path segment: sub/./c.txt'", "null")} as error from events""")
+def workspace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a run's files may be written, and where its output is captured."""
+    rows = _table(spark, sf_dir, "events").selectExpr("event_id", f"{_ASKED} as asked")
+    captured, error = agent.capture_path("asked")
+    return rows.select("event_id", agent.writable_path("asked").alias("writable"), captured.alias("captured"), error.alias("error"))
+
+
+@query("""
+with p as (select doc_id, rpad('name-' || source, 64, 'x') as name from documents), r as (select *, row_number() over (partition by name order by doc_id) as n from p)
+select doc_id, case when n = 1 then name else rtrim(substr(name, 1, 64 - length('-' || n)), '-') || '-' || n end as unique_name from r""")
+def payload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique names of payloads, 64 characters at most."""
+    rows = _table(spark, sf_dir, "documents").selectExpr("doc_id", "rpad('name-' || source, 64, 'x') as name")
+    return legacy.payload_names(rows, "doc_id").select("doc_id", "unique_name")
+
+
+_ANSWERS = (
+    ("'{\"decision\":\"extract\",\"reason\":\"r\",\"tags\":[\"a\"]}'", "null"), ("'{\"decision\":\"extract\"}'", "'reason: field required'"), ("'{\"decision\":1,\"reason\":\"r\"}'", "'decision: must be a JSON string'"),
+    ("'{\"decision\":\"skip\",\"reason\":\"r\",\"tags\":\"a\"}'", "'tags: must be a JSON array'"), ("'{\"decision\":\"skip\",\"reason\":null}'", "'reason: field required'"), ("'{\"decision\":\"skip\",\"reason\":\"r\",\"coupling_score\":0.5}'", "null"),
+)
+
+
+@query(f"select event_id, {_by('event_id', *(b for _, b in _ANSWERS))} as error from events")
+def answer_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of model answers against the schema of a decision."""
+    rows = _table(spark, sf_dir, "events").selectExpr("event_id", f"{_by('event_id', *(a for a, _ in _ANSWERS))} as content")
+    return rows.select("event_id", structured.schema_error("content", structured.DECISION).alias("error"))
