@@ -35,12 +35,13 @@ def java_findings(nodes: DataFrame) -> DataFrame:
     out = []
     for pattern, severity, rule, message in dims.JAVA_SECURITY:
         # the pieces between matches: each one but the last stands before a match
-        before = F.split("raw_code", pattern, -1)
-        hits = F.regexp_extract_all("raw_code", F.lit(pattern), F.lit(0))
-        breaks = F.transform(F.sequence(F.lit(1), F.size(hits)), lambda n: F.concat(F.array_join(F.slice(before, 1, n), ""), F.array_join(F.slice(hits, 1, n - 1), "")))
-        found = java.where(F.col("raw_code").rlike(pattern)).select("node_id", "language", "start_line", F.explode(breaks).alias("head"))
-        line = (F.col("start_line") + F.regexp_count("head", F.lit("\n"))).alias("line")
-        out.append(found.select("node_id", "language", F.lit(severity).alias("severity"), F.lit(rule).alias("rule_id"), F.lit(message).alias("message"), line))
+        held = F.arrays_zip(F.split("raw_code", pattern, -1).alias("before"), F.regexp_extract_all("raw_code", F.lit(pattern), F.lit(0)).alias("hit"))
+        breaks = lambda c: F.regexp_count(c, F.lit("\n"))
+        rows = java.where(F.col("raw_code").rlike(pattern)).select("node_id", "language", "start_line", F.posexplode(held).alias("at", "x")).where("x.hit is not null")
+        above = F.sum(breaks(F.col("x.before")) + breaks(F.col("x.hit"))).over(Window.partitionBy("node_id").orderBy("at")) - breaks(F.col("x.hit"))
+        found = rows.select("node_id", "language", "start_line", above.alias("above"))
+        line = F.col("start_line") + F.col("above")
+        out.append(found.select("node_id", "language", F.lit(severity).alias("severity"), F.lit(rule).alias("rule_id"), F.lit(message).alias("message"), line.alias("line")))
     client = F.col("raw_code").rlike(r"\bHttpClient\b|\bHttpURLConnection\b") & ~F.contains("raw_code", F.lit("Authorization"))
     out.append(java.where(client).select("node_id", "language", *(F.lit(v).alias(c) for c, v in zip(FINDING[2:5], dims.NO_AUTH, strict=True)), F.col("start_line").alias("line")))
     found = out[0]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import materialise, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     mark = None
     for _ in range(rounds):
-        now = materialise(_small_star(_large_star(now)), "star")
+        last, now = now, materialise(_small_star(_large_star(now)), "star")
+        release(last)
         # the sum of hashes tells sets of distinct edges apart
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if was == mark:

@@ -11,17 +11,22 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local applications that set none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local session without one gets its own."""
+    """The folder in ``spark.checkpoint.dir``; a local application without one gets its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="oreloom-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    name = spark.sparkContext.applicationId
+    if name not in _OWN:
+        _OWN[name] = "file://" + tempfile.mkdtemp(prefix="oreloom-checkpoint-")
+    return _OWN[name]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -55,13 +60,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return it reread.
 
     A lost executor later costs a reread, not a recomputation, and values made from
-    task-local state (row numbers) stay fixed.  The table is removed at driver exit.
+    task-local state (row numbers) stay fixed.  The table is removed by ``release``, or at
+    driver exit.
     """
     path = f"{shared_dir(df.sparkSession)}/oreloom/{tag}-{uuid.uuid4().hex}"
     with _small_batches(df.sparkSession):
         df.write.parquet(path)
     atexit.register(_remove, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._oreloom_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Removes tables that ``materialise`` wrote; nothing that is still to run may read them."""
+    for table in tables:
+        if path := getattr(table, "_oreloom_path", None):
+            _remove(table.sparkSession, path)
 
 
 def bounded_rows(df: DataFrame, limit: int) -> int | None:
