@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import logging
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from ..sources.scan import read_registry
 from .mining import mine_tree
-from .sink import write_registry, write_skills
+from .sink import clean_legacy, write_registry, write_skills
 
 #: Starter domains, each with its own folders below the data root.
 DOMAINS = ("sample_python_source", "bioinformatics", "computer_science", "data_science")
@@ -34,11 +35,15 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    logging.basicConfig(format="%(asctime)s %(name)s %(message)s", level=logging.INFO)
     source, output = paths(args)
     if not Path(source).is_dir():
         raise SystemExit(f"source directory does not exist: {source}")
     spark = SparkSession.builder.appName("oreloom").getOrCreate()
     mined = mine_tree(spark, source)
+    for name, counts in mined.counts.items():  # counts only: code and texts are nobody's log
+        logging.getLogger("oreloom").info("%s: %s", name, ", ".join(f"{k} {v}" for k, v in counts.items()))
+    clean_legacy(output)
     write_skills(mined.packages, output, args.overwrite)
     existing = None if args.overwrite else read_registry(spark, f"{output}/skills_registry.json")
     write_registry(mined.registry, output, existing)

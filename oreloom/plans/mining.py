@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.contracts import node_error, script_error, split_valid
@@ -34,6 +34,12 @@ class Mined:
     packages: DataFrame
     skipped: DataFrame
     rejects: DataFrame
+    seen: dict[str, Observation]
+
+    @property
+    def counts(self) -> dict[str, dict[str, int]]:
+        """Counts that were taken while the tables were written."""
+        return {name: dict(found.get) for name, found in self.seen.items()}
 
     @property
     def registry(self) -> DataFrame:
@@ -46,12 +52,15 @@ def mine_files(files: DataFrame, transport: Transport | None = None, **call) ->
     With a ``transport`` a model judges what the rules let pass and writes the Python scripts;
     rows whose answer doesn't hold go on as without one.
     """
+    seen = {name: Observation(name) for name in ("nodes", "decisions", "scripts")}
+    rows = F.count(F.lit(1)).alias("rows")
     good = files.where("error is null").select("path", "text")
-    parsed = materialise(mine(with_runtime(good)), "nodes")
+    parsed = materialise(mine(with_runtime(good)).observe(seen["nodes"], rows, F.count("error").alias("faults")), "nodes")
     nodes, broken = split_valid(parsed.where("error is null").drop("error"), node_error(), "node", "node_id")
     bad = files.where("error is not null").select(F.lit("decode").alias("stage"), F.col("path").alias("key"), "error")
     rejects = bad.unionByName(parsed.where("error is not null").select(F.lit("parse").alias("stage"), F.col("file_path").alias("key"), "error"))
-    decisions = materialise(decide(with_dependencies(nodes, files.select("path"))), "decisions")
+    decided = decide(with_dependencies(nodes, files.select("path")))
+    decisions = materialise(decided.observe(seen["decisions"], rows, F.count(F.when(F.col("decision") == "extract", 1)).alias("extracted")), "decisions")
     if transport:
         decisions = materialise(decide_with_model(decisions, transport, **call), "decisions")
     chosen = decisions.where("decision = 'extract'")
@@ -63,13 +72,13 @@ def mine_files(files: DataFrame, transport: Transport | None = None, **call) ->
         scripts = scripts_with_model(scripts, decisions, transport, **call)
     # written, so that rules don't make the script's text anew wherever they look at it
     scripts, unfit = split_valid(materialise(scripts, "scripts"), script_error(), "script", "node_id")
-    checked = materialise(validate_scripts(scripts), "checked")
+    checked = materialise(validate_scripts(scripts).observe(seen["scripts"], rows, F.count(F.when(F.col("passed"), 1)).alias("passed")), "checked")
     passed = checked.where("passed").withColumn("instructions", skill_document())
     passed = passed.withColumn("doc_error", document_error("instructions"))
     packages = passed.where("doc_error is null").withColumn("skill_md", skill_file())
     undocumented = passed.where("doc_error is not null").select(F.lit("document").alias("stage"), F.col("node_id").alias("key"), F.col("doc_error").alias("error"))
     skipped = decisions.where("decision = 'skip'").select("node_id", "source", "reason").unionByName(checked.where("not passed").select("node_id", "source", F.lit(INVALID).alias("reason")))
-    return Mined(nodes, decisions, packages, skipped, rejects.unionByName(broken).unionByName(unfit).unionByName(undocumented))
+    return Mined(nodes, decisions, packages, skipped, rejects.unionByName(broken).unionByName(unfit).unionByName(undocumented), seen)
 
 
 def mine_tree(spark: SparkSession, root: str) -> Mined:

@@ -52,6 +52,7 @@ def test_a_model_decides_and_writes_and_the_rules_stand_in(spark):
     assert by["keep_rows"].skill_id == "keep-rows" and by["_hidden"].decision == "skip"
     texts = {r.skill_id: r.script_text for r in mined.packages.collect()}
     assert texts["keep-rows"].startswith("#!/usr/bin/env python3") and texts.get("row-taker", "import os").startswith("import os")
+    assert mined.counts["nodes"] == {"rows": 4, "faults": 0} and mined.counts["decisions"] == {"rows": 4, "extracted": 3} and mined.counts["scripts"]["rows"] == 2
     plain = {r.name: r.skill_id for r in mine_files(files).decisions.collect()}
     assert plain == {"take_rows": "take-rows", "drop_rows": "drop-rows", "keep_rows": "keep-rows", "_hidden": None}
 
@@ -76,7 +77,7 @@ def test_payload_names_stay_short(spark):
     names = [long, long, long, "b", "b", "b-2", "b", "a" * 62 + "-2"]
     rows = spark.createDataFrame(list(enumerate(names)), "ordinal int, name string")
     got = [r.unique_name for r in legacy.payload_names(rows).orderBy("ordinal").collect()]
-    assert got == [long, "a" * 62 + "-2", "a" * 62 + "-3", "b", "b-2", "b-2-2", "b-3", "a" * 62 + "-2-2"[-4:]] or got[:7] == [long, "a" * 62 + "-2", "a" * 62 + "-3", "b", "b-2", "b-2-2", "b-3"]
+    assert got == [long, "a" * 62 + "-2", "a" * 62 + "-3", "b", "b-2", "b-2-2", "b-3", "a" * 62 + "-4"]
     assert len(set(got)) == 8 and all(len(n) <= 64 for n in got)
 
 
@@ -126,3 +127,21 @@ def test_java_declarations():
     for text in ("", "class", "class A {", "class A { void f() {", "class A { void f(", "} ) ]", "@", "class A { @X", "class A { void f() { new B(", '"'):
         java.java_methods(text, "x")
     assert [r["name"] for r in java.java_methods("class A { void f() { g(", "x")] == ["f"]
+
+
+def test_service_command(tmp_path, monkeypatch):
+    from oreloom.plans import service
+
+    for name in service.MOUNTS:
+        (tmp_path / name).mkdir()
+    made = service.Service(**{n: tmp_path / n for n in service.MOUNTS}, image="image", module="serve", port=9000, cpus=2.0)
+    command = made.command()
+    mounts = [command[i + 1] for i, x in enumerate(command) if x == "-v"]
+    assert [m.rsplit(":", 2)[1:] for m in mounts] == [["/workspace/input", "ro"], ["/workspace/skills", "ro"], ["/workspace/output", "rw"], ["/workspace/logs", "rw"]]
+    assert command[-4:] == ["image", "python", "-m", "serve"] and "127.0.0.1:9000:8765" in command and made.url == "http://127.0.0.1:9000"
+    assert "MODEL_API_KEY" in command and command[command.index("--cpus") + 1] == "2.0" and command[command.index("--memory") + 1] == "4g"
+    monkeypatch.delenv("MODEL_API_KEY", raising=False)
+    assert {f.split(":")[0] for f in made.faults()} >= {"missing API key", "skills directory contains no immediate SKILL.md entries"}
+    with pytest.raises(ValueError, match="port"):
+        service.Service(**{n: tmp_path for n in service.MOUNTS}, image="i", module="m", port=0)
+    assert service.unique_name() != service.unique_name()
