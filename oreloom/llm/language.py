@@ -31,14 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .rows import chunks
+from .rows import pieces, released
 
 PER_LANGUAGE = 150
 HIDDEN = 8
 #: Positions of a window, bytes before it that warm its state up, windows side by side.
-CORE, WARM, LANES = 512, 32, 2048
+CORE, WARM, LANES = 512, 32, 1024
 #: Bytes of a training run; least updates of a training.
 RUN, STEPS = 96, 400
 SEED = 7
@@ -117,7 +116,7 @@ class ByteGRU:
     def _pooled(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """``sums`` of windows start to stop within texts first to end, side by side."""
         h, w, n, longest = self.hidden, self.weights, len(start), int((stop - start).max())
-        place = start + np.arange(-WARM, longest + WARM)[:, None]
+        place = start.astype(np.int32) + np.arange(-WARM, longest + WARM, dtype=np.int32)[:, None]
         inside = (place >= first) & (place < np.minimum(end, stop + WARM))  # what is beyond depends on the windows beside
         codes = data[np.clip(place, 0, len(data) - 1)]
         counted = place < stop  # of the window itself, where place >= start
@@ -276,16 +275,20 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteGRU:
 
 
 def identify(docs: DataFrame, model: ByteGRU) -> DataFrame:
-    """``row`` (the document as it came), lang_pred and score; map-only."""
+    """``row`` (the document as it came), lang_pred and score; map-only, and only texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column(0)
-            found = [x for _, _, texts in chunks(pa.RecordBatch.from_arrays([row.field("text")], ["text"])) for x in predict(model, texts)]
-            yield pa.RecordBatch.from_arrays([row, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["row", "lang_pred", "score"])
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def found() -> Iterator[pa.Array]:
+            for array in texts:
+                pairs = [x for some in pieces(array) for x in predict(model, some)]
+                yield pa.StructArray.from_arrays([pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.float64())], ["lang_pred", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+        yield from released(found())
+
+    # not deterministic, as far as the optimizer may think: it would predict again in filters
+    predicted = F.arrow_udf(run, "struct<lang_pred: string, score: double>").asNondeterministic()
+    rows = docs.select(F.struct("*").alias("row")).withColumn("found", predicted("row.text"))
+    return rows.select("row", "found.lang_pred", "found.score")
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:

@@ -14,13 +14,16 @@ coordinate of the pivot tables (Hamming distances of the fingerprints to ``PIVOT
 reference fingerprints) differs by more than ``DISTANCE``, or if the fingerprints do.  At
 similarity 0.8 a bit differs with probability 0.15, so of 64 more than 28 differ for one
 pair in 10^8; sets of under ``SMALL`` shingles, for which that estimate is loose, skip the
-test.  Survivors are verified on the whole sets.
+test.  A second fingerprint holds the parity of the shingles in each of ``PARITIES`` hash
+buckets: its Hamming distance never exceeds the number of shingles that only one text has,
+so a pair beyond what the similarity allows is discarded without loss.  Survivors are
+verified on the whole sets.
 
 Rounds keep groups linear: at first a text proposes one partner a key, the first of its
-order, so that a group of copies proposes little more than a star.  Proposals are verified,
-groups joined, and texts that are still apart propose more partners, eight times as many
-each round, until nothing is left to propose.  Keys of more than ``MOST`` texts are dealt
-into blocks, and every pair of blocks is compared.
+order, so that a group of copies proposes little more than a star.  Proposals are verified
+and groups joined.  Only keys in which a text has partners left go into the next round, in
+which texts that are still apart propose eight times as many, until none is left.  Keys of
+more than ``MOST`` texts are dealt into blocks, and every pair of blocks is compared.
 
 Texts with the same set are one class (told by a 64-bit hash of the set), so exact copies
 meet nothing.  Only keys, fingerprints and the sets of proposed pairs travel.
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.storage import bounded_rows, materialise
+from ..plans.storage import bounded_rows, materialise, release
 from .rows import chunks
 from .simhash import pivots
 
@@ -53,6 +56,7 @@ SIMILARITY = 0.8
 DISTANCE = 28
 PIVOTS = 16
 SMALL = 64
+PARITIES = 512
 BUCKETS = 1 << 18
 #: Texts of one key compared in one group.
 MOST = 2048
@@ -102,6 +106,12 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """Parity of the distinct shingles in each of ``PARITIES`` hash buckets."""
+    count = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
 def _hashed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Pieces of batches (text last) with the shingles of their texts; a piece holds a bounded number of characters."""
     for batch in batches:
@@ -132,7 +142,7 @@ def bucket_counts(docs: DataFrame, size: int = SHINGLE, buckets: int = BUCKETS)
 
 
 def sign(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, cid, fp, n, keys) of every row: its class, fingerprint, number of shingles, and keys."""
+    """(doc_id, cid, fp, n, bits, keys) of every row: its class, fingerprint, number of shingles, parities, and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _hashed(batches, size):
@@ -144,21 +154,23 @@ def sign(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE, similarity: f
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             columns = [
                 batch.column(0), pa.array(np.array([_class_of(x) for x in found], np.int64)), pa.array(np.array([simhash(x) for x in found], np.uint64).view(np.int64)),
-                pa.array(np.array([len(x) for x in found], np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
+                pa.array(np.array([len(x) for x in found], np.int64)), pa.array([parities(x) for x in found], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cid", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cid", "fp", "n", "bits", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, cid long, fp long, n long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, cid long, fp long, n long, bits binary, keys array<long>")
 
 
 def _partners(most: int, similarity: float, distance: int):
-    """mapInArrow function over rows (key, part, cid, fp, n, root), sorted by the first three.
+    """mapInArrow function over rows (key, part, cid, fp, n, root, bits), sorted by the first three.
 
     Each row proposes its first ``most`` partners of other roots in its key and part: pairs
-    (a, b) with a < b.  A row with more left is told by (its cid, its cid).
+    (a, b) with a < b.  A key in which a row has more left is told in ``left``.
     """
+    names = ["a", "b", "left"]
+    alone = (1 - similarity) / (1 + similarity)  # of all shingles of two texts, those that only one may have
 
-    def propose(group: np.ndarray, cid: np.ndarray, fp: np.ndarray, n: np.ndarray, root: np.ndarray, references: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def propose(group: np.ndarray, key: np.ndarray, cid: np.ndarray, fp: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray, references: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.bincount(group)
         start = (np.cumsum(sizes) - sizes)[group]
         table = np.stack([np.bitwise_count(fp ^ p).astype(np.int16) for p in references])
@@ -178,26 +190,37 @@ def _partners(most: int, similarity: float, distance: int):
                 i, j, low = i[near], j[near], low[near]
             close = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) | (low < SMALL)
             i, j = i[close], j[close]
+            even = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= alone * (n[i] + n[j]) + 1e-9
+            i, j = i[even], j[even]
             given[j] += 1
             more = given[j] > most
-            if len(j):
-                a, b = np.where(more, cid[j], np.minimum(cid[i], cid[j])), np.maximum(cid[i], cid[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.where(more, cid[j], b))], ["a", "b"])
+            if more.any():
+                left = np.unique(key[j[more]])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.int64()), pa.array(left)], names)
+            if not more.all():
+                i, j = i[~more], j[~more]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j])), pa.nulls(len(i), pa.int64())], names)
             step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        references, kept = pivots(PIVOTS), [np.zeros(0, np.int64)] * 6
+        def offered(rows: list[np.ndarray]) -> tuple:
+            key, _, cid, fp, n, root, bits = rows
+            return key, cid, fp.view(np.uint64), n, root, bits, references
+
+        references, kept = pivots(PIVOTS), [*[np.zeros(0, np.int64)] * 6, np.zeros((0, PARITIES // 64), np.uint64)]
         for batch in batches:
-            rows = [np.concatenate([k, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for k, c in zip(kept, batch.columns, strict=True)]
+            new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]]
+            new.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, PARITIES // 64))
+            rows = [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
             if not len(rows[0]):
                 continue
             group = np.concatenate([[0], np.cumsum((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))])
             whole = group < group[-1]  # the last group may go on in the next batch
             if whole.any():
-                yield from propose(group[whole], rows[2][whole], rows[3][whole].view(np.uint64), rows[4][whole], rows[5][whole], references)
+                yield from propose(group[whole], *offered([r[whole] for r in rows]))
             kept = [r[~whole] for r in rows]
         if len(kept[0]):
-            yield from propose(np.zeros(len(kept[0]), np.int64), kept[2], kept[3].view(np.uint64), kept[4], kept[5], references)
+            yield from propose(np.zeros(len(kept[0]), np.int64), *offered(kept))
 
     return run
 
@@ -207,13 +230,11 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if bounded_rows(df, BROADCAST_ROWS) is not None else df
 
 
-def _deal(rows: DataFrame, most: int) -> DataFrame:
-    """Rows with their ``part`` of the key: 0, or every pair of blocks that holds the row's own."""
-    hot = materialise(rows.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).alias("parts")), "hotkeys")
-    known = rows.join(_few(hot), "key", "left")
+def _deal(rows: DataFrame) -> DataFrame:
+    """Rows with their ``part`` of the key: 0, or every pair of its ``parts`` blocks that holds the row's own."""
     own = F.pmod(F.xxhash64("cid"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda t: F.least(own, t) * (1 << 31) + F.greatest(own, t))
-    return known.withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("parts")
+    return rows.withColumn("part", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(pairs)))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -232,27 +253,32 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     sets = materialise(sets.join(_few(wanted.select("cid")), "cid", "left_semi").groupBy("cid").agg(F.first("own").alias("own")), "sets")
     both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("own").alias("of_b")), "b").join(sets.select(F.col("cid").alias("a"), F.col("own").alias("of_a")), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return materialise(both.select("a", "b", (shared >= similarity * (F.size("of_a") + F.size("of_b") - shared) - 1e-9).alias("linked")), "verified")
+    out = materialise(both.select("a", "b", (shared >= similarity * (F.size("of_a") + F.size("of_b") - shared) - 1e-9).alias("linked")), "verified")
+    release(wanted, sets)
+    return out
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
     """(doc_id, cid, group) of every row; group is the smallest doc_id that links reach."""
     signed = materialise(sign(docs, bucket_counts(docs, size), size, similarity), "signed")
-    classes = materialise(signed.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n")), "classes")
-    keys = signed.select("cid", F.explode("keys").alias("key"))
-    live = materialise(keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("key"), "livekeys")
-    held = materialise(keys.join(_few(live), "key", "left_semi").distinct().join(classes.select("cid", "fp", "n"), "cid").select("key", "cid", "fp", "n"), "live")
+    classes = signed.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
+    classes = materialise(classes, "classes")
+    # of exact copies one has keys, or, without an id or with a repeated one, few
+    copies = classes.where("copies > 1 and least is not null").select("cid", "least")
+    single = signed.join(_few(copies), "cid", "left").where("least is null or doc_id = least")
+    keys = single.select("cid", F.explode("keys").alias("key"))
+    live = keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.ceil(F.count("*") / most).alias("parts")).where("low < high").select("key", "parts")
+    held = keys.join(_few(materialise(live, "livekeys")), "key").join(classes.select("cid", "fp", "n", "bits"), "cid").select("key", "parts", "cid", "fp", "n", "bits")
+    held = materialise(held, "live")
     linked = verified = roots = None
     offers = 1
     while True:
         rows = held.withColumn("root", F.col("cid"))
-        if roots is not None:  # keys whose texts are all of one group have nothing more to say
-            rows = materialise(held.join(roots, held["cid"] == roots["node"], "left").select("key", "cid", "fp", "n", F.coalesce("root", "cid").alias("root")), "rooted")
-            apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            rows = rows.join(apart, "key", "left_semi")
-        dealt = _deal(rows, most).select("key", "part", "cid", "fp", "n", "root").repartition("key", "part").sortWithinPartitions("key", "part", "cid")
-        found = materialise(dealt.mapInArrow(_partners(offers, similarity, distance), "a long, b long").distinct(), "proposed")
-        new = found.where("a < b")
+        if roots is not None:
+            rows = held.join(roots, held["cid"] == roots["node"], "left").select("key", "parts", "cid", "fp", "n", "bits", F.coalesce("root", "cid").alias("root"))
+        dealt = _deal(rows).select("key", "part", "cid", "fp", "n", "root", "bits").repartition("key", "part").sortWithinPartitions("key", "part", "cid")
+        found = materialise(dealt.mapInArrow(_partners(offers, similarity, distance), "a long, b long, left long").distinct(), "proposed")
+        new = found.where("left is null").select("a", "b")
         new = materialise(new.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "new") if verified is not None else new
         if bounded_rows(new, 0) is None:
             done = _verified(docs, classes, new, size, similarity)
@@ -261,8 +287,11 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
             if bounded_rows(more, 0) is None:
                 linked = more if linked is None else linked.unionByName(more)
                 roots = materialise(connected_components(linked), "roots")
-        elif bounded_rows(found.where("a = b"), 0) is not None:
+        left = found.where("left is not null").select(F.col("left").alias("key"))
+        if bounded_rows(left, 0) is not None:
             break
+        last, held = held, materialise(held.join(_few(left), "key", "left_semi"), "held")
+        release(last, found)
         offers *= 8
     if roots is not None:
         named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))

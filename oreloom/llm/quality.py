@@ -28,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.columns import let
-from .rows import chunks
+from ..functions.columns import let, once
+from .rows import pieces, released
 from ..plans.storage import bounded_rows, materialise
 
 #: A line is above its host's limit from this many distinct documents ...
@@ -45,7 +44,8 @@ BROADCAST_LINES = 200_000
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
-BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, left_words long"
+BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_NAMES = [x.split()[0] for x in BASE.split(", ")]
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -75,6 +75,17 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, _SPACE)), sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def _measures(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Structs of ``measure``; only texts go to Python, and only numbers come back."""
+
+    def found() -> Iterator[pa.Array]:
+        for array in texts:
+            columns = list(zip(*(measure(t) for some in pieces(array) for t in some), strict=True)) or [()] * len(_NAMES)
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
+
+    yield from released(found())
+
+
 def _line_hash(line: Column) -> Column:
     """Hash of a normalised line; null for a line without a word."""
     flat = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
@@ -115,26 +126,17 @@ def assess(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE,
     def strip(held: Column) -> Column:
         def without(hit: Column) -> Column:
             left = F.filter(held["lines"], lambda x: ~F.coalesce(F.array_contains(hit, _line_hash(x)), F.lit(False)))
-            return F.when(F.size(hit) > 0, F.array_join(left, "\n"))
+            words = lambda t: F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+            return F.when(F.size(hit) > 0, let(F.array_join(left, "\n"), lambda t: F.struct(t.alias("text"), words(t).alias("words"))))
 
         return let(F.array_intersect(F.transform(held["lines"], _line_hash), held["removed"]), without)
 
-    rows = rows.select("row", let(held, strip).alias("cleaned"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, cleaned = batch.column(0), batch.column(1)
-            texts = pa.RecordBatch.from_arrays([row.field("text")], ["text"])
-            found = []
-            for start, end, some in chunks(texts):
-                for text, less in zip(some, cleaned.slice(start, end - start).to_pylist(), strict=True):
-                    base = measure(text)
-                    found.append((*base, base[0] if less is None else len(less.encode("utf-8", "replace").split())))
-            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 6
-            yield pa.RecordBatch.from_arrays([row, cleaned, *columns], ["row", "cleaned", *(x.split()[0] for x in BASE.split(", "))])
-
-    longs = [T.StructField(x.split()[0], T.LongType()) for x in BASE.split(", ")]
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, *longs]))
+    # not deterministic, as far as the optimizer may think: it would measure again in filters
+    base = F.arrow_udf(_measures, ", ".join(x.replace(" ", ": ") for x in BASE.split(", ")).join(("struct<", ">"))).asNondeterministic()
+    # the stripped text first, so that it is made once, below the measures that come from Python
+    rows = rows.select("row", once(let(held, strip)).alias("less")).withColumn("base", base("row.text"))
+    left_words = F.coalesce("less.words", "base.n_words").alias("left_words")
+    out = rows.select("row", F.col("less.text").alias("cleaned"), *(F.col(f"base.{c}").alias(c) for c in _NAMES), left_words)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = out.withColumn("depleted", F.col("cleaned").isNotNull() & (F.col("left_words") < left * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
@@ -149,5 +151,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op5(docs: DataFrame) -> DataFrame:
     out = assess(docs.select("doc_id", "text", "source"))
-    names = [x.split()[0] for x in BASE.split(", ")][:-1]
-    return out.select(F.col("row.doc_id").alias("doc_id"), *names, "base_failed", "kept", "left_words", "depleted")
+    return out.select(F.col("row.doc_id").alias("doc_id"), *_NAMES, "base_failed", "kept", "left_words", "depleted")

@@ -28,6 +28,18 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_CHARS)
         yield start, n, values.slice(start).to_pylist()
 
 
+def pieces(array: pa.Array, most: int = CHUNK_CHARS) -> Iterator[list]:
+    """Values of an array of texts, about ``most`` characters at once."""
+    for _, _, values in chunks(pa.RecordBatch.from_arrays([array], ["text"]), "text", most):
+        yield values
+
+
+def released(found: Iterator) -> Iterator:
+    """``found``; gives buffers back at the end, as workers live on between tasks."""
+    yield from found
+    pa.default_memory_pool().release_unused()
+
+
 def task_base() -> int:
     """First of 2^33 row numbers that no other task of the stage uses."""
     context = TaskContext.get()

@@ -26,7 +26,7 @@ class WordEncoder:
     Words are remembered in two generations of up to ``most_words`` each.
     """
 
-    def __init__(self, path: str | None = None, most_words: int = 150_000, special: bool = False):
+    def __init__(self, path: str | None = None, most_words: int = 120_000, special: bool = False):
         import public_tokenizers
         from tokenizers import Tokenizer
 
