@@ -72,6 +72,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def written(table: DataFrame) -> bool:
+    """Whether ``table`` is what ``materialise`` returned."""
+    return hasattr(table, "_oreloom_path")
+
+
 def release(*tables: DataFrame | None) -> None:
     """Removes tables that ``materialise`` wrote; nothing that is still to run may read them."""
     for table in tables:
