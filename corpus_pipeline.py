@@ -14,7 +14,7 @@ from oreloom.llm.near_copies import keep_distinct
 from oreloom.llm.pii import redact
 from oreloom.llm.quality import keep_good
 from oreloom.llm.repacking import op10
-from oreloom.plans.storage import materialise
+from oreloom.plans.storage import materialise, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
+        if k + 1 < len(STAGES) and not written(docs):
             docs = materialise(docs, f"stage{k}")
     return docs
