@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
 from .rows import pieces, released
 
 PER_LANGUAGE = 150
@@ -292,12 +293,15 @@ def identify(docs: DataFrame, model: ByteGRU) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Documents with a known language at ``least`` score or more, in their own columns."""
+    """Documents with a known language at ``least`` score or more, in their own columns.
+
+    Written here, as ``materialise`` bounds the batches that workers hold.
+    """
     found = identify(docs, train(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    return materialise(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*"), "known")
 
 
 def op9(docs: DataFrame) -> DataFrame:
     model = train(docs)
     found = identify(docs.select("doc_id", "text"), model)
-    return found.select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+    return materialise(found.select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "lang_pred", "score"), "languages")

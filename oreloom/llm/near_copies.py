@@ -16,8 +16,9 @@ similarity 0.8 a bit differs with probability 0.15, so of 64 more than 28 differ
 pair in 10^8; sets of under ``SMALL`` shingles, for which that estimate is loose, skip the
 test.  A second fingerprint holds the parity of the shingles in each of ``PARITIES`` hash
 buckets: its Hamming distance never exceeds the number of shingles that only one text has,
-so a pair beyond what the similarity allows is discarded without loss.  Survivors are
-verified on the whole sets.
+so a pair beyond what the similarity allows is discarded without loss; it joins in from the
+second round on, when few keys are left to carry it.  Survivors are verified on the whole
+sets.
 
 Rounds keep groups linear: at first a text proposes one partner a key, the first of its
 order, so that a group of copies proposes little more than a star.  Proposals are verified
@@ -25,6 +26,9 @@ and groups joined.  Only keys in which a text has partners left go into the next
 which texts that are still apart propose eight times as many, until none is left.  Keys of
 more than ``MOST`` texts are dealt into blocks, and every pair of blocks is compared.
 
+Keys that only one text has are dropped before they travel with it: of the others a bitmap
+of ``BITMAP`` bits is broadcast, and what passes it is joined.
+
 Texts with the same set are one class (told by a 64-bit hash of the set), so exact copies
 meet nothing.  Only keys, fingerprints and the sets of proposed pairs travel.
 
@@ -57,6 +61,7 @@ DISTANCE = 28
 PIVOTS = 16
 SMALL = 64
 PARITIES = 512
+BITMAP = 1 << 24
 BUCKETS = 1 << 18
 #: Texts of one key compared in one group.
 MOST = 2048
@@ -135,7 +140,7 @@ def bucket_counts(docs: DataFrame, size: int = SHINGLE, buckets: int = BUCKETS)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = materialise(docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets").toArrow()
     out = np.zeros(buckets, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -161,8 +166,8 @@ def sign(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE, similarity: f
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, cid long, fp long, n long, bits binary, keys array<long>")
 
 
-def _partners(most: int, similarity: float, distance: int):
-    """mapInArrow function over rows (key, part, cid, fp, n, root, bits), sorted by the first three.
+def _partners(most: int, similarity: float, distance: int, with_bits: bool):
+    """mapInArrow function over rows (key, part, cid, fp, n, root, and bits if there), sorted by the first three.
 
     Each row proposes its first ``most`` partners of other roots in its key and part: pairs
     (a, b) with a < b.  A key in which a row has more left is told in ``left``.
@@ -170,7 +175,7 @@ def _partners(most: int, similarity: float, distance: int):
     names = ["a", "b", "left"]
     alone = (1 - similarity) / (1 + similarity)  # of all shingles of two texts, those that only one may have
 
-    def propose(group: np.ndarray, key: np.ndarray, cid: np.ndarray, fp: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray, references: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def propose(group: np.ndarray, key: np.ndarray, cid: np.ndarray, fp: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray | None, references: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.bincount(group)
         start = (np.cumsum(sizes) - sizes)[group]
         table = np.stack([np.bitwise_count(fp ^ p).astype(np.int16) for p in references])
@@ -190,8 +195,9 @@ def _partners(most: int, similarity: float, distance: int):
                 i, j, low = i[near], j[near], low[near]
             close = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) | (low < SMALL)
             i, j = i[close], j[close]
-            even = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= alone * (n[i] + n[j]) + 1e-9
-            i, j = i[even], j[even]
+            if bits is not None:
+                even = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= alone * (n[i] + n[j]) + 1e-9
+                i, j = i[even], j[even]
             given[j] += 1
             more = given[j] > most
             if more.any():
@@ -204,13 +210,14 @@ def _partners(most: int, similarity: float, distance: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def offered(rows: list[np.ndarray]) -> tuple:
-            key, _, cid, fp, n, root, bits = rows
-            return key, cid, fp.view(np.uint64), n, root, bits, references
+            key, _, cid, fp, n, root, *bits = rows
+            return key, cid, fp.view(np.uint64), n, root, bits[0] if bits else None, references
 
-        references, kept = pivots(PIVOTS), [*[np.zeros(0, np.int64)] * 6, np.zeros((0, PARITIES // 64), np.uint64)]
+        references, kept = pivots(PIVOTS), [np.zeros(0, np.int64)] * 6 + [np.zeros((0, PARITIES // 64), np.uint64)] * with_bits
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]]
-            new.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, PARITIES // 64))
+            if with_bits:
+                new.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, PARITIES // 64))
             rows = [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
             if not len(rows[0]):
                 continue
@@ -230,6 +237,19 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if bounded_rows(df, BROADCAST_ROWS) is not None else df
 
 
+def _living(keys: DataFrame, live: DataFrame) -> DataFrame:
+    """Rows of ``keys`` whose key is one of ``live``, with its columns."""
+    if bounded_rows(live, BROADCAST_ROWS) is not None:
+        return keys.join(F.broadcast(live), "key")
+    place = F.col("key").bitwiseAND(F.lit(BITMAP - 1))
+    bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    words = live.withColumn("_place", place).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    words = F.broadcast(materialise(words, "bitmap"))  # BITMAP / 64 rows at most
+    some = keys.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(words, "_word")
+    some = some.where(F.col("_bits").bitwiseAND(bit) != 0).select(*keys.columns)
+    return some.join(live, "key")
+
+
 def _deal(rows: DataFrame) -> DataFrame:
     """Rows with their ``part`` of the key: 0, or every pair of its ``parts`` blocks that holds the row's own."""
     own = F.pmod(F.xxhash64("cid"), F.col("parts"))
@@ -268,16 +288,17 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     single = signed.join(_few(copies), "cid", "left").where("least is null or doc_id = least")
     keys = single.select("cid", F.explode("keys").alias("key"))
     live = keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.ceil(F.count("*") / most).alias("parts")).where("low < high").select("key", "parts")
-    held = keys.join(_few(materialise(live, "livekeys")), "key").join(classes.select("cid", "fp", "n", "bits"), "cid").select("key", "parts", "cid", "fp", "n", "bits")
+    held = _living(keys, materialise(live, "livekeys")).join(classes.select("cid", "fp", "n"), "cid").select("key", "parts", "cid", "fp", "n")
     held = materialise(held, "live")
     linked = verified = roots = None
     offers = 1
     while True:
         rows = held.withColumn("root", F.col("cid"))
         if roots is not None:
-            rows = held.join(roots, held["cid"] == roots["node"], "left").select("key", "parts", "cid", "fp", "n", "bits", F.coalesce("root", "cid").alias("root"))
-        dealt = _deal(rows).select("key", "part", "cid", "fp", "n", "root", "bits").repartition("key", "part").sortWithinPartitions("key", "part", "cid")
-        found = materialise(dealt.mapInArrow(_partners(offers, similarity, distance), "a long, b long, left long").distinct(), "proposed")
+            rows = held.join(roots, held["cid"] == roots["node"], "left").select(*held.columns, F.coalesce("root", "cid").alias("root"))
+        bits = [c for c in held.columns if c == "bits"]
+        dealt = _deal(rows).select("key", "part", "cid", "fp", "n", "root", *bits).repartition("key", "part").sortWithinPartitions("key", "part", "cid")
+        found = materialise(dealt.mapInArrow(_partners(offers, similarity, distance, bool(bits)), "a long, b long, left long").distinct(), "proposed")
         new = found.where("left is null").select("a", "b")
         new = materialise(new.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "new") if verified is not None else new
         if bounded_rows(new, 0) is None:
@@ -290,7 +311,8 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
         left = found.where("left is not null").select(F.col("left").alias("key"))
         if bounded_rows(left, 0) is not None:
             break
-        last, held = held, materialise(held.join(_few(left), "key", "left_semi"), "held")
+        some = held.join(_few(left), "key", "left_semi")
+        last, held = held, materialise(some if bits else some.join(classes.select("cid", "bits"), "cid"), "held")
         release(last, found)
         offers *= 8
     if roots is not None:

@@ -143,12 +143,16 @@ def assess(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE,
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Kept documents in their own columns, boilerplate lines removed and n_chars refreshed."""
+    """Kept documents in their own columns, boilerplate lines removed and n_chars refreshed.
+
+    Written here, as ``materialise`` bounds the batches that workers hold.
+    """
     text = F.coalesce("cleaned", "row.text")
     fresh = {"text": text, "n_chars": F.length(text).cast("long")}
-    return assess(docs).where("kept").select(*(fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    kept = assess(docs).where("kept").select(*(fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return materialise(kept, "good")
 
 
 def op5(docs: DataFrame) -> DataFrame:
     out = assess(docs.select("doc_id", "text", "source"))
-    return out.select(F.col("row.doc_id").alias("doc_id"), *_NAMES, "base_failed", "kept", "left_words", "depleted")
+    return materialise(out.select(F.col("row.doc_id").alias("doc_id"), *_NAMES, "base_failed", "kept", "left_words", "depleted"), "quality")
