@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,9 +73,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def written(table: DataFrame) -> bool:
-    """Whether ``table`` is what ``materialise`` returned."""
-    return hasattr(table, "_oreloom_path")
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, which lets shuffle files of jobs that are over go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def release(*tables: DataFrame | None) -> None:
