@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.storage import bounded_rows, materialise, release
+from ..plans.storage import bounded_rows, materialise, release, sweep
 from .rows import chunks
 from .simhash import pivots
 
@@ -275,6 +275,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     shared = F.size(F.array_intersect("of_a", "of_b"))
     out = materialise(both.select("a", "b", (shared >= similarity * (F.size("of_a") + F.size("of_b") - shared) - 1e-9).alias("linked")), "verified")
     release(wanted, sets)
+    sweep(docs.sparkSession)
     return out
 
 
@@ -290,6 +291,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     live = keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.ceil(F.count("*") / most).alias("parts")).where("low < high").select("key", "parts")
     held = _living(keys, materialise(live, "livekeys")).join(classes.select("cid", "fp", "n"), "cid").select("key", "parts", "cid", "fp", "n")
     held = materialise(held, "live")
+    sweep(docs.sparkSession)
     linked = verified = roots = None
     offers = 1
     while True:
