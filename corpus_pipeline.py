@@ -14,16 +14,25 @@ from oreloom.llm.near_copies import keep_distinct
 from oreloom.llm.pii import redact
 from oreloom.llm.quality import keep_good
 from oreloom.llm.repacking import op10
-from oreloom.plans.storage import materialise, written
+from oreloom.plans.storage import BATCH_ROWS, materialise
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches to Python to ``BATCH_ROWS`` rows at most: whole documents are wide rows, and a stage's result is written by whoever asks for it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or are depleted; removes boilerplate lines."""
+    _small_batches(spark)
     return keep_good(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of unknown language."""
+    _small_batches(spark)
     return keep_known(docs)
 
 
@@ -59,6 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES) and not written(docs):
+        if k + 1 < len(STAGES):
             docs = materialise(docs, f"stage{k}")
     return docs
