@@ -268,12 +268,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "least"), "cid"), "wanted")
     ids = wanted.where(F.col("least").isNotNull()).select(F.col("least").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = texts.join(_few(ids), "doc_id", "left_semi").unionByName(texts.where(F.col("doc_id").isNull()))
+    some = texts.join(_few(ids), "doc_id", "left_semi").unionByName(texts.where(F.col("doc_id").isNull()).distinct())
     sets = some.select("text").mapInArrow(run, "cid long, own array<long>")
-    sets = materialise(sets.join(_few(wanted.select("cid")), "cid", "left_semi").groupBy("cid").agg(F.first("own").alias("own")), "sets")
-    both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("own").alias("of_b")), "b").join(sets.select(F.col("cid").alias("a"), F.col("own").alias("of_a")), "a")
+    # a class may come more than once, where rows repeat an id; sets are wide, so pairs are told apart afterwards
+    sets = materialise(sets.join(_few(wanted.select("cid")), "cid", "left_semi"), "sets")
+    of = lambda side: sets.join(_few(pairs.select(F.col(side).alias("cid")).distinct()), "cid", "left_semi").select(F.col("cid").alias(side), F.col("own").alias(f"of_{side}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    out = materialise(both.select("a", "b", (shared >= similarity * (F.size("of_a") + F.size("of_b") - shared) - 1e-9).alias("linked")), "verified")
+    out = materialise(both.select("a", "b", (shared >= similarity * (F.size("of_a") + F.size("of_b") - shared) - 1e-9).alias("linked")).distinct(), "verified")
     release(wanted, sets)
     sweep(docs.sparkSession)
     return out
