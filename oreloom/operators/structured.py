@@ -1,6 +1,7 @@
 """Structured model answers: call, check against a schema, repair once, else fall back.
 
-The transport is injected; rows whose answer doesn't hold keep their deterministic value.
+The transport is injected; rows whose answer doesn't hold keep their deterministic value.  A
+model's script stands beside the template's until both are validated (``first_passing``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from ..functions.text import col
 from ..plans.storage import materialise
 from . import prompts
 from .agent import call_model, messages
-from .validate import response_error
+from .contracts import FILENAME
+from .validate import document_error, matches_script_error, response_error
 
 Transport = Callable[[str], str]
 #: Field -> JSON type of the answers asked for; a type that ends in ? may be missing or null.
@@ -22,7 +24,10 @@ DECISION = {
     "decision": "string", "reason": "string", "skill_id": "string?", "source": "string?", "tags": "array?", "dependencies": "array?",
     "reusable_boundary_score": "number?", "domain_value_score": "number?", "coupling_score": "number?",
 }
-SCRIPT = {"script_text": "string", "description": "string?"}
+SCRIPT = {"script_text": "string", "description": "string?", "filename": "string?", "cli_arguments": "array?", "example_command": "string?", "supports_help": "boolean?"}
+MANUAL = {"instructions": "string"}
+ARGUMENTS = "array<struct<name:string,flag:string,value_type:string,required:boolean,default:string,help:string>>"
+VALUE_TYPES = ("str", "int", "float", "bool", "json")
 _IS = {"string": "^STRING", "array": "^ARRAY", "number": "^(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN", "object": "^OBJECT"}
 
 
@@ -46,25 +51,26 @@ def schema_error(content: Column | str, fields: dict[str, str]) -> Column:
     return F.coalesce(*found)
 
 
-def _checked(called: DataFrame, fields: dict[str, str]) -> DataFrame:
+def _checked(called: DataFrame, fields: dict[str, str], rule: Callable[[Column], Column] | None = None) -> DataFrame:
     content = F.get_json_object("response", "$.choices[0].message.content")
-    fault = F.coalesce(F.col("error"), response_error("response", tuple(fields)), schema_error(content, fields))
+    further = [rule(content)] if rule else []
+    fault = F.coalesce(F.col("error"), response_error("response", tuple(fields)), schema_error(content, fields), *further)
     return called.select("id", content.alias("content"), fault.alias("fault"), F.col("error").isNotNull().alias("unreached"))
 
 
-def answers(asked: DataFrame, transport: Transport, name: str, fields: dict[str, str], repairs: int = 1, **call) -> DataFrame:
+def answers(asked: DataFrame, transport: Transport, name: str, fields: dict[str, str], repairs: int = 1, rule: Callable[[Column], Column] | None = None, **call) -> DataFrame:
     """(id, content, fault) of (id, prompt) rows.
 
-    An answer that breaks its schema is sent back with its fault, ``repairs`` times; a call
-    that failed for good is not.
+    An answer that breaks its schema, or for which ``rule`` of its content gives an error, is
+    sent back with its fault, ``repairs`` times; a call that failed for good is not.
     """
     schema = F.lit(schema_json(fields))
     body = lambda prompt: F.to_json(F.struct(messages(prompt, F.lit(name), schema).alias("messages"), F.lit(False).alias("stream")))
-    done = materialise(_checked(call_model(asked.select("id", body(F.col("prompt")).alias("body")), transport, **call), fields), "answers")
+    done = materialise(_checked(call_model(asked.select("id", body(F.col("prompt")).alias("body")), transport, **call), fields, rule), "answers")
     for _ in range(repairs):
         bad = done.where("fault is not null and not unreached")
         again = bad.select("id", body(prompts.repair(F.coalesce("content", F.lit("")), F.col("fault"), schema)).alias("body"))
-        mended = _checked(call_model(again, transport, **call), fields)
+        mended = _checked(call_model(again, transport, **call), fields, rule)
         done = materialise(done.join(bad.select("id"), "id", "left_anti").unionByName(mended), "answers")
     return done.select("id", "content", "fault")
 
@@ -84,15 +90,57 @@ def decide_with_model(decisions: DataFrame, transport: Transport, **call) -> Dat
     return out.select(*(put[c].alias(c) if c in put else F.col(c) for c in decisions.columns))
 
 
+def _arguments(content: Column) -> Column:
+    return F.from_json(F.get_json_object(content, "$.cli_arguments"), ARGUMENTS)
+
+
+def script_answer_error(content: Column) -> Column:
+    """First thing in a script answer that can't be packaged: a flag, a value type, a file name; else null."""
+    flag = F.exists(_arguments(content), lambda p: ~F.coalesce(p["flag"].rlike(r"^--[A-Za-z0-9][A-Za-z0-9_-]*\z"), F.lit(False)))
+    named = F.exists(_arguments(content), lambda p: (F.coalesce(p["name"], F.lit("")) == "") | (F.coalesce(p["help"], F.lit("")) == ""))
+    kind = F.exists(_arguments(content), lambda p: ~F.coalesce(p["value_type"].isin(*VALUE_TYPES), F.lit(False)))
+    name = F.get_json_object(content, "$.filename")
+    return (
+        F.when(flag, "cli_arguments: flags must start with --")
+        .when(named, "cli_arguments: name and help must be non-empty")
+        .when(kind, f"cli_arguments: value_type must be one of {', '.join(VALUE_TYPES)}")
+        .when(~name.rlike(FILENAME) | ~F.endswith(name, F.lit(".py")), "filename must be a safe single-file Python script")
+    )
+
+
 def scripts_with_model(scripts: DataFrame, contexts: DataFrame, transport: Transport, **call) -> DataFrame:
-    """Python scripts with a model's text where it answers soundly, else the template's.
+    """Scripts that a model wrote for Python scripts' nodes, in their columns; one for each sound answer.
 
-    ``contexts`` are the nodes that the scripts come from.
+    ``contexts`` are the nodes that the scripts come from.  Flags, file name and example command
+    are the model's own: those of the template don't fit a text that it didn't write.  The
+    skill_id stays the decision's.
     """
     of = contexts.join(scripts.where("language = 'python'").select("node_id", "skill_id"), "node_id", "left_semi")
     asked = of.select(F.col("node_id").alias("id"), prompts.python_script(F.to_json(F.struct("decision", "reason", "tags"))).alias("prompt"))
-    said = answers(asked, transport, "GeneratedScript", SCRIPT, **call).where("fault is null")
-    said = said.select(F.col("id").alias("node_id"), F.get_json_object("content", "$.script_text").alias("m_text"), F.get_json_object("content", "$.description").alias("m_description"))
-    out = scripts.join(said, "node_id", "left")
-    put = {"script_text": F.coalesce("m_text", "script_text"), "description": F.coalesce("m_description", "description")}
+    said = answers(asked, transport, "GeneratedScript", SCRIPT, rule=script_answer_error, **call).where("fault is null")
+    got = lambda name: F.get_json_object("content", f"$.{name}")
+    said = said.select(F.col("id").alias("node_id"), *(got(n).alias(f"m_{n}") for n in ("script_text", "description", "filename", "example_command", "supports_help")), _arguments(F.col("content")).alias("m_arguments"))
+    out = scripts.where("language = 'python'").join(said, "node_id")
+    filename = F.coalesce("m_filename", "filename")
+    put = {
+        "script_text": F.col("m_script_text"), "description": F.coalesce("m_description", "description"), "filename": filename, "entry_symbol": F.lit("core_function"), "runtime_hint": F.lit("python"),
+        "cli_arguments": F.coalesce("m_arguments", F.array().cast(ARGUMENTS)), "kept_imports": F.array().cast("array<string>"), "supports_help": F.coalesce(F.col("m_supports_help") == "true", F.lit(True)),
+        "example_command": F.coalesce("m_example_command", F.concat(F.lit("python scripts/"), filename, F.lit(" --output json"))),
+    }
     return out.select(*(put.get(c, F.col(c)).alias(c) for c in scripts.columns))
+
+
+def first_passing(checked: DataFrame) -> DataFrame:
+    """Of each node's checked scripts (``writer`` model or template) the model's if it passed, else the template's."""
+    model = checked.where("writer = 'model' and passed")
+    return model.unionByName(checked.where("writer = 'template'").join(model.select("node_id"), "node_id", "left_anti"))
+
+
+def manuals_with_model(passed: DataFrame, transport: Transport, **call) -> DataFrame:
+    """Scripts whose ``instructions`` are a model's where those hold and fit the script, else as they came."""
+    asked = passed.select(F.col("node_id").alias("id"), prompts.manual(F.to_json(F.struct("skill_id", "filename", "description", "example_command", "cli_arguments", "script_text"))).alias("prompt"))
+    said = answers(asked, transport, "SkillDocument", MANUAL, **call).where("fault is null").select(F.col("id").alias("node_id"), F.get_json_object("content", "$.instructions").alias("instructions"))
+    of = passed.drop("instructions").join(said, "node_id")
+    sound = of.where(F.coalesce(document_error("instructions"), matches_script_error()).isNull()).select("node_id", F.col("instructions").alias("m_instructions"))
+    out = passed.join(sound, "node_id", "left")
+    return out.select(*(F.coalesce("m_instructions", c).alias(c) if c == "instructions" else F.col(c) for c in passed.columns))

@@ -14,7 +14,7 @@ from ..operators.document import skill_document, skill_file
 from ..operators.extract import mine
 from ..operators.registry import entries
 from ..operators.script import native_scripts, python_scripts
-from ..operators.structured import Transport, decide_with_model, scripts_with_model
+from ..operators.structured import Transport, decide_with_model, first_passing, manuals_with_model, scripts_with_model
 from ..operators.validate import document_error, validate_scripts
 from ..sources.scan import decode, scan_tree, with_runtime
 from .storage import materialise
@@ -49,8 +49,10 @@ class Mined:
 def mine_files(files: DataFrame, transport: Transport | None = None, **call) -> Mined:
     """All stages over (path, text, error) rows; lazy after the checked scripts.
 
-    With a ``transport`` a model judges what the rules let pass and writes the Python scripts;
-    rows whose answer doesn't hold go on as without one.
+    With a ``transport`` a model judges what the rules let pass, writes Python scripts and
+    manuals.  A script of the model's goes through the same rules as the template's, which is
+    taken where the model's breaks one; so does a manual.  Rows whose answer doesn't hold go on
+    as without a model.
     """
     seen = {name: Observation(name) for name in ("nodes", "decisions", "scripts")}
     rows = F.count(F.lit(1)).alias("rows")
@@ -68,12 +70,19 @@ def mine_files(files: DataFrame, transport: Transport | None = None, **call) ->
     distilled = (F.col("language") == "python") & F.col("core_source").isNotNull()
     chosen = chosen.withColumn("runtime_hint", F.lit(None).cast("string"))
     scripts = python_scripts(chosen.where(distilled)).select(*SCRIPT).unionByName(native_scripts(chosen.where(~F.coalesce(distilled, F.lit(False))), good).select(*SCRIPT))
-    if transport:
-        scripts = scripts_with_model(scripts, decisions, transport, **call)
     # written, so that rules don't make the script's text anew wherever they look at it
-    scripts, unfit = split_valid(materialise(scripts, "scripts"), script_error(), "script", "node_id")
-    checked = materialise(validate_scripts(scripts).observe(seen["scripts"], rows, F.count(F.when(F.col("passed"), 1)).alias("passed")), "checked")
+    template = materialise(scripts, "scripts").withColumn("writer", F.lit("template"))
+    scripts, unfit = split_valid(template, script_error(), "script", "node_id")
+    if transport:
+        model = scripts_with_model(template.drop("writer"), decisions, transport, **call).withColumn("writer", F.lit("model"))
+        scripts = scripts.unionByName(split_valid(materialise(model, "modelscripts"), script_error(), "script", "node_id")[0])
+    checked = validate_scripts(scripts)
+    if transport:
+        checked = first_passing(materialise(checked, "candidates"))
+    checked = materialise(checked.observe(seen["scripts"], rows, F.count(F.when(F.col("passed"), 1)).alias("passed")), "checked")
     passed = checked.where("passed").withColumn("instructions", skill_document())
+    if transport:
+        passed = materialise(manuals_with_model(passed, transport, **call), "manuals")
     passed = passed.withColumn("doc_error", document_error("instructions"))
     packages = passed.where("doc_error is null").withColumn("skill_md", skill_file())
     undocumented = passed.where("doc_error is not null").select(F.lit("document").alias("stage"), F.col("node_id").alias("key"), F.col("doc_error").alias("error"))

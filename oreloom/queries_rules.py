@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import agent, data, dependencies, extract, legacy, script, structured, validate
 from .queries import _DEF, _FILES, _PATH, _PRIVATE, _ASYNC, _STATIC, CODE, _code, _lines, _mixed, _table, query
+from .plans.mining import mine_files
 from .sources import scan
 
 
@@ -68,6 +69,14 @@ def _function(k: int, name: str, signature: str, start: str, end: str, doc: str
     return f"select path as file_path, {name} as name, {signature} as signature, {doc} as docstring, {annotations} as annotations, {imports} as imports, ({start})::bigint as start_byte, ({end})::bigint as end_byte from f where k = {k}"
 
 
+# files whose lines end in three ways, with form feeds and separators that end none
+_ODD_BREAK = _by("event_id", "chr(10)", "chr(13) || chr(10)", "chr(13)") + " as nl"
+_ODD_FEED = "case when event_id % 2 = 0 then chr(12) else '' end as ff"
+_ODD_PATH = "'odd/e' || event_id || '.py' as path"
+_ODD_TEXT = "'x = 1' || nl || ff || 'def odd(a):' || nl || '    \"\"\"Two" + " " + "lines.\"\"\"' || nl || '    return a' || nl as text"
+_ODD_LINES = f"select {_ODD_PATH}, nl, ff from (select event_id, {_ODD_BREAK}, {_ODD_FEED} from events)"
+
+
 @query(f"with {_FILES} " + " union all ".join((
     _function(0, "n", "'def ' || n || '(rows: list, limit: int = 3) -> list'", _DEF, "length(text) - 1", "'Keep the first ' || t || ' rows.'", imports="'import math;import numpy as np'"),
     _function(1, "n", "'def ' || n || '(self, value = 1)'", f"{_STATIC} - 4", f"{_ASYNC} - 2", annotations="'@staticmethod'"),
@@ -75,10 +84,12 @@ def _function(k: int, name: str, signature: str, start: str, end: str, doc: str
     _function(2, "'wipe_' || t", "'def wipe_' || t || '(path)'", _DEF, "length(text) - 1", imports="'import os'"),
     _function(3, "n", "'def ' || n || '(*args, **kwargs)'", "0", f"{_PRIVATE} - 1"),
     _function(3, "'_private'", "'def _private(x)'", _PRIVATE, "length(text) - 1"),
+    f"select path, 'odd', 'def odd(a)', 'Two\u2028lines.', '', '', 5 + length(nl) + length(ff), 5 + length(nl) + length(ff) + 11 + length(nl) + 22 + length(nl) + 12 from ({_ODD_LINES})",
 )))
 def python_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures, decorators, imports and byte spans of Python functions."""
-    nodes = extract.python_nodes(_mixed(spark, sf_dir).where("path like '%.py'")).where("error is null")
+    odd = _table(spark, sf_dir, "events").selectExpr("event_id", _ODD_BREAK, _ODD_FEED).selectExpr(_ODD_PATH, _ODD_TEXT)
+    nodes = extract.python_nodes(_mixed(spark, sf_dir).where("path like '%.py'").select("path", "text").unionByName(odd)).where("error is null")
     joined = lambda c, by: F.array_join(c, by).alias(c)
     return nodes.select("file_path", "name", "signature", "docstring", joined("annotations", ","), joined("imports", ";"), "start_byte", "end_byte")
 
@@ -217,3 +228,56 @@ def answer_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of model answers against the schema of a decision."""
     rows = _table(spark, sf_dir, "events").selectExpr("event_id", f"{_by('event_id', *(a for a, _ in _ANSWERS))} as content")
     return rows.select("event_id", structured.schema_error("content", structured.DECISION).alias("error"))
+
+
+# --- a model's scripts ------------------------------------------------------------------
+
+_TAKER = "'def take_rows_' || event_id || '(rows: list, limit: int = 3) -> list:' || chr(10) || '    \"\"\"Keep rows of ' || event_type || '.\"\"\"' || chr(10) || '    kept = rows[:limit]' || chr(10) || '    return kept' || chr(10)"
+
+
+def _said(name: str, flag: str, text: str) -> str:
+    import json
+
+    own = {"name": "rows", "flag": flag, "value_type": "json", "required": True, "help": "Rows."}
+    content = {"script_text": text, "description": f"Take {name}.", "filename": f"{name}_own.py", "cli_arguments": [own], "example_command": f"python scripts/{name}_own.py {flag} [] --output json", "supports_help": True}
+    return json.dumps({"choices": [{"message": {"content": json.dumps(content)}}]})
+
+
+def _stub(body: str) -> str:
+    """A model that answers by the number in a node's name: soundly, dangerously, without JSON, with a flag that it mends when asked, without main, or not at all."""
+    import json
+    import re
+
+    text = json.loads(body)["messages"][1]["content"]
+    script = "def core_function(rows: list) -> list:\n    return rows\n\n\ndef main() -> None:\n    {0}\n"
+    if found := re.search(r"take_rows_(\d+)_own\.py", text):  # a manual, or a script to mend
+        name = f"take_rows_{found[1]}"
+        if "corrected JSON object" in text:
+            return _said(name, "--rows-json", script.format("print(core_function([]))"))
+        path = f"scripts/{name}_own.py"
+        manual = "\n\n".join((
+            "# Own", "## Quick start", f"1. Run `python {path} --rows-json [] --output json`, or --help.", "## Scripts", f"- {path}", "## Inputs", "- --rows-json, --output", "## Output", "stdout and stderr.",
+            "## When to use", "Use when: rows are many.", "Do not use when: none are there.",
+        ))
+        manual = manual if int(found[1]) % 4 else manual.replace("## Inputs", "## In")
+        return json.dumps({"choices": [{"message": {"content": json.dumps({"instructions": manual})}}]})
+    found = re.search(r"Node: take_rows_(\d+)", text)
+    if not found or "Write one Python script" not in text or int(found[1]) % 6 == 5:
+        raise ConnectionError("no line")
+    name, kind = f"take_rows_{found[1]}", int(found[1]) % 6
+    if kind == 2:
+        return "no JSON"
+    return _said(name, "rows" if kind == 3 else "--rows-json", script.format("eval('1')" if kind == 1 else "pass").replace("main", "start" if kind == 4 else "main"))
+
+
+@query("""select 'm/e' || event_id || '.py' as file_path, 'take-rows-' || event_id as skill_id, case when own then 'model' else 'template' end as writer,
+  'take_rows_' || event_id || case when own then '_own.py' else '.py' end as filename, case when own then '--rows-json' else '--rows-json,--limit' end as flags,
+  case when own then 'Take take_rows_' || event_id || '.' else 'Keep rows of ' || event_type || '.' end as description,
+  'python scripts/take_rows_' || event_id || case when own then '_own.py --rows-json []' else '.py --rows-json ''{}'' --limit ''10''' end || ' --output json' as example_command, own and event_id % 4 <> 0 as own_manual
+from (select *, event_id % 6 in (0, 3) as own from events)""")
+def model_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mining with a model that answers well, badly, dangerously or not at all: the template's script and manual stand in."""
+    files = _table(spark, sf_dir, "events").selectExpr("'m/e' || event_id || '.py' as path", f"{_TAKER} as text", "cast(null as string) as error")
+    found = mine_files(files, _stub, retries=0).packages
+    flags = F.array_join(F.col("cli_arguments.flag"), ",").alias("flags")
+    return found.select("file_path", "skill_id", "writer", "filename", flags, "description", "example_command", F.startswith("instructions", F.lit("# Own")).alias("own_manual"))

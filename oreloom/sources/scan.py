@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.text import lines, strip, suffix
+from .tree import read_tree, readable
 
 FILE = "path string, text string"
 
@@ -25,7 +26,13 @@ def safe_relative_path(path: Column, root: str) -> Column:
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of files with a known suffix, or without one but with a shebang."""
+    """(path, content) of files with a known suffix, or without one but with a shebang.
+
+    Other files aren't opened (``sources.tree``), but for roots in a store that only Spark's
+    readers know: there the binary reader reads every file, and passes over hidden names.
+    """
+    if readable(root):
+        return read_tree(spark, root, dims.SUFFIXES).select("path", "content")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root), "^[a-z]+:/+", "/")
     plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
@@ -76,12 +83,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 def list_workspace(spark: SparkSession, root: str, most: int = 200) -> DataFrame:
     """Sorted paths below a folder, folders with a final slash, cut at ``most`` with a marker row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    relative = F.regexp_replace("path", "^.*?" + root.rstrip("/") + "/", "")
-    parts = F.split(relative, "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
-    every = F.when(F.size(parts) > 1, F.concat(folders, F.array(relative))).otherwise(F.array(relative))
-    names = files.select(F.explode(every).alias("entry")).distinct()
+    names = read_tree(spark, root, content=False).select(F.col("path").alias("entry"))
     shown = names.orderBy("entry").limit(most)
     more = names.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.concat(F.lit("... "), F.col("n") - most, F.lit(" more")).alias("entry"))
     return shown.unionByName(more)

@@ -145,3 +145,37 @@ def test_service_command(tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="port"):
         service.Service(**{n: tmp_path for n in service.MOUNTS}, image="i", module="m", port=0)
     assert service.unique_name() != service.unique_name()
+
+
+def test_helpers_of_packaged_scripts():
+    import argparse
+    import json
+    from typing import Any
+
+    from oreloom.operators.script import HELPERS
+
+    space = {"json": json, "argparse": argparse, "Any": Any}
+    exec(HELPERS + "\n    pass\n", space)
+    assert space["_read_json"]("[1]", "--x") == [1] and [space["_truth"](t) for t in (" Yes", "1", "ON", "n", "False")] == [True, True, True, False, False]
+    with pytest.raises(ValueError, match="--x must be valid JSON"):
+        space["_read_json"]("{", "--x")
+    with pytest.raises(argparse.ArgumentTypeError, match="expected a boolean value"):
+        space["_truth"]("maybe")
+    assert space["_plain"]({1: {3, 1, 2}, "b": (1, [{2}])}) == {"1": [1, 2, 3], "b": [1, [[2]]]} and space["_plain"]("x") == "x"
+
+
+def test_a_refused_script_gives_way_to_the_template(spark):
+    def transport(body):
+        import json
+
+        text = json.loads(body)["messages"][1]["content"]
+        if "Write one Python script" not in text:
+            raise ConnectionError
+        return json.dumps({"choices": [{"message": {"content": json.dumps({"script_text": "def core_function(rows: list) -> list:\n    return rows\n\n\ndef main() -> None:\n    eval('1')\n"})}}]})
+
+    files = spark.createDataFrame([("lib/a.py", "def add_rows(rows: list) -> list:\n    kept = list(rows)\n    return kept\n", None)], "path string, text string, error string")
+    mined = mine_files(files, transport, retries=0, initial_wait=0.0)
+    package = mined.packages.collect()
+    assert [p.skill_id for p in package] == ["add-rows"] and package[0].writer == "template" and "eval" not in package[0].script_text and [a.flag for a in package[0].cli_arguments] == ["--rows-json"]
+    assert mined.skipped.count() == 0 and mined.rejects.count() == 0
+    assert package[0].script_text == mine_files(files).packages.first().script_text
