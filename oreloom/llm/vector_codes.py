@@ -63,7 +63,7 @@ class VantageTree:
         self.root = self._build(np.arange(len(entries)))
 
     def _build(self, own: np.ndarray):
-        if len(own) <= self.leaf:
+        if len(own) <= max(2, self.leaf):
             return own
         spread = ((self.entries[own] - self.entries[own[0]]) ** 2).sum(axis=1)
         point = own[spread.argmax()]
