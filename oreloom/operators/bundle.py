@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.text import rstrip, slugify, title_words
+from .names import numbered, with_number
 
 FINDING = ("node_id", "language", "severity", "rule_id", "message", "line")
 
@@ -58,33 +58,12 @@ def findings(nodes: DataFrame) -> DataFrame:
 def unique_names(rows: DataFrame, group: str, order: str, name: str = "candidate") -> DataFrame:
     """Adds ``unique_name``: of equal names in a group the later ones get -2, -3 … before the first dot.
 
-    A numbered name may itself be someone's candidate.  Then the later of the two moves on
-    to the next free number; such names are rare, and only they take a second pass.
+    A number whose name is someone's candidate goes to whoever came first.
     """
-    again = Window.partitionBy(group, name).orderBy(order)
-    head, tail = F.substring_index(name, ".", 1), F.expr(f"substring({name}, length(substring_index({name}, '.', 1)) + 1)")
-    numbered = lambda n: F.when(n == 1, F.col(name)).otherwise(F.concat(head, F.lit("-"), n, tail))
-    out = rows.withColumn("_n", F.row_number().over(again)).withColumn("unique_name", numbered(F.col("_n")))
-    # numbers only meet within a family: names that are equal but for numbers at the stem's end
-    out = out.withColumn("_family", F.concat(F.regexp_replace(head, "(?:-[0-9]+)+$", ""), tail))
-    clash = out.groupBy(group, "_family", "unique_name").count().where("count > 1").select(group, "_family").distinct()
-    fine, odd = out.join(clash, [group, "_family"], "left_anti").drop("_n", "_family"), out.join(clash, [group, "_family"], "left_semi").drop("_n", "unique_name")
-
-    def probe(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        taken: set[str] = set()
-        given = []
-        for candidate in pdf[name]:
-            stem, dot, ending = candidate.partition(".")
-            chosen, n = candidate, 1
-            while chosen in taken:
-                n += 1
-                chosen = f"{stem}-{n}{dot}{ending}"
-            taken.add(chosen)
-            given.append(chosen)
-        return pdf.drop(columns="_family").assign(unique_name=given)
-
-    return fine.unionByName(odd.groupBy(group, "_family").applyInPandas(probe, fine.schema))
+    head = F.substring_index(name, ".", 1)
+    tail = F.expr(f"substring({name}, length(substring_index({name}, '.', 1)) + 1)")
+    out = numbered(rows, group, order, head, tail)
+    return out.select(*rows.columns, with_number("head", F.col("number"), F.col("tail")).alias("unique_name"))
 
 
 def _dedented(code: Column) -> Column:

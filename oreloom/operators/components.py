@@ -1,47 +1,116 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components by local contraction and alternating large-star and small-star steps.
 
-Edges shrink to stars around each component's smallest node in O(log n) rounds.  Every
-step is a grouped minimum (combined before the shuffle) and an equi-join (which adaptive
-execution splits when one node has very many neighbours); nothing is collected.
+First each task contracts the edges it has: a union-find over ``CHUNK`` edges at a time leaves a
+star around the least node of each piece, at most one edge a node, before anything is shuffled.
+Then edges shrink to stars around each component's smallest node in O(log n) rounds.  Every
+step is a grouped minimum (combined before the shuffle) and an equi-join.
+
+Hubs: a node with over ``limit`` neighbours is joined apart, by a broadcast of the hubs' minima.
+The limit is a ``HUBS``-th of the edges and ``HUB`` at least, so there are at most 2 * ``HUBS`` of
+them, and no key of the other join is larger.  Nothing is collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise, release
 
+CHUNK = 1_000_000
+HUB, HUBS = 1_000_000, 2_000
+
+
+def contracted(left: pa.ChunkedArray, right: pa.ChunkedArray) -> pa.RecordBatch:
+    """Edges (a, b) from every node to the least one that the given edges connect it to; that one has a loop only if it is alone."""
+    coded = pa.chunked_array([*left.chunks, *right.chunks]).combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    codes = place[coded.indices.to_numpy()]
+    x, y = codes[: len(left)], codes[len(left) :]
+    label = np.arange(len(order))
+    while True:
+        of_x, of_y = label[x], label[y]
+        apart = of_x != of_y
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(of_x, of_y)[apart], np.minimum(of_x, of_y)[apart])
+        while True:  # every node to its root
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+    joined = np.zeros(len(label), bool)
+    joined[label[label != np.arange(len(label))]] = True
+    kept = np.flatnonzero(~joined | (label != np.arange(len(label))))  # a root that others point to needs no row
+    take = lambda at: coded.dictionary.take(pa.array(order[at]))
+    return pa.RecordBatch.from_arrays([take(kept), take(label[kept])], ["a", "b"])
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= CHUNK:
+            table = pa.Table.from_batches(held)
+            yield contracted(table["a"], table["b"])
+            held, rows = [], 0
+    if rows:
+        table = pa.Table.from_batches(held)
+        yield contracted(table["a"], table["b"])
+
+
+def _with_least(rows: DataFrame, least: DataFrame, total: int, hub: int) -> DataFrame:
+    """``rows`` with m of their node a in ``least`` (a, m, n); n is the node's number of edges, ``total`` that of all."""
+    limit = max(hub, total // HUBS)
+    if total <= limit:
+        return rows.join(least, "a")
+    least = materialise(least, "least")
+    heavy = F.broadcast(least.where(F.col("n") > limit).select(F.col("a").alias("hub"), F.col("m").alias("of_hub")))
+    known = rows.join(heavy, F.col("a") == F.col("hub"), "left")
+    rest = known.where("hub is null").select(*rows.columns).join(least.where(F.col("n") <= limit), "a").select(*rows.columns, "m")
+    return known.where("hub is not null").select(*rows.columns, F.col("of_hub").alias("m")).unionByName(rest)
+
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int, hub: int = HUB) -> DataFrame:
     """Every larger neighbour of a node goes to the least node of its neighbourhood."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    moved = both.where(F.col("b") > F.col("a")).join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+    moved = _with_least(both.where(F.col("b") > F.col("a")), least, total, hub)
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int, hub: int = HUB) -> DataFrame:
     """A node's smaller neighbours, and itself, go to the least of them.  Needs b < a."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(edges, least, total, hub).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, hub: int = HUB) -> DataFrame:
     """(node, root) of each node of ``edges`` (columns a, b of one orderable type).
 
     ``root`` is the least node of the component.  Self-loops give a component of their
     own node, rows with a null end are dropped, direction and repeats don't matter.
     """
-    edges = materialise(edges.select("a", "b"), "links")
-    alone = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
-    now = materialise(
-        edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    mark = None
+    edges = edges.select("a", "b")
+    schema = edges.schema
+    loops = F.col("a") == F.col("b")
+    # a node with nothing but a loop keeps it: without an edge it would leave no row
+    halves = edges.where("a is not null and b is not null").mapInArrow(_contract, schema)
+    now = materialise(halves, "edges")
+    alone = materialise(now.where(loops).select(F.col("a").alias("node")).distinct(), "alone")
+    total, mark = now.count(), None
     for _ in range(rounds):
-        last, now = now, materialise(_small_star(_large_star(now)), "star")
+        last, now = now, materialise(_small_star(_large_star(now.where(~loops), total, hub), total, hub), "star")
         release(last)
         # the sum of hashes tells sets of distinct edges apart
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import col, strip
 
 
-def parse_edges(rows: DataFrame, column: str = "edge", delimiter: str = ",") -> DataFrame:
-    """(left, right, error) of delimited text: exactly two non-empty parts, trimmed."""
+def parse_edges(rows: DataFrame, column: str = "edge", delimiter: str = ",", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(left, right, error) of delimited text: exactly two non-empty parts, trimmed; columns in ``keep`` come first."""
     parts = F.transform(F.split(column, rf"\Q{delimiter}\E", -1), strip)
     good = (F.size(parts) == 2) & ~F.array_contains(parts, "")
-    return rows.select(F.when(good, parts[0]).alias("left"), F.when(good, parts[1]).alias("right"), F.when(~F.coalesce(good, F.lit(False)), "edge must have two parts").alias("error"))
+    return rows.select(*keep, F.when(good, parts[0]).alias("left"), F.when(good, parts[1]).alias("right"), F.when(~F.coalesce(good, F.lit(False)), "edge must have two parts").alias("error"))
 
 
 def parse_json_edges(rows: DataFrame, column: str = "edges") -> DataFrame:

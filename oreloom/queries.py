@@ -377,14 +377,30 @@ def response_payload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", validate.response_error("body", ("name", "value")).alias("error"), validate.status_class("code").alias("status"))
 
 
-@query()
+@query("""with recursive e as (select distinct 'p' || l_partkey as x, 's' || l_orderkey as y from lineitem), ends as (select x as n, y as m from e union all select y, x from e),
+c(node, root) using key (node) as (
+  select distinct n, n from ends
+  union (select ends.m, min(c.root) from c join ends on ends.n = c.node join recurring.c as r on r.node = ends.m where c.root < r.root group by ends.m)
+)
+select node, root from c""")
 def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components over every row of lineitem, ids as they are; too large for a recursive twin, so held against union-find."""
+    """Components over every row of lineitem, ids as they are; the twin passes least labels on until none changes."""
     edges = _table(spark, sf_dir, "lineitem").selectExpr("'p' || l_partkey || ' , s' || l_orderkey as edge")
     parsed = data.parse_edges(edges).where("error is null")
     return components(parsed.select(F.col("left").alias("a"), F.col("right").alias("b")))
 
 
+_EDGE = "case l_linenumber % 6 when 0 then ' p' || l_partkey || ' , s' || l_orderkey || ' ' when 1 then 'p' || l_partkey when 2 then 'p' || l_partkey || ',s,' || l_orderkey when 3 then ' ,s' || l_orderkey when 4 then 'p' || l_partkey || ',p' || l_partkey else cast(null as varchar(9)) end"
+
+
+@query(f"""select l_orderkey, l_linenumber, case when good then trim(p[1]) end as "left", case when good then trim(p[2]) end as "right", case when not coalesce(good, false) then 'edge must have two parts' end as error
+from (select *, len(p) = 2 and trim(p[1]) <> '' and trim(p[2]) <> '' as good from (select l_orderkey, l_linenumber, string_split({_EDGE}, ',') as p from lineitem))""")
+def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges read from delimited text, and the rows that hold none."""
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_EDGE} as edge")
+    return data.parse_edges(rows, keep=("l_orderkey", "l_linenumber"))
+
+
 #: Whole texts folded to bases.
 _WHOLE = "translate(regexp_replace(text, '[^a-zA-Z]', ''{g}), 'bdefhijklmnopqrsuvwxyzBDEFHIJKLMNOPQRSUVWXYZ', 'acgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTAC')"
 
