@@ -16,9 +16,9 @@ similarity 0.8 a bit differs with probability 0.15, so of 64 more than 28 differ
 pair in 10^8; sets of under ``SMALL`` shingles, for which that estimate is loose, skip the
 test.  A second fingerprint holds the parity of the shingles in each of ``PARITIES`` hash
 buckets: its Hamming distance never exceeds the number of shingles that only one text has,
-so a pair beyond what the similarity allows is discarded without loss; it joins in from the
-second round on, when few keys are left to carry it.  Survivors are verified on the whole
-sets.
+so a pair beyond what the similarity allows is discarded without loss.  In the first round it is
+looked up for the proposed pairs alone, later few keys are left and carry it.  Survivors are
+verified on the whole sets.
 
 Rounds keep groups linear: at first a text proposes one partner a key, the first of its
 order, so that a group of copies proposes little more than a star.  Proposals are verified
@@ -26,8 +26,9 @@ and groups joined.  Only keys in which a text has partners left go into the next
 which texts that are still apart propose eight times as many, until none is left.  Keys of
 more than ``MOST`` texts are dealt into blocks, and every pair of blocks is compared.
 
-Keys that only one text has are dropped before they travel with it: of the others a bitmap
-of ``BITMAP`` bits is broadcast, and what passes it is joined.
+Keys that only one text has are dropped before they travel with it: of the others a bitmap is
+broadcast, and what passes it is joined.  The bitmap has 8 bits a key and more, from 2^24 up to
+2^28 (at most 67 MB as rows); beyond 2^25 keys more pass it in vain, which costs a shuffle and no pair.
 
 Texts with the same set are one class (told by a 64-bit hash of the set), so exact copies
 meet nothing.  Only keys, fingerprints and the sets of proposed pairs travel.
@@ -61,7 +62,7 @@ DISTANCE = 28
 PIVOTS = 16
 SMALL = 64
 PARITIES = 512
-BITMAP = 1 << 24
+BITMAP = 1 << 24, 1 << 28
 BUCKETS = 1 << 18
 #: Texts of one key compared in one group.
 MOST = 2048
@@ -241,15 +242,35 @@ def _living(keys: DataFrame, live: DataFrame) -> DataFrame:
     """Rows of ``keys`` whose key is one of ``live``, with its columns."""
     if bounded_rows(live, BROADCAST_ROWS) is not None:
         return keys.join(F.broadcast(live), "key")
-    place = F.col("key").bitwiseAND(F.lit(BITMAP - 1))
+    size = min(BITMAP[1], max(BITMAP[0], 1 << (8 * live.count() - 1).bit_length()))
+    # the order of keys goes by their low bits, so those would fill a part of the bitmap only
+    place = F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(size - 1))
     bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
     words = live.withColumn("_place", place).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    words = F.broadcast(materialise(words, "bitmap"))  # BITMAP / 64 rows at most
+    words = F.broadcast(materialise(words, "bitmap"))  # size / 64 rows at most
     some = keys.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(words, "_word")
     some = some.where(F.col("_bits").bitwiseAND(bit) != 0).select(*keys.columns)
     return some.join(live, "key")
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose parities leave the similarity possible; only 64 bytes a text travel."""
+    of = lambda side: classes.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone = (1 - similarity) / (1 + similarity)
+        for batch in batches:
+            if not len(batch):
+                continue
+            one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (4, 5))
+            apart = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+            good = np.flatnonzero(apart <= alone * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) + 1e-9)
+            yield batch.select([0, 1]).take(pa.array(good))
+
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _deal(rows: DataFrame) -> DataFrame:
     """Rows with their ``part`` of the key: 0, or every pair of its ``parts`` blocks that holds the row's own."""
     own = F.pmod(F.xxhash64("cid"), F.col("parts"))
@@ -286,12 +307,13 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     signed = materialise(sign(docs, bucket_counts(docs, size), size, similarity), "signed")
     classes = signed.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
     classes = materialise(classes, "classes")
-    # of exact copies one has keys, or, without an id or with a repeated one, few
-    copies = classes.where("copies > 1 and least is not null").select("cid", "least")
-    single = signed.join(_few(copies), "cid", "left").where("least is null or doc_id = least")
-    keys = single.select("cid", F.explode("keys").alias("key"))
-    live = keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.ceil(F.count("*") / most).alias("parts")).where("low < high").select("key", "parts")
-    held = _living(keys, materialise(live, "livekeys")).join(classes.select("cid", "fp", "n"), "cid").select("key", "parts", "cid", "fp", "n")
+    # of the rows of one class one has keys
+    copies = classes.where("copies > 1").select("cid", "least", F.lit(True).alias("again"))
+    marked = signed.join(_few(copies), "cid", "left").where("again is null or least is null or doc_id = least").select("cid", "fp", "n", "keys", "again")
+    single = marked.where("again is null").drop("again").unionByName(marked.where("again").drop("again").dropDuplicates(["cid"]))
+    keys = single.select("cid", "fp", "n", F.explode("keys").alias("key"))
+    live = single.select(F.explode("keys").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / most).alias("parts"), F.count("*").alias("texts")).where("texts > 1").select("key", "parts")
+    held = _living(keys, materialise(live, "livekeys")).select("key", "parts", "cid", "fp", "n")
     held = materialise(held, "live")
     sweep(docs.sparkSession)
     linked = verified = roots = None
@@ -306,7 +328,9 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
         new = found.where("left is null").select("a", "b")
         new = materialise(new.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "new") if verified is not None else new
         if bounded_rows(new, 0) is None:
-            done = _verified(docs, classes, new, size, similarity)
+            # what parities rule out here isn't proposed again: later rounds carry them
+            likely = new if bits else materialise(_possible(new, classes, similarity), "likely")
+            done = _verified(docs, classes, likely, size, similarity)
             verified = done if verified is None else verified.unionByName(done)
             more = done.where("linked").select("a", "b")
             if bounded_rows(more, 0) is None:
