@@ -32,12 +32,12 @@ from ..plans.storage import materialise
 from .word_tokens import WordEncoder
 
 CAPACITY = 4096
-#: Rows' worth of tokens, and pieces, in a group; a group is one task's work of about a second.
-GROUP_ROWS = 4096
+#: Rows' worth of tokens, and pieces, in a group: few, so that thousands of documents already make several.
+GROUP_ROWS = 128
 GROUP_PIECES = 200_000
 END_ID = 1
 #: A bin less full than this is open to pieces of other groups, certified or not.
-OPEN_FILL = 0.9
+OPEN_FILL = 0.995
 
 _PIECE = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -271,3 +271,22 @@ def test_op8_digests(docs, library):
     assert op8(docs.limit(0)).count() == 0
     back = {r.doc_id: r.text for r in decode_documents(encode_documents(docs)).collect()}
     assert back[8] == TEXTS[8] and back[0] == ""
+
+
+def test_registered_packing_exchanges_between_groups(spark, monkeypatch):
+    """At its own parameters: several groups, a round of exchange, and at most 0.2 % over the bound of all pieces."""
+    from oreloom.llm import repacking
+    from oreloom.llm.binpack import lower_bound
+
+    groups, real = [], repacking._round
+
+    def counted(*args):
+        found = real(*args)
+        groups.append(found[1])
+        return found
+
+    monkeypatch.setattr(repacking, "_round", counted)
+    rows = repacking.op10(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), special=True).collect()
+    assert groups[0] > 1 and len(groups) > 1
+    bound = lower_bound(np.array([r.length for r in rows]), repacking.CAPACITY)
+    assert bound <= len({r.sequence_id for r in rows}) <= 1.002 * bound
