@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, strip, suffix
+from .names import running
 
 
 def history(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
@@ -18,6 +21,26 @@ def history(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: s
     return turns.withColumn("history", F.when(F.size(found) > 0, found))
 
 
+def history_spans(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """(key, order, text, start, length, before): where a turn lies in its conversation's text, and how many turns come before.
+
+    What a turn sees is the conversation's first ``start`` characters, so nothing is written
+    twice: linear in the turns, where ``history`` is quadratic.  A null text has length 0 and
+    counts as no turn, as ``history`` leaves nulls out.  A conversation may span tasks.
+    """
+    rows = turns.select(key, order, text).withColumn("length", F.coalesce(F.length(text), F.lit(0)).cast("long"))
+    out = running(rows, [key], [order], {"_end": F.col("length"), "_seen": F.col(text).isNotNull().cast("long")})
+    return out.select(key, order, text, (F.col("_end") - F.col("length")).alias("start"), "length", (F.col("_seen") - F.col(text).isNotNull().cast("long")).alias("before"))
+
+
+def expand_history(spans: DataFrame, wanted: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """(key, order, history) of ``wanted`` (key, order) turns alone, in the form of ``history``."""
+    asked = spans.join(wanted.select(key, order), [key, order], "left_semi").select(F.col(key).alias("_k"), F.col(order).alias("_o"))
+    earlier = asked.join(spans, F.col("_k").eqNullSafe(F.col(key)) & (F.col(order) < F.col("_o")) & F.col(text).isNotNull(), "left")
+    found = earlier.groupBy("_k", "_o").agg(F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(order, text)))).alias("h"))
+    return found.select(F.col("_k").alias(key), F.col("_o").alias(order), F.when(F.size("h") > 0, F.col(f"h.{text}")).alias("history"))
+
+
 def backoff_schedule(retries: int = 3, initial: float = 1.0, factor: float = 2.0, most: float = 30.0) -> Column:
     """Waits before each retry, without jitter."""
     return F.transform(F.sequence(F.lit(0), F.lit(retries - 1)), lambda i: F.least(F.lit(initial) * F.pow(F.lit(factor), i), F.lit(most)))
@@ -47,37 +70,74 @@ def completions_url(base: Column | str) -> Column:
     return F.when(F.endswith(plain, F.lit("/chat/completions")), plain).otherwise(F.concat(plain, F.lit("/chat/completions")))
 
 
+def slot_time(number: int, per_minute: float) -> float:
+    """Seconds after the start at which a token bucket that is full then lets call ``number`` (from 0) go."""
+    return max(0.0, (number + 1 - max(1.0, per_minute)) / (per_minute / 60.0))
+
+
+class Pace:
+    """Waits of one of ``places`` callers that share one bucket without talking to each other.
+
+    Call k of the bucket's schedule belongs to caller k mod ``places``; each attempt, a repeated
+    one too, takes its caller's next.  Turns that a full bucket would have let lapse by now are
+    passed over, so whatever stalls, no minute sees more than the bucket allows, and a caller that
+    has much to do isn't held to a share that others leave idle beyond its own turns.
+    """
+
+    def __init__(self, start: float, per_minute: float, place: int, places: int, clock: Callable[[], float], sleep: Callable[[float], None]):
+        self.start, self.per_minute, self.place, self.places, self.clock, self.sleep = start, per_minute, place, places, clock, sleep
+        self.next = place
+
+    def wait(self) -> None:
+        now = self.clock() - self.start
+        lapsed = ceil(now * self.per_minute / 60.0 - 1)  # turns before this one are older than a full bucket
+        if self.next < lapsed:
+            self.next = lapsed + (self.place - lapsed) % self.places
+        due = slot_time(self.next, self.per_minute)
+        self.next += self.places
+        if due > now:
+            self.sleep(due - now)
+
+
+def attempts(transport: Callable[[str], str], body: str, retries: int, initial_wait: float, pace: Pace | None, sleep: Callable[[float], None]) -> tuple[str | None, str | None]:
+    """(answer, error) of one body: each attempt waits for its turn, after a failure also for its back-off."""
+    import random
+
+    error = None
+    for attempt in range(retries + 1):
+        if pace:
+            pace.wait()
+        try:
+            return transport(body), None
+        except Exception as problem:  # the transport's own; kept as the row's error
+            error = f"{type(problem).__name__}: {problem}"
+            if attempt < retries:
+                sleep(min(initial_wait * 2.0**attempt, 30.0) * random.uniform(0.9, 1.1))
+    return None, error
+
+
 def call_model(rows: DataFrame, transport: Callable[[str], str], retries: int = 3, rate_per_minute: float | None = None, initial_wait: float = 1.0) -> DataFrame:
     """(id, response, error) of (id, body) rows through an injected transport, in Arrow batches.
 
     A failed call waits ``initial_wait`` seconds, twice as long each time, 30 at most, a tenth
-    more or less by chance.  The rate is shared among the partitions; nothing here opens a
-    connection.
+    more or less by chance.  With a rate the rows are dealt evenly over as many tasks as run at
+    once, and these take turns of one token bucket (``Pace``; clocks of executors must agree).
+    Nothing here opens a connection.
     """
-    share = rate_per_minute / rows.rdd.getNumPartitions() if rate_per_minute else None
+    places = rows.sparkSession.sparkContext.defaultParallelism if rate_per_minute else 0
+    start = time.time()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import random
-        import time
+        from pyspark import TaskContext
 
+        context = TaskContext.get()
+        pace = Pace(start, rate_per_minute, (context.partitionId() if context else 0) % places, places, time.time, time.sleep) if places else None
         for pdf in batches:
-            out = []
-            for one in pdf.itertuples():
-                answer = error = None
-                for attempt in range(retries + 1):
-                    try:
-                        answer, error = transport(one.body), None
-                        break
-                    except Exception as problem:  # the transport's own; kept as the row's error
-                        error = f"{type(problem).__name__}: {problem}"
-                        if attempt < retries:
-                            time.sleep(min(initial_wait * 2.0**attempt, 30.0) * random.uniform(0.9, 1.1))
-                if share:
-                    time.sleep(60.0 / share)
-                out.append((one.id, answer, error))
+            out = [(one.id, *attempts(transport, one.body, retries, initial_wait, pace, time.sleep)) for one in pdf.itertuples()]
             yield pd.DataFrame(out, columns=["id", "response", "error"])
 
-    return rows.select("id", "body").mapInPandas(run, "id string, response string, error string")
+    asked = rows.select("id", "body")
+    return (asked.repartition(places) if places else asked).mapInPandas(run, "id string, response string, error string")
 
 
 def named_arguments(args: Column | str) -> Column:

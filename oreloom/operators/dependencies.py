@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.text import ordered_distinct
+from ..plans.storage import bounded_rows, materialise
+
+BROADCAST_MODULES, HEAVY = 200_000, 1000
 
 
 def root_module(line: Column, language: Column) -> Column:
@@ -36,15 +39,25 @@ def internal_modules(paths: DataFrame) -> DataFrame:
 def classify_imports(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(node_id, ord, import, module, kind): standard before internal before third-party.
 
-    The standard names are a broadcast dimension; internal names grow with the tree and
-    are joined.
+    The standard names are a broadcast dimension.  Internal names grow with the tree: up to
+    ``BROADCAST_MODULES`` they are broadcast; beyond, modules with over a ``HEAVY``-th of all
+    imports (so fewer than that) are looked up apart by a broadcast, and the rest are joined.
     """
     spark = nodes.sparkSession
     rows = nodes.select("node_id", "language", F.posexplode(F.array_distinct("imports")).alias("ord", "import"))
     rows = rows.withColumn("module", root_module(F.col("import"), F.col("language"))).where("module is not null")
     known = F.broadcast(dims.stdlib(spark).withColumn("standard", F.lit(True)))
     own = internal_modules(paths).withColumn("internal", F.lit(True))
-    rows = rows.join(known, "module", "left").join(own, "module", "left")
+    rows = rows.join(known, "module", "left")
+    if bounded_rows(own, BROADCAST_MODULES) is not None:
+        rows = rows.join(F.broadcast(own), "module", "left")
+    else:
+        rows, own = materialise(rows, "imports"), materialise(own, "modules")
+        heavy = rows.groupBy("module").agg(F.count("*").alias("n")).where(F.col("n") * HEAVY > rows.count()).select("module")
+        heavy = F.broadcast(materialise(heavy.join(own, "module", "left").withColumn("heavy", F.lit(True)), "heavy"))
+        apart = rows.join(heavy, "module", "left")
+        rest = apart.where("heavy is null").drop("heavy", "internal").join(own, "module", "left")
+        rows = apart.where("heavy").drop("heavy").unionByName(rest)
     kind = F.when(F.col("standard"), "stdlib").when(F.col("internal"), "internal").otherwise("pip")
     return rows.select("node_id", "ord", "import", "module", kind.alias("kind"))
 

@@ -30,23 +30,24 @@ from ..plans.storage import bounded_rows, materialise
 _NUMBER = r"-([2-9]|[1-9][0-9]{1,17})\z"
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows of the same keys up to and with the row's own, in order.
+def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds each value's sum over the rows of the same keys up to and with the row's own, in order.
 
     Rows are dealt by ranges of keys and order.  Windows run within a range; a row a key and range
-    carries its sum on, so no key needs one task.  Null keys are keys.
+    carries its sums on, so no key needs one task.  Null keys are keys.
     """
-    dealt = rows.withColumn("_value", value.cast("long")).repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id())
-    dealt = materialise(dealt, "ranges")  # a row's range must not change between the two readings
+    dealt = rows.withColumns({f"_value{i}": v.cast("long") for i, v in enumerate(values.values())})
+    dealt = materialise(dealt.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id()), "ranges")  # a row's range must not change between two readings
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = dealt.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_at")).agg(F.sum("_value").alias("_in"))
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))).where("_before <> 0").drop("_in")
+    some = range(len(values))
+    blocks = dealt.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_at")).agg(*(F.sum(f"_value{i}").alias(f"_in{i}") for i in some))
+    blocks = blocks.select("*", *(F.sum(f"_in{i}").over(before).alias(f"_before{i}") for i in some)).where(F.coalesce(*(f"_before{i}" for i in some)).isNotNull())
     same = F.col("_block") == F.col("_at")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    out = dealt.withColumn("_own", F.sum("_value").over(inside)).join(blocks, same, "left")
-    return out.select(*rows.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias(name))
+    out = dealt.select("*", *(F.sum(f"_value{i}").over(inside).alias(f"_own{i}") for i in some)).join(blocks, same, "left")
+    return out.select(*rows.columns, *((F.col(f"_own{i}") + F.coalesce(f"_before{i}", F.lit(0))).alias(name) for i, name in enumerate(values)))
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,7 @@ def _settled(rows: DataFrame, group: str, order: str) -> DataFrame:
             done = own.withColumn("number", F.col("_k") + 1)
         else:
             repeats = own.where("_k > 0").select(F.col(group).alias("group"), F.col("_name").alias("stem"), F.col(order).alias("order"), F.lit(None).cast("long").alias("num"), F.lit(None).cast("string").alias("name"))
-            both = running(repeats.unionByName(asks), ["group", "stem"], ["order"], F.when(F.col("num").isNull(), 1).otherwise(0), "asked").where("num is not null")
+            both = running(repeats.unionByName(asks), ["group", "stem"], ["order"], {"asked": F.when(F.col("num").isNull(), 1).otherwise(0)}).where("num is not null")
             scan = both.select("group", "stem", "num", "asked").repartition("group", "stem").sortWithinPartitions("group", "stem", "num")
             schema = scan.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
             found = materialise(scan.mapInArrow(_blocked, f"{schema}, free long, blocked boolean"), "numbers")
@@ -96,7 +97,7 @@ def _settled(rows: DataFrame, group: str, order: str) -> DataFrame:
             # a repeat is shifted by the blocked numbers with fewer free ones below than its count
             steps = own.where("_k > 0").select(F.col(group).alias("group"), F.col("_name").alias("stem"), (2 * F.col("_k")).alias("place"), F.lit(0).alias("up"), F.col(order).alias("order"))
             steps = steps.unionByName(found.where("blocked").select("group", "stem", (2 * F.col("free") + 1).alias("place"), F.lit(1).alias("up"), F.lit(None).cast(own.schema[order].dataType).alias("order")))
-            shift = running(steps, ["group", "stem"], ["place"], F.col("up"), "shift").where("up = 0").select(F.col("group").alias("_g"), F.col("stem").alias("_m"), F.col("place").alias("_p"), "shift")
+            shift = running(steps, ["group", "stem"], ["place"], {"shift": F.col("up")}).where("up = 0").select(F.col("group").alias("_g"), F.col("stem").alias("_m"), F.col("place").alias("_p"), "shift")
             same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_name") == F.col("_m")) & (2 * F.col("_k") == F.col("_p"))
             done = own.join(shift, same, "left").withColumn("number", F.col("_k") + 1 + F.coalesce("shift", F.lit(0))).drop("_g", "_m", "_p", "shift")
         done = done.drop("_late", "_k", "_name", "_num", "_stem", "_depth")
@@ -109,7 +110,7 @@ def numbered(rows: DataFrame, group: str, order: str, head: Column, tail: Column
 
     ``order`` tells rows of a group apart.
     """
-    rows = running(rows.withColumn("head", head).withColumn("tail", tail), [group, "head", "tail"], [order], F.lit(1), "nth")
+    rows = running(rows.withColumn("head", head).withColumn("tail", tail), [group, "head", "tail"], [order], {"nth": F.lit(1)})
     # numbers only meet within a family: names that are equal but for numbers at the stem's end
     family = F.concat(F.regexp_replace("head", "(?:-[0-9]+)+$", ""), F.lit("\0"), F.col("tail"))
     rows = materialise(rows.withColumn("_family", family), "counted")

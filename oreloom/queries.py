@@ -343,6 +343,13 @@ def history_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.coalesce(F.array_size("history"), F.lit(0)).cast("long").alias("before"), F.coalesce(F.array_join("history", "|"), F.lit("")).alias("history"))
 
 
+@query("""select conv_id, turn, (sum(coalesce(length(text), 0)) over w - coalesce(length(text), 0))::bigint as start, coalesce(length(text), 0)::bigint as length, (count(text) over w - (text is not null)::int)::bigint as before
+from conversations window w as (partition by conv_id order by turn rows between unbounded preceding and current row)""")
+def history_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each turn lies in its conversation: what it sees without writing that out."""
+    return agent.history_spans(_table(spark, sf_dir, "conversations")).drop("text")
+
+
 @query("""
 select event_id, '--event-type ' || event_type || case when event_id % 2 = 0 then ' --verbose' else '' end || ' --ids ' || user_id || ' --ids 7' || ' --rows-json [' || user_id || ',7] --props {"k":' || json_extract_string(props, '$.k') || '}' as argv
 from events""")
