@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.registry import document, upsert
 from ..operators.validate import flat_bundle
+from .skill_folders import SkillFolders
 
 
 def install(temporary: Path, target: Path, overwrite: bool, tries: int = 5) -> None:
@@ -43,24 +44,15 @@ def install(temporary: Path, target: Path, overwrite: bool, tries: int = 5) -> N
 
 
 def write_skills(packages: DataFrame, output: str, overwrite: bool = False) -> None:
-    """A folder for each package, on a file system that all executors mount.
+    """A folder for each package, on a file system that all executors see: all of them or none (``skill_folders``).
 
     Of packages with one skill_id the last in run order is written, as the registry has it.
     """
     last = F.struct(F.split("file_path", "/"), "start_byte", "ordinal")
     rows = packages.groupBy("skill_id").agg(F.max_by(F.struct("filename", "script_text", "skill_md"), last).alias("r")).select("skill_id", "r.*")
     rows = rows.where(flat_bundle(F.concat(F.lit("scripts/"), F.col("filename"))))
-
-    def write(part) -> None:
-        for row in part:
-            target = Path(output) / row["skill_id"]
-            temporary = target.with_name(f".{target.name}.{uuid.uuid4().hex[:8]}.new")
-            (temporary / "scripts").mkdir(parents=True)
-            (temporary / "scripts" / row["filename"]).write_text(row["script_text"], encoding="utf-8")
-            (temporary / "SKILL.md").write_text(row["skill_md"], encoding="utf-8")
-            install(temporary, target, overwrite)
-
-    rows.foreachPartition(write)
+    rows.sparkSession.dataSource.register(SkillFolders)
+    rows.write.format(SkillFolders.name()).option("replace", str(overwrite).lower()).mode("append").save(output)
 
 
 def clean_legacy(output: str) -> list[str]:
