@@ -11,8 +11,10 @@ in its sense (at the text's edge where that is nearer), so every position has re
 least that much of the text on either side.
 
 Sample: ``per_language`` documents of each language, chosen by a hash of their id, each
-with its whole text; training reads all of it, in runs of ``RUN`` bytes.  That bound on
-rows is the only one, and prediction covers every position of every row.  lang, source and
+with its whole text, in runs of ``RUN`` bytes; where those are more than ``RUNS`` a language, that
+many of them, chosen by a hash of document and place wherever in a text they stand.  Cutting and
+choosing happens where the rows are, so the driver holds ``RUNS`` * ``RUN`` bytes a language.
+Prediction covers every position of every row.  lang, source and
 doc_id never enter a prediction.  The languages are the distinct labels: the network's
 width, and what the driver holds of them, is their number.
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import materialise, release
 from .rows import pieces, released
 
 PER_LANGUAGE = 150
@@ -41,6 +43,8 @@ HIDDEN = 8
 CORE, WARM, LANES = 512, 32, 1024
 #: Bytes of a training run; least updates of a training.
 RUN, STEPS = 96, 400
+#: Training runs of a language.
+RUNS = 40_000
 SEED = 7
 #: Mean position probability of the predicted language under which the pipeline rejects.
 LEAST_SCORE = 0.3
@@ -235,6 +239,21 @@ def runs(text: str) -> list[bytes]:
     return out
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of texts; ``text`` tells texts of one id apart."""
+    import zlib
+
+    names = ["doc_id", "lang", "text", "place", "run"]
+    for batch in batches:
+        for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, mark = runs(text), zlib.crc32(text.encode("utf-8", "replace"))
+            for at in range(0, len(own), 50_000):
+                part = own[at : at + 50_000]
+                n = len(part)
+                columns = [pa.array([doc_id] * n, pa.int64()), pa.array([lang] * n, pa.string()), pa.array([mark] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(part, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def predict(model: ByteGRU, texts: list[str | None]) -> list[tuple[str, float]]:
     """Language and score of each text."""
     k, out = len(model.languages), [(UNKNOWN, 0.0)] * len(texts)
@@ -264,12 +283,17 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteGRU:
     share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(per_language / counts[lang]))))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
     # the limit only guards against many rows of one id
-    rows = usable.where(chosen).select("doc_id", "lang", "text").limit(2 * per_language * len(languages)).collect()
+    rows = materialise(usable.where(chosen).select("doc_id", "lang", "text").limit(2 * per_language * len(languages)), "sample")
+    found = materialise(rows.mapInArrow(_cut, "doc_id long, lang string, text long, place long, run binary"), "runs")
+    release(rows)
+    many = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if over := {lang: RUNS / n for lang, n in many.items() if n > RUNS}:
+        kept = F.coalesce(F.create_map(*(F.lit(x) for pair in over.items() for x in pair))[F.col("lang")], F.lit(1.0))
+        found = found.where(F.pmod(F.xxhash64("doc_id", "text", "place"), F.lit(1 << 30)) < kept * (1 << 30))
     pieces, labels = [], []
-    for row in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
-        own = runs(row["text"])
-        pieces += own
-        labels += [languages.index(row["lang"])] * len(own)
+    for row in found.orderBy("doc_id", "lang", "text", "place").select("lang", "run").toLocalIterator():
+        pieces.append(bytes(row["run"]))
+        labels.append(languages.index(row["lang"]))
     if pieces:
         model.fit(pieces, np.array(labels))
     return model

@@ -201,6 +201,24 @@ class Scanner:
                 best = part
         return best
 
+    @staticmethod
+    def _shared(own: list[tuple[int, str]], need: Counter, windows: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+        """Template words that each window holds, repeats as often as the template has them; windows go forward at both ends."""
+        counts, total, a, b, out = Counter(), 0, 0, 0, {}
+        for lo, hi in windows:
+            while b < hi:
+                word = own[b][1]
+                counts[word] += 1
+                total += counts[word] <= need[word]
+                b += 1
+            while a < lo:
+                word = own[a][1]
+                total -= counts[word] <= need[word]
+                counts[word] -= 1
+                a += 1
+            out[lo, hi] = total
+        return out
+
     def _best(self, text: list[tuple[int, str]], name: str) -> list[tuple[int, int]]:
         """Best aligned copy of a template in (position, word) pairs."""
         template, need = self.templates[name], self.counts[name]
@@ -212,9 +230,11 @@ class Scanner:
         places: dict[str, list[int]] = {}
         for at in sorted(range(n), key=lambda at: (have[template[at]], at))[: n - ceil(self.least * n - 1e-9) + 1]:
             places.setdefault(template[at], []).append(at)
-        tried = {(max(0, k - at - slack), min(len(own), k + n - at + slack)) for k, (_, w) in enumerate(own) for at in places.get(w, ()) for slack in (n // 2, n)}
-        shared = {(lo, hi): sum((Counter(w for _, w in own[lo:hi]) & need).values()) for lo, hi in tried}
-        for lo, hi in sorted((x for x in tried if shared[x] >= self.least * n), key=lambda x: (-shared[x], x)):
+        begins = sorted({k - at for k, (_, w) in enumerate(own) for at in places.get(w, ())})
+        shared: dict[tuple[int, int], int] = {}
+        for slack in (n // 2, n):
+            shared |= self._shared(own, need, [(max(0, k - slack), min(len(own), k + n + slack)) for k in begins])
+        for lo, hi in sorted((x for x in shared if shared[x] >= self.least * n), key=lambda x: (-shared[x], x)):
             if shared[lo, hi] <= len(best):
                 break
             best = max(best, self._part(own[lo:hi], template), key=len)

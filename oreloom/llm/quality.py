@@ -97,10 +97,15 @@ def _host(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
+def _line_hashes(text: str) -> Column:
+    """Hashes of a text's distinct lines, sorted; none for a null text."""
+    hashes = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, "\n"), _line_hash), lambda h: h.isNotNull())))
+    return F.coalesce(hashes, F.array().cast("array<long>"))
+
+
 def frequent_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """(host, line, documents) of the lines above their host's limit."""
-    hashes = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), _line_hash), lambda h: h.isNotNull())))
-    rows = docs.select(_host("source").alias("host"), F.coalesce(hashes, F.array().cast("array<long>")).alias("all"))
+    rows = docs.select(_host("source").alias("host"), _line_hashes("text").alias("all"))
     # the null line stands for the document itself: its count is the host's size
     held = rows.select("host", F.xxhash64("all").alias("document"), F.explode(F.concat("all", F.array(F.lit(None).cast("long")))).alias("line"))
     once = held.groupBy("host", "line", "document").agg(F.lit(1).alias("one"))
@@ -117,10 +122,14 @@ def assess(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE,
     kept, and cleaned: the text without removed lines, null if none was removed.
     """
     found = materialise(frequent_lines(docs, least, share).select(_host("host").alias("host"), "line"), "lines")
-    by_host = found.groupBy("host").agg(F.collect_set("line").alias("removed"))
-    small = bounded_rows(found, BROADCAST_LINES) is not None
     rows = docs.select(F.struct("*").alias("row")).withColumn("host", _host("row.source"))
-    rows = rows.join(F.broadcast(by_host) if small else by_host, "host", "left")
+    if bounded_rows(found, BROADCAST_LINES) is not None:
+        rows = rows.join(F.broadcast(found.groupBy("host").agg(F.collect_set("line").alias("removed"))), "host", "left")
+    else:  # lines meet line by line; a text then gets those of its own that go, and moves once
+        rows = rows.withColumn("document", F.xxhash64(_line_hashes("row.text")))
+        lines = docs.select(_host("source").alias("host"), _line_hashes("text").alias("all")).select("host", F.xxhash64("all").alias("document"), F.explode("all").alias("line"))
+        hits = lines.groupBy("host", "line", "document").agg(F.lit(1).alias("one")).join(found, ["host", "line"])
+        rows = rows.join(hits.groupBy("host", "document").agg(F.collect_list("line").alias("removed")), ["host", "document"], "left")
     held = F.struct(F.split("row.text", "\n").alias("lines"), F.col("removed").alias("removed"))
 
     def strip(held: Column) -> Column:

@@ -6,8 +6,9 @@ d in every coordinate, so a pair whose largest coordinate difference exceeds the
 discarded unseen; survivors are verified exactly.
 
 Which pairs meet: 64 bits are cut into 6 blocks.  At most 4 differing bits leave at least
-2 blocks equal, so each pair to be found shares one of 15 two-block keys.  Inside a key
-fingerprints are sorted by their first coordinate and only neighbours within the limit
+2 blocks equal, so each pair to be found shares one of 15 two-block keys of 20 to 22 bits.  Beyond
+``MANY`` fingerprints those keys hold too many by chance; then 8 blocks, of which 4 stay equal,
+give 70 keys of 32 bits.  Both cuts find every pair.  Inside a key fingerprints are sorted by their first coordinate and only neighbours within the limit
 are compared.  Keys with more than ``most`` fingerprints are dealt into blocks, and every
 pair of blocks is compared, so no key lands in one task and no pair is lost.
 
@@ -38,8 +39,10 @@ SHINGLE = 4
 DISTANCE = 4
 PIVOTS = 32
 SEED = 42
-#: (lowest bit, bits) of the six blocks.
+#: (lowest bit, bits) of the six blocks, of the eight, and fingerprints from which on there are eight.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+EIGHT = tuple((8 * k, 8) for k in range(8))
+MANY = 1 << 24
 #: Fingerprints of one key compared in one group.
 MOST = 4096
 #: Keys with more than ``MOST`` fingerprints that may be broadcast; beyond, they are joined.
@@ -160,17 +163,23 @@ def _link_keys(distance: int):
     return run
 
 
-def _keys() -> list:
-    """The 15 two-block keys of column fp, as longs that differ between block pairs."""
-    cut = lambda block: F.shiftrightunsigned(F.col("fp"), block[0]).bitwiseAND(F.lit((1 << block[1]) - 1))
-    return [F.lit(k << 22) + cut(p) * (1 << q[1]) + cut(q) for k, (p, q) in enumerate(combinations(BLOCKS, 2))]
+def _keys(blocks: tuple[tuple[int, int], ...], equal: int) -> list:
+    """Keys of column fp, one for each choice of ``equal`` blocks, as longs that differ between choices."""
+    out = []
+    for k, chosen in enumerate(combinations(blocks, equal)):
+        key = F.lit(k).cast("long")
+        for low, bits in chosen:
+            key = key * (1 << bits) + F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << bits) - 1))
+        out.append(key)
+    return out
 
 
 def link(fps: DataFrame, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
     """Edges (a, b) with the components of all links at ``distance`` or less among distinct ``fp``."""
     if distance > 4:
-        raise ValueError("two equal blocks of six are certain up to 4 differing bits only")
-    rows = fps.select(F.explode(F.array(*_keys())).alias("key"), "fp")
+        raise ValueError("equal blocks are certain up to 4 differing bits only")
+    cut = _keys(BLOCKS, 2) if fps.count() <= MANY else _keys(EIGHT, 4)
+    rows = fps.select(F.explode(F.array(*cut)).alias("key"), "fp")
     hot = materialise(rows.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).alias("parts")), "hotkeys")
     # every row learns its key's number of blocks, then goes to each pair of blocks that includes its own
     known = rows.join(F.broadcast(hot) if bounded_rows(hot, BROADCAST_KEYS) is not None else hot, "key", "left")

@@ -87,3 +87,36 @@ def test_languages_without_spaces_and_long_words(table):
     kept = language.keep_known(table(rows, DOCS))
     assert kept.columns == ["doc_id", "text", "lang", "row", "score"] and kept.count() == 92
     assert language.keep_known(table([], DOCS)).count() == 0
+
+
+def test_windows_change_no_language_of_long_texts(spark):
+    """Against one pass over each whole text, its state carried from end to end, for real documents of over 5,000 bytes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    texts = [r.text for r in docs.where("length(text) > 5000 and lang is not null").orderBy("doc_id").limit(24).collect()]
+    assert len(texts) == 24
+    k, largest = len(model.languages), 0.0
+    for text, (lang, score) in zip(texts, language.predict(model, texts)):
+        codes = np.frombuffer(text.encode(), np.uint8)[None]
+        both = np.concatenate([model._states(codes, "f"), model._states(codes[:, ::-1], "b")[::-1]], axis=2)[:, 0]
+        scores = both @ model.weights["out"] + model.weights["bias"]
+        odds = np.exp(scores - scores.max(axis=1, keepdims=True))
+        odds /= odds.sum(axis=1, keepdims=True)
+        best = int(np.log(odds).sum(axis=0).argmax())
+        assert model.languages[best] == lang and k > 1
+        largest = max(largest, abs(float(odds[:, best].mean()) - score))
+    assert largest < 0.002, largest
+
+
+def test_training_runs_are_bounded(table, monkeypatch):
+    rng = random.Random(4)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, text(("abcdefgh ", "opqrstuv ")[i % 2], 400_000 if i == 4 else 300), "xy"[i % 2], "r", 0.5) for i in range(60)]
+    docs, held = table(rows, DOCS), []
+    real = language.ByteGRU.fit
+    monkeypatch.setattr(language.ByteGRU, "fit", lambda self, pieces, labels, **how: held.append((len(pieces), labels.tolist())) or real(self, pieces, labels, **how))
+    monkeypatch.setattr(language, "RUNS", 150)
+    model = language.train(docs)
+    n, labels = held[0]
+    assert 200 <= n <= 400 and labels.count(0) < 250  # the text of 400,000 bytes alone has over 4,000
+    assert [language.predict(model, [r[1]])[0][0] for r in rows[:20]] == [r[2] for r in rows[:20]]

@@ -421,3 +421,45 @@ def test_pipeline_stages(spark, table, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == ids
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "SimHash near-dedup", "PII", "best-fit packing"]
+
+
+def test_both_cuts_of_fingerprints_find_every_pair(spark, monkeypatch):
+    """Pairs at 0 to 5 differing bits, wherever the bits lie, by two of six and by four of eight blocks."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 64, 60, np.uint64)
+    fps = set(base.tolist())
+    for x in base.tolist():
+        for bits in (1, 2, 3, 4, 4, 4, 5):
+            for at in rng.choice(64, bits, replace=False).tolist():
+                x ^= 1 << at
+            fps.add(x)
+    fps = sorted(fps)
+    want = union_find([(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4], fps)
+    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    for many in (1 << 24, 0):
+        monkeypatch.setattr(simhash, "MANY", many)
+        links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.link(frame).collect()]
+        assert all((a ^ b).bit_count() <= 4 for a, b in links) and union_find(links, fps) == want
+
+
+def union_find(edges, nodes):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in nodes}
+
+
+def test_window_counts_slide():
+    rng = random.Random(3)
+    own = [(k, rng.choice("abcdef")) for k in range(300)]
+    need = licenses.Counter("aabccdd")
+    windows = [(max(0, k - 5), min(300, k + 9)) for k in sorted(rng.sample(range(300), 80))]
+    got = licenses.Scanner._shared(own, need, windows)
+    assert got == {(a, b): sum((licenses.Counter(w for _, w in own[a:b]) & need).values()) for a, b in windows}
