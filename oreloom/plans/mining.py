@@ -46,18 +46,19 @@ class Mined:
         return entries(self.packages)
 
 
-def mine_files(files: DataFrame, transport: Transport | None = None, **call) -> Mined:
+def mine_files(files: DataFrame, transport: Transport | None = None, partial: bool = False, **call) -> Mined:
     """All stages over (path, text, error) rows; lazy after the checked scripts.
 
     With a ``transport`` a model judges what the rules let pass, writes Python scripts and
     manuals.  A script of the model's goes through the same rules as the template's, which is
     taken where the model's breaks one; so does a manual.  Rows whose answer doesn't hold go on
-    as without a model.
+    as without a model.  With ``partial`` sound functions of Python files that don't parse are
+    mined, beside the reject.
     """
     seen = {name: Observation(name) for name in ("nodes", "decisions", "scripts")}
     rows = F.count(F.lit(1)).alias("rows")
     good = files.where("error is null").select("path", "text")
-    parsed = materialise(mine(with_runtime(good)).observe(seen["nodes"], rows, F.count("error").alias("faults")), "nodes")
+    parsed = materialise(mine(with_runtime(good), partial).observe(seen["nodes"], rows, F.count("error").alias("faults")), "nodes")
     nodes, broken = split_valid(parsed.where("error is null").drop("error"), node_error(), "node", "node_id")
     bad = files.where("error is not null").select(F.lit("decode").alias("stage"), F.col("path").alias("key"), "error")
     rejects = bad.unionByName(parsed.where("error is not null").select(F.lit("parse").alias("stage"), F.col("file_path").alias("key"), "error"))

@@ -94,6 +94,27 @@ def python_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("file_path", "name", "signature", "docstring", joined("annotations", ","), joined("imports", ";"), "start_byte", "end_byte")
 
 
+_BROKEN = _by("event_id", *(_text(*rows).replace("{}", "' || event_type || '") for rows in (
+    ("import math", "", "@wraps", "def first_{}(a):", "    return a", "def broken(:", "    pass", "def last(b):", "    return b", ""),
+    ("class Box:", "    size = (1,", "    def good_{}(self):", "        return 1", "    def bad(self:", "        return 2", "def outer(x):", "    return x", ""),
+    ("def only_{}(a):", "    return '(' + a", "value = (1,", ""), ("def fine_{}(a):", "    return a", ""), ("x = (", "y = )", ""),
+)))
+
+
+@query("with e as (select 'p/e' || event_id || '.py' as file_path, event_id % 5 as k, event_type as t from events) " + " union all ".join(
+    f"select file_path, {name} as name, '{scope}' as scope, {code} as raw_code, '{imports}' as imports, '{parser}' as parser, null as error from e where k = {k}" for k, name, scope, code, imports, parser in (
+        (0, "'first_' || t", "", _text("@wraps", "def first_{}(a):", "    return a").replace("{}", "' || t || '"), "import math", "python-partial"), (0, "'last'", "", _text("def last(b):", "    return b"), "import math", "python-partial"),
+        (1, "'good_' || t", "Box", _text("def good_{}(self):", "        return 1").replace("{}", "' || t || '"), "", "python-partial"), (1, "'outer'", "", _text("def outer(x):", "    return x"), "", "python-partial"),
+        (2, "'only_' || t", "", _text("def only_{}(a):", "    return '(' + a").replace("{}", "' || t || '"), "", "python-partial"), (3, "'fine_' || t", "", _text("def fine_{}(a):", "    return a").replace("{}", "' || t || '"), "", "python-ast-fallback"),
+    )) + " union all select file_path, null, '', null, '', null, 'SyntaxError' from e where k <> 3")
+def partial_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of files of which some don't parse: what stands sound in those, and their errors."""
+    files = _table(spark, sf_dir, "events").selectExpr("'p/e' || event_id || '.py' as path", f"{_BROKEN} as text")
+    nodes = extract.python_nodes(files, partial=True)
+    joined = lambda c, by: F.coalesce(F.array_join(c, by), F.lit(""))
+    return nodes.select("file_path", "name", joined("scope_path", ".").alias("scope"), "raw_code", joined("imports", ";").alias("imports"), F.col("metadata")["parser"].alias("parser"), F.regexp_extract("error", "^[A-Za-z]+", 0).alias("error"))
+
+
 _USER = _text("import os", "import numpy as np", "from helper{} import run", "from . import sibling", "from .json import z", "import os", "def use(x):", "    return run(x)", "").replace("{}", "' || event_id % 3 || '")
 _HELPERS = (("helper0.py", "x = 0"), ("helper1.js", "let x = 1;"), ("helper2/__init__.py", "x = 2"))
 
