@@ -170,35 +170,51 @@ def payload_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.array_join(validate.payload_errors(), "|").alias("errors"))
 
 
-_BODY = ("# Tool", "## Helper Scripts Available", "- scripts/a.py", "## Running Bundled Scripts", "Use --help, then --args-json '[]'.", "## Quick Start")
-_BODIES = (
-    (_text(*_BODY, "1. Look", "2. Run"), "null"), (_text(*_BODY, "1. Look", "3. Run"), "'instruction steps must be chronologically numbered without gaps'"), (_text(*_BODY, "1. Ask me"), "'instructions must avoid first-person phrasing'"),
-    (_text(*_BODY), "'Quick Start must include chronological numbered steps'"), ("' '", "'instructions must be non-empty'"), (_text(*_BODY[1:], "1. Look"), "'instructions must include a top-level markdown heading'"),
-    (_text("# Tool", "## Helper Scripts Available", "- none", "## Quick Start", "1. Handle I/O by hand"), "null"), (_text(*_BODY[:2], *_BODY[3:], "1. Run scripts/a.py ohne Ärger"), "'instructions must use ASCII text and punctuation only'"),
-    (_text("# Tool", "## Helper Scripts Available", "- scripts/a.py", "## Quick Start", "1. Look"), "'instructions that reference scripts must include a ''## Running Bundled Scripts'' section'"),
-)
-_ROUTES = (("'Use when texts are cut. Do not use otherwise.'", "null"), ("'For texts. Do not use otherwise.'", "'description must include an explicit ''Use when'' trigger'"), ("'USE WHEN asked.'", "'description must include a negative ''Do not use'' constraint'"), ("'Use when nötig. Do not use.'", "'description must use ASCII text and punctuation only'"))
+_NL = "chr(10)"
+#: Parts of an instruction body, each there or not by another remainder; the steps stand last.
+_BODY = " || ".join((
+    f"case when event_id % 13 = 0 then '' else '# ' || event_type || {_NL} end", f"case when event_id % 11 = 1 then '' else '## Helper Scripts Available' || {_NL} end", f"case when event_id % 2 = 0 then '- scripts/' || event_type || '.py' || {_NL} else '- none' || {_NL} end",
+    f"case when event_id % 7 = 2 then '' else '## Running Bundled Scripts' || {_NL} end", f"case when user_id % 5 = 3 then '' else 'Ask with --help.' || {_NL} end", f"case user_id % 4 when 0 then '' when 1 then 'Then --kwargs-json.' || {_NL} else 'Then --args-json.' || {_NL} end",
+    f"case when user_id % 17 = 4 then 'Für alle.' || {_NL} else '' end", f"case when event_id % 19 = 5 then 'Hand it to us.' || {_NL} else '' end", f"case when event_id % 23 = 6 then '' else '## Quick Start' || {_NL} end",
+    f"case when user_id % 9 = 0 then '' else '1. Look' || {_NL} || case when user_id % 6 = 1 then '3' else '2' end || '. Run' || {_NL} end",
+))
+_ROUTE = "case when event_id % 3 = 0 then 'For ' else 'Use When ' end || event_type || case when event_id % 5 = 0 then '. ' else '. DO NOT use otherwise.' end || case when user_id % 7 = 0 then ' nötig' else '' end"
 
 
-@query(f"select event_id, {_by('event_id', *(b for _, b in _BODIES))} as body_error, {_by('event_id', *(b for _, b in _ROUTES))} as route_error from events")
+@query(f"""
+with t as (select event_id, {_BODY} as body, {_ROUTE} as route from events),
+s as (select *, list_transform(regexp_extract_all(case when contains(body, '## Quick Start') then body[position('## Quick Start' in body):] else '' end, '(?m)^[0-9]+[.]'), lambda x: rtrim(x, '.')::int) as steps, contains(body, 'scripts/') as scripts from t)
+select event_id, case when not regexp_matches(body, '[^ \\n]') then 'instructions must be non-empty' when regexp_matches(body, '[^\\x00-\\x7F]') then 'instructions must use ASCII text and punctuation only'
+  when not regexp_matches(body, '(?m)^# ') then 'instructions must include a top-level markdown heading' when not contains(body, '## Helper Scripts Available') then 'instructions must include a ''## Helper Scripts Available'' section'
+  when not contains(body, '## Quick Start') then 'instructions must include a ''## Quick Start'' section' when scripts and not contains(body, '## Running Bundled Scripts') then 'instructions that reference scripts must include a ''## Running Bundled Scripts'' section'
+  when scripts and not contains(body, '--help') then 'instructions that reference scripts must tell the agent to run --help first'
+  when scripts and not contains(body, '--args-json') and not contains(body, '--kwargs-json') then 'instructions that reference scripts must include JSON invocation examples' when len(steps) = 0 then 'Quick Start must include chronological numbered steps'
+  when steps <> range(1, len(steps) + 1)::int[] then 'instruction steps must be chronologically numbered without gaps' when regexp_matches(body, '\\bus\\b') then 'instructions must avoid first-person phrasing' end as body_error,
+  case when regexp_matches(route, '[^\\x00-\\x7F]') then 'description must use ASCII text and punctuation only' when not contains(lower(route), 'use when') then 'description must include an explicit ''Use when'' trigger'
+  when not contains(lower(route), 'do not use') then 'description must include a negative ''Do not use'' constraint' end as route_error from s""")
 def instruction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First errors of instruction bodies and of routing descriptions."""
-    rows = _table(spark, sf_dir, "events").selectExpr("event_id", f"{_by('event_id', *(a for a, _ in _BODIES))} as body", f"{_by('event_id', *(a for a, _ in _ROUTES))} as route")
+    """First errors of instruction bodies and of routing descriptions, made of parts that come and go."""
+    rows = _table(spark, sf_dir, "events").selectExpr("event_id", f"{_BODY} as body", f"{_ROUTE} as route")
     return rows.select("event_id", validate.instruction_error("body").alias("body_error"), validate.description_error("route").alias("route_error"))
 
 
-_FITS = (
-    ("'scripts/r.py python scripts/r.py --n --output --help'", "null"), ("'python r.py'", "'SKILL.md must mention generated script path scripts/r.py'"), ("'scripts/r.py --help --n --output'", "'SKILL.md must mention the example execution command'"),
-    ("'python scripts/r.py --n --output'", "'SKILL.md must mention --help for scripts that support it'"), ("'python scripts/r.py --help --output'", "'SKILL.md must document CLI flag --n'"), ("'python scripts/r.py --help --n'", "'SKILL.md must document --output for CLI-driven scripts'"),
-)
+_MANUAL = " || ".join((
+    "'Manual. '", "case when event_id % 5 = 0 then '' else 'See scripts/' || event_type || '.py. ' end", "case when event_id % 4 = 1 then '' else 'Run python scripts/' || event_type || '.py --n' || user_id || '. ' end",
+    "case when user_id % 7 = 2 then '' else 'Ask --help. ' end", "case when user_id % 3 = 0 then '' else 'Give --n' || user_id || ' and --m. ' end", "case when event_id % 11 = 3 then '' else 'Choose --output.' end",
+))
 
 
-@query(f"select event_id, {_by('event_id', *(b for _, b in _FITS))} as error from events")
+@query(f"""
+with t as (select event_id, {_MANUAL} as body, 'scripts/' || event_type || '.py' as path, '--n' || user_id as flag, event_id % 2 = 0 as helps, event_id % 6 <> 5 as flags from events)
+select event_id, case when not contains(body, path) then 'SKILL.md must mention generated script path ' || path when not contains(body, 'python ' || path || ' ' || flag) then 'SKILL.md must mention the example execution command'
+  when helps and not contains(body, '--help') then 'SKILL.md must mention --help for scripts that support it' when flags and not contains(body, flag) then 'SKILL.md must document CLI flag ' || flag
+  when flags and not contains(body, '--m') then 'SKILL.md must document CLI flag --m' when flags and not contains(body, '--output') then 'SKILL.md must document --output for CLI-driven scripts' end as error from t""")
 def manual_fits_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First way in which a manual doesn't fit its script."""
+    """First way in which a manual, made of parts that come and go, doesn't fit its script."""
     rows = _table(spark, sf_dir, "events").selectExpr(
-        "event_id", f"{_by('event_id', *(a for a, _ in _FITS))} as instructions", "'r.py' as filename", "'python scripts/r.py' as example_command", "'r' as skill_id", "true as supports_help", "array(named_struct('flag', '--n')) as cli_arguments"
-    )
+        "event_id", f"{_MANUAL} as instructions", "event_type || '.py' as filename", "'python scripts/' || event_type || '.py --n' || user_id as example_command", "event_type as skill_id", "event_id % 2 = 0 as supports_help",
+        "case when event_id % 6 <> 5 then array(named_struct('flag', '--n' || user_id), named_struct('flag', '--m')) else cast(array() as array<struct<flag:string>>) end as cli_arguments",
+    )
     return rows.select("event_id", validate.matches_script_error().alias("error"))
 
 
@@ -238,16 +254,27 @@ def payload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.payload_names(rows, "doc_id").select("doc_id", "unique_name")
 
 
-_ANSWERS = (
-    ("'{\"decision\":\"extract\",\"reason\":\"r\",\"tags\":[\"a\"]}'", "null"), ("'{\"decision\":\"extract\"}'", "'reason: field required'"), ("'{\"decision\":1,\"reason\":\"r\"}'", "'decision: must be a JSON string'"),
-    ("'{\"decision\":\"skip\",\"reason\":\"r\",\"tags\":\"a\"}'", "'tags: must be a JSON array'"), ("'{\"decision\":\"skip\",\"reason\":null}'", "'reason: field required'"), ("'{\"decision\":\"skip\",\"reason\":\"r\",\"coupling_score\":0.5}'", "null"),
-)
+#: A decision whose fields are there, null, or of another type, each by another remainder.
+_ANSWER = "'{' || " + " || ',' || ".join((
+    """case event_id % 5 when 0 then '"decision":' || user_id when 1 then '"decision":null' when 2 then '"x":1' else '"decision":"' || event_type || '"' end""",
+    """case event_id % 7 when 0 then '"reason":["' || event_type || '"]' when 1 then '"y":{}' else '"reason":"r' || user_id || '"' end""",
+    """case user_id % 6 when 0 then '"tags":"a"' when 1 then '"tags":null' when 2 then '"z":[]' when 3 then '"tags":{"a":1}' else '"tags":["' || event_type || '"]' end""",
+    """case user_id % 4 when 0 then '"coupling_score":0.' || event_id when 1 then '"coupling_score":"high"' when 2 then '"coupling_score":1' else '"v":true' end""",
+    """case event_id % 3 when 0 then '"skill_id":7' when 1 then '"skill_id":"s' || event_id || '"' else '"skill_id":null' end""",
+)) + " || '}'"
+
+
+def _field(name: str, kinds: str, label: str, required: bool = False) -> str:
+    at = f"json_type(content, '$.{name}')"
+    missing = f"when coalesce({at}, 'NULL') = 'NULL' then '{name}: field required' " if required else ""
+    return f"{missing}when {at} <> 'NULL' and {at} not in ({kinds}) then '{name}: must be a JSON {label}'"
 
 
-@query(f"select event_id, {_by('event_id', *(b for _, b in _ANSWERS))} as error from events")
+@query(f"""select event_id, case {_field("decision", "'VARCHAR'", "string", True)} {_field("reason", "'VARCHAR'", "string", True)} {_field("skill_id", "'VARCHAR'", "string")} {_field("tags", "'ARRAY'", "array")}
+  {_field("coupling_score", "'UBIGINT', 'BIGINT', 'DOUBLE'", "number")} end as error from (select event_id, ({_ANSWER})::json as content from events)""")
 def answer_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of model answers against the schema of a decision."""
-    rows = _table(spark, sf_dir, "events").selectExpr("event_id", f"{_by('event_id', *(a for a, _ in _ANSWERS))} as content")
+    rows = _table(spark, sf_dir, "events").selectExpr("event_id", f"{_ANSWER} as content")
     return rows.select("event_id", structured.schema_error("content", structured.DECISION).alias("error"))
 
 
