@@ -64,15 +64,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     task-local state (row numbers) stay fixed.  The table is removed by ``release``, or at
     driver exit.
     """
-    path = f"{shared_dir(df.sparkSession)}/oreloom/{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     with _small_batches(df.sparkSession):
         df.write.parquet(path)
-    atexit.register(_remove, df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._oreloom_path = path
     return out
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A folder name below the shared one that nothing uses yet; what is written there goes at driver exit."""
+    path = f"{shared_dir(spark)}/oreloom/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def sweep(spark: SparkSession) -> None:
     """Has the driver collect its garbage, which lets shuffle files of jobs that are over go."""
     gc.collect()

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .operators import agent, data, dependencies, extract, legacy, script, structured, validate
 from .queries import _DEF, _FILES, _PATH, _PRIVATE, _ASYNC, _STATIC, CODE, _code, _lines, _mixed, _table, query
+from .operators.decide import decide
 from .plans.mining import mine_files
+from .plans.skill_folders import SkillFolders
+from .plans.storage import materialise, scratch
 from .sources import scan
 
 
@@ -278,6 +281,47 @@ def answer_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", structured.schema_error("content", structured.DECISION).alias("error"))
 
 
+_SYSTEM = "case event_id % 3 when 0 then ' Be brief. ' when 1 then '' else cast(null as varchar(9)) end"
+_FIXED = "'Return exactly one JSON object that validates against the requested schema.' || chr(10) || 'Do not include markdown, code fences, commentary, or extra keys.' || chr(10) || 'Use double-quoted JSON strings and no trailing commas.'"
+
+
+@query(f"""
+with t as (select event_id, trim({_SYSTEM}) as system, '  Judge ' || event_type || chr(10) as prompt, coalesce(nullif(regexp_replace(substr('Answer ' || event_type || user_id, 1, 64), '[^A-Za-z0-9_-]', '_', 'g'), ''), 'StructuredResponse') as name from events)
+select event_id, name, case when coalesce(system, '') <> '' then system || chr(10) else '' end || {_FIXED} as system_text,
+  'Judge ' || regexp_replace(trim(prompt), 'Judge |\n', '', 'g') || chr(10) || chr(10) || 'Required response schema name: ' || name || chr(10) || 'Required JSON schema:' || chr(10) || '{{"id":' || event_id || '}}' as user_text from t""")
+def model_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two messages of a structured request."""
+    name = agent.schema_name(F.concat(F.lit("Answer "), F.col("event_type"), F.col("user_id")))
+    rows = _table(spark, sf_dir, "events").withColumn("name", name).withColumn("system", F.expr(_SYSTEM.replace("varchar(9)", "string")))
+    found = agent.messages(F.concat(F.lit("  Judge "), F.col("event_type"), F.lit("\n")), F.col("name"), F.concat(F.lit('{"id":'), F.col("event_id"), F.lit("}")), F.col("system"))
+    return rows.select("event_id", "name", found.alias("m")).select("event_id", "name", F.col("m")[0]["content"].alias("system_text"), F.col("m")[1]["content"].alias("user_text"))
+
+
+# --- trees on disk ----------------------------------------------------------------------
+
+_FILE_OF = "'d' || doc_id || " + _by("doc_id", "'.py'", "'.java'", "'.bin'", "''", "'.PY'")
+_HELD = _by("doc_id", "coalesce(text, '')", "coalesce(text, '')", "coalesce(text, '')", "'#!/bin/sh' || chr(10) || coalesce(text, '')", "coalesce(text, '')")
+
+
+@query(f"""
+with f as (select 'd' || doc_id as skill, {_FILE_OF} as file, {_HELD} as held, doc_id % 5 as k from documents),
+e as (select unnest([skill || '/', skill || '/SKILL.md', skill || '/scripts/', skill || '/scripts/' || file]) as entry from f)
+select 'file' as kind, skill || '/scripts/' || file as name, octet_length(encode(held))::bigint as size, md5(held) as digest from f where k <> 2
+union all select 'mount', skill, length('# ' || skill), null from f
+union all (select 'entry', entry, null, null from e order by entry limit 200)
+union all select 'entry', '... ' || (count(*) - 200) || ' more', null, null from e having count(*) > 200""")
+def skill_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders written by commit, one a document; what a scan keeps of them, what mounts find, and the listing."""
+    root = scratch(spark, "tree")
+    rows = _table(spark, sf_dir, "documents").selectExpr("'d' || doc_id as skill_id", f"{_FILE_OF} as filename", f"{_HELD} as script_text", "'# d' || doc_id as skill_md")
+    spark.dataSource.register(SkillFolders)
+    rows.write.format(SkillFolders.name()).mode("append").save(root)
+    files = scan.scan_tree(spark, root).select(F.lit("file").alias("kind"), F.col("path").alias("name"), F.length("content").cast("long").alias("size"), F.md5("content").alias("digest"))
+    none = F.lit(None)
+    mounts = scan.skill_folders(spark, root).select(F.lit("mount"), "skill", "size", none.cast("string"))
+    return files.union(mounts).union(scan.list_workspace(spark, root).select(F.lit("entry"), "entry", none.cast("long"), none.cast("string")))
+
+
 # --- a model's scripts ------------------------------------------------------------------
 
 _TAKER = "'def take_rows_' || event_id || '(rows: list, limit: int = 3) -> list:' || chr(10) || '    \"\"\"Keep rows of ' || event_type || '.\"\"\"' || chr(10) || '    kept = rows[:limit]' || chr(10) || '    return kept' || chr(10)"
@@ -329,3 +373,28 @@ def model_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mine_files(files, _stub, retries=0).packages
     flags = F.array_join(F.col("cli_arguments.flag"), ",").alias("flags")
     return found.select("file_path", "skill_id", "writer", "filename", flags, "description", "example_command", F.startswith("instructions", F.lit("# Own")).alias("own_manual"))
+
+
+def _judge(body: str) -> str:
+    """A model that decides by the number in a node's name: extracts under its own id, skips, breaks a rule, says nothing."""
+    import json
+    import re
+
+    number = int(re.search(r"take_rows_(\d+)", json.loads(body)["messages"][1]["content"])[1])
+    said = (
+        {"decision": "extract", "reason": f"of use {number}", "skill_id": f"taker-{number}", "tags": ["rows"], "coupling_score": 0.25}, {"decision": "skip", "reason": "of no use"}, {"decision": "extract", "reason": "r", "skill_id": "Bad Id"},
+        {"decision": 1}, {"decision": "skip", "reason": "r", "skill_id": "has-one"},
+    )
+    return json.dumps({"choices": [{"message": {"content": json.dumps(said[number % 5])}}]})
+
+
+@query("""select 'm/e' || event_id || '.py' as file_path, case event_id % 5 when 1 then 'skip' else 'extract' end as decision, case event_id % 5 when 0 then 'taker-' || event_id when 1 then null else 'take-rows-' || event_id end as skill_id,
+  event_id % 5 in (0, 1) as own, case event_id % 5 when 0 then 'of use ' || event_id when 1 then 'of no use' end as own_reason, event_id % 5 = 0 as own_score from events""")
+def model_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of a model where they keep the rules, else the rules' own."""
+    files = _table(spark, sf_dir, "events").selectExpr("'m/e' || event_id || '.py' as path", f"{_TAKER} as text")
+    rules = materialise(decide(dependencies.with_dependencies(extract.python_nodes(files), files.select("path"))), "rules")
+    found = structured.decide_with_model(rules, _judge, retries=0)
+    before = rules.select("node_id", F.col("reason").alias("was"))
+    own = F.col("reason") != F.col("was")
+    return found.join(before, "node_id").select("file_path", "decision", "skill_id", own.alias("own"), F.when(own, F.col("reason")).alias("own_reason"), (F.col("coupling_score") == 0.25).alias("own_score"))
