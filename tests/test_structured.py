@@ -179,3 +179,24 @@ def test_a_refused_script_gives_way_to_the_template(spark):
     assert [p.skill_id for p in package] == ["add-rows"] and package[0].writer == "template" and "eval" not in package[0].script_text and [a.flag for a in package[0].cli_arguments] == ["--rows-json"]
     assert mined.skipped.count() == 0 and mined.rejects.count() == 0
     assert package[0].script_text == mine_files(files).packages.first().script_text
+
+
+def test_a_revision_that_keeps_the_rules_replaces_the_draft(spark):
+    from oreloom.operators import extract
+
+    def transport(body):
+        import json
+
+        text = json.loads(body)["messages"][1]["content"]
+        draft = text.partition("Draft:\n")[2].partition("\n\nRequired response schema name")[0]
+        if "Zebra" in draft:
+            return json.dumps({"choices": [{"message": {"content": json.dumps({"instructions": "I think so."})}}]})
+        return json.dumps({"choices": [{"message": {"content": json.dumps({"instructions": draft + "\n\n- Revised."})}}]})
+
+    code = "def take(rows: list) -> list:\n    kept = list(rows)\n    return kept\n"
+    files = spark.createDataFrame([("a.py", code), ("b.py", code.replace("take", "keep_me"))], "path string, text string")
+    nodes = extract.python_nodes(files).withColumns({"slice_id": F.col("file_path"), "title": F.when(F.col("name") == "take", "Taker").otherwise("Zebra"), "summary": F.lit("Takes rows.")})
+    plain = {r.slice_id: r for r in legacy.payloads(nodes).collect()}
+    found = {r.slice_id: r for r in legacy.payloads(nodes, transport, retries=0).collect()}
+    assert found["b.py"].instructions == plain["b.py"].instructions
+    assert found["a.py"].instructions.strip() == plain["a.py"].instructions.strip() + "\n\n- Revised."
