@@ -307,14 +307,20 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     signed = materialise(sign(docs, bucket_counts(docs, size), size, similarity), "signed")
     classes = signed.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
     classes = materialise(classes, "classes")
+    sweep(docs.sparkSession)
     # of the rows of one class one has keys
     copies = classes.where("copies > 1").select("cid", "least", F.lit(True).alias("again"))
     marked = signed.join(_few(copies), "cid", "left").where("again is null or least is null or doc_id = least").select("cid", "fp", "n", "keys", "again")
     single = marked.where("again is null").drop("again").unionByName(marked.where("again").drop("again").dropDuplicates(["cid"]))
     keys = single.select("cid", "fp", "n", F.explode("keys").alias("key"))
     live = single.select(F.explode("keys").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / most).alias("parts"), F.count("*").alias("texts")).where("texts > 1").select("key", "parts")
-    held = _living(keys, materialise(live, "livekeys")).select("key", "parts", "cid", "fp", "n")
+    live = materialise(live, "livekeys")
+    sweep(docs.sparkSession)
+    held = _living(keys, live).select("key", "parts", "cid", "fp", "n")
     held = materialise(held, "live")
+    # keys are most of what was signed; from here on members are enough
+    members = materialise(signed.select("doc_id", "cid"), "members")
+    release(signed, live)
     sweep(docs.sparkSession)
     linked = verified = roots = None
     offers = 1
@@ -350,7 +356,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
         named = named.join(first, "root").select("cid", "group")
     else:
         named = classes.select("cid", F.col("least").alias("group"))
-    return signed.select("doc_id", "cid").join(named, "cid").select("doc_id", "cid", "group")
+    return members.join(named, "cid").select("doc_id", "cid", "group")
 
 
 def keep_distinct(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
