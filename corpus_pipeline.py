@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places every document's pieces in training sequences."""
-    return op10(docs, special=True)
+    return op10(docs, special=True, words=120_000)  # executors hold what earlier stages have taken, too
 
 
 STAGES = [

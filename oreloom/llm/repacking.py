@@ -36,6 +36,8 @@ CAPACITY = 4096
 GROUP_ROWS = 128
 GROUP_PIECES = 200_000
 END_ID = 1
+#: Words that a worker remembers in each of two generations, some 200 bytes each; fewer are encoded anew more often.
+WORDS = 400_000
 #: A bin less full than this is open to pieces of other groups, certified or not.
 OPEN_FILL = 0.995
 
@@ -44,11 +46,11 @@ PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 l
 PLACED = PIECES + ", grp long, bin long, offset long, fill long, bins long, bound long"
 
 
-def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, special: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, special: bool = False, words: int = WORDS) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32) of each document's pieces; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, uid, end, step = per_worker((WordEncoder.__name__, path, special), lambda: WordEncoder(path, special=special)), task_base(), END_ID.to_bytes(4, "little"), 4 * capacity
+        encoder, uid, end, step = per_worker((WordEncoder.__name__, path, special, words), lambda: WordEncoder(path, words, special)), task_base(), END_ID.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: tuple[list, ...] = ([], [], [], [], [], [])
@@ -86,13 +88,13 @@ def _round(pieces: DataFrame, tokens: int, count: int, capacity: int, group_rows
     return materialise(dealt.groupBy("grp").applyInArrow(_pack_group(capacity), PLACED), f"packed{number}"), groups
 
 
-def repack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_rows: int = GROUP_ROWS, rounds: int = 8, special: bool = False) -> DataFrame:
+def repack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_rows: int = GROUP_ROWS, rounds: int = 8, special: bool = False, words: int = WORDS) -> DataFrame:
     """One row per piece: where it lies (sequence_id, offset), how its bin was certified.
 
     ``group_bins`` and ``group_bound`` are the bin count and the lower bound of the group
     that placed the piece; equal numbers prove that group optimal.
     """
-    pieces = materialise(cut_pieces(docs, capacity, path, special), "pieces")
+    pieces = materialise(cut_pieces(docs, capacity, path, special, words), "pieces")
     whole = pieces.where(F.col("length") == capacity).select(
         *_PIECE.names, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("group_bins"), F.lit(1).cast("long").alias("group_bound")
     )
@@ -123,6 +125,6 @@ def repack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, g
     return out
 
 
-def op10(docs: DataFrame, special: bool = False) -> DataFrame:
+def op10(docs: DataFrame, special: bool = False, words: int = WORDS) -> DataFrame:
     """The contract's columns, then each piece's group certificate."""
-    return repack(docs, special=special).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "group_bins", "group_bound")
+    return repack(docs, special=special, words=words).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "group_bins", "group_bound")
