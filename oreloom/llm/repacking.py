@@ -39,7 +39,7 @@ END_ID = 1
 #: Words that a worker remembers in each of two generations, some 200 bytes each; fewer are encoded anew more often.
 WORDS = 400_000
 #: A bin less full than this is open to pieces of other groups, certified or not.
-OPEN_FILL = 0.995
+OPEN_FILL = 0.9
 
 _PIECE = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
