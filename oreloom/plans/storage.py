@@ -98,11 +98,15 @@ def bounded_rows(df: DataFrame, limit: int) -> int | None:
     return n if n <= limit else None
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its scan has fewer partitions than there are cores, else as it is.
+#: Rows of a task whose work costs far more per row than moving the row.
+TASK_ROWS = 50_000
+
+
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` over all cores and in tasks of about ``rows`` rows, as it is if its scan has as many partitions.
 
     For work that costs far more per row than moving the row: a few unsplittable files
-    would otherwise leave most cores idle.  Inputs of as many splits as cores don't move.
+    would otherwise leave most cores idle, and tasks would grow with the table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
