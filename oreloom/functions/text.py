@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 #: What str.strip() and \s of Python take for white space, as a Java character class.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: The same, one by one.
+_SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -15,11 +19,11 @@ def col(x: Column | str) -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(col(x), F.lit(_SPACES))
 
 
 def rstrip(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), rf"{SPACE}+\z", "")
+    return F.rtrim(col(x), F.lit(_SPACES))
 
 
 def blank(x: Column | str) -> Column:
@@ -29,8 +33,10 @@ def blank(x: Column | str) -> Column:
 
 def lines(x: Column | str) -> Column:
     """str.splitlines(): no empty piece after a final line break; none for an empty text."""
-    parts = F.split(col(x), _BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    # split would compile a pattern of more than one character for every row
+    odd = lambda text: F.when(text.rlike(r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), F.regexp_replace(text, _BREAK, "\n")).otherwise(text)
+    cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(col(x), lambda text: let(F.split(odd(text), "\n", -1), cut))
 
 
 def lstrip_of(x: Column, characters: str) -> Column:
@@ -44,8 +50,8 @@ def rstrip_of(x: Column, characters: str) -> Column:
 def slugify(x: Column | str, most: int = 64) -> Column:
     """Lower-case words joined by hyphens, at most ``most`` characters, never empty."""
     words = F.regexp_replace(F.lower(col(x)), "[^a-z0-9]+", "-")
-    whole = F.coalesce(F.nullif(F.regexp_replace(words, r"^-+|-+\z", ""), F.lit("")), F.lit("generated-skill"))
-    cut = F.regexp_replace(F.substring(whole, 1, most), r"^-+|-+\z", "")
+    whole = F.coalesce(F.nullif(F.trim(words, F.lit("-")), F.lit("")), F.lit("generated-skill"))
+    cut = F.trim(F.substring(whole, 1, most), F.lit("-"))
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit("generated-skill"))
 
 
