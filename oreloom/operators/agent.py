@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.text import col, strip, suffix
 from .names import running
 
@@ -146,13 +147,9 @@ def named_arguments(args: Column | str) -> Column:
     True is a bare flag, false and null are left out, a list repeats its flag (or is JSON if
     the flag ends ``-json``), an object is JSON.
     """
-    args = col(args)
-    raw = F.from_json(args, "map<string,variant>")
 
-    def one(key: Column) -> Column:
-        v = F.try_element_at(raw, key)
+    def one(key: Column, v: Column, of: Column) -> Column:
         flag = F.concat(F.lit("--"), F.replace(key, F.lit("_"), F.lit("-")))
-        of = F.schema_of_variant(v)
         text = F.try_variant_get(v, "$", "string")
         items = F.try_variant_get(v, "$", "array<string>")
         listed = F.flatten(F.transform(items, lambda x: F.array(flag, x)))
@@ -166,7 +163,10 @@ def named_arguments(args: Column | str) -> Column:
             .otherwise(F.array(flag, text))
         )
 
-    return F.flatten(F.transform(F.json_object_keys(args), one))
+    def vector(args: Column, raw: Column) -> Column:
+        return F.flatten(F.transform(F.json_object_keys(args), lambda key: let(F.try_element_at(raw, key), lambda v: let(F.schema_of_variant(v), lambda of: one(key, v, of)))))
+
+    return let(col(args), lambda x: let(F.from_json(x, "map<string,variant>"), lambda raw: vector(x, raw)))
 
 
 def interpreter(script: Column | str) -> Column:
