@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.columns import let
 from ..functions.text import ordered_distinct
 from ..plans.storage import bounded_rows, materialise
 
@@ -64,7 +65,10 @@ def classify_imports(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 
 def coupling(code: Column, imports: Column) -> Column:
     """Labels of business coupling in fixed order."""
-    low, names = F.lower(code), F.lower(F.array_join(imports, "\n"))
+    return let(F.lower(code), lambda low: let(F.lower(F.array_join(imports, "\n")), lambda names: _coupling(code, low, names)))
+
+
+def _coupling(code: Column, low: Column, names: Column) -> Column:
     found = [F.when(F.contains(names, F.lit(t)) | F.contains(low, F.lit(t)), label) for t, label in dims.FRAMEWORKS]
     found.append(F.when(F.contains(code, F.lit("os.environ")), dims.ENVIRONMENT))
     found.append(F.when(F.contains(low, F.lit("settings.")) | F.contains(low, F.lit("config.")), dims.SETTINGS))
