@@ -15,7 +15,7 @@ from .functions import dims, text
 from .operators import agent, bundle, data, decide, dependencies, document, extract, registry, validate
 from .operators.components import connected_components as components
 from .plans.mining import mine_files
-from .plans.storage import spread
+from .plans.storage import materialise, spread
 from .sources.scan import with_runtime
 from . import twins
 from .streaming.limits import token_bucket
@@ -538,7 +538,7 @@ select path as file_path, unnest(['python-delete-file', 'python-eval', 'python-h
 union all select path, 'java-system-exit', 'medium', 7 from e where k = 5""")
 def security_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Security findings of Python and Java nodes."""
-    nodes = extract.mine(with_runtime(_mixed(spark, sf_dir))).where("error is null")
+    nodes = materialise(extract.mine(with_runtime(_mixed(spark, sf_dir))).where("error is null"), "nodes")
     found = bundle.findings(nodes)
     return found.join(nodes.select("node_id", "file_path"), "node_id").select("file_path", "rule_id", "severity", "line")
 
@@ -576,7 +576,7 @@ _DEF, _PRIVATE, _STATIC, _ASYNC, _DOC = (_AT.format(x) for x in ("def ", "def _p
 )))
 def code_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts, references and quarantined code of nodes."""
-    nodes = extract.mine(with_runtime(_mixed(spark, sf_dir))).where("error is null").withColumn("slice_id", text.slugify("file_path"))
+    nodes = materialise(extract.mine(with_runtime(_mixed(spark, sf_dir))).where("error is null").withColumn("slice_id", text.slugify("file_path")), "nodes")
     return bundle.bundle(nodes, bundle.findings(nodes))
 
 
