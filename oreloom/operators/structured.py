@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.text import col
 from ..plans.storage import materialise
 from . import prompts
@@ -41,7 +42,10 @@ def schema_json(fields: dict[str, str]) -> str:
 
 def schema_error(content: Column | str, fields: dict[str, str]) -> Column:
     """First field of a JSON object that is missing or of another type, else null."""
-    raw = F.from_json(col(content), "map<string,variant>")
+    return let(F.from_json(col(content), "map<string,variant>"), lambda raw: _schema_error(raw, fields))
+
+
+def _schema_error(raw: Column, fields: dict[str, str]) -> Column:
     found = []
     for name, kind in fields.items():
         value = F.try_element_at(raw, F.lit(name))
@@ -80,8 +84,8 @@ def decide_with_model(decisions: DataFrame, transport: Transport, **call) -> Dat
     context = F.to_json(F.struct("stdlib_imports", "pip_imports", "internal_imports", "business_coupling", "side_effects"))
     asked = decisions.where("decision = 'extract'").select(F.col("node_id").alias("id"), prompts.candidate(context).alias("prompt"))
     said = answers(asked, transport, "CandidateDecision", DECISION, **call).where("fault is null")
-    got = lambda name, kind="string": F.try_variant_get(F.try_parse_json("content"), f"$.{name}", kind)
-    said = said.select(F.col("id").alias("node_id"), *(got(n, {"array": "array<string>", "number": "double"}.get(k.rstrip("?"), "string")).alias(f"m_{n}") for n, k in DECISION.items()))
+    got = lambda name, kind="string": F.try_variant_get("_said", f"$.{name}", kind)
+    said = said.withColumn("_said", F.try_parse_json("content")).select(F.col("id").alias("node_id"), *(got(n, {"array": "array<string>", "number": "double"}.get(k.rstrip("?"), "string")).alias(f"m_{n}") for n, k in DECISION.items()))
     sound = ((F.col("m_decision") == "extract") & F.col("m_skill_id").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") & ~F.startswith("m_skill_id", F.lit("skill-"))) | ((F.col("m_decision") == "skip") & F.col("m_skill_id").isNull())
     out = decisions.join(said.where(sound), "node_id", "left")
     names = {"dep_names": "m_dependencies"} | {n: f"m_{n}" for n in DECISION if n != "dependencies"}
