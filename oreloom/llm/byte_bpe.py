@@ -43,6 +43,8 @@ from .rows import chunks, per_worker
 LONG = 256
 #: Bytes of pieces read side by side, counting each as long as the longest.
 BLOCK = 1 << 20
+#: Characters of texts whose pieces are looked up at once: all of an executor's workers hold as much, those that wait as well.
+TEXTS = 500_000
 
 
 def read_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -71,7 +73,7 @@ class Table:
         self._make(room)
 
     def _make(self, room: int) -> None:
-        self.bits, self.held = max(10, (4 * room).bit_length()), 0
+        self.bits, self.held = max(10, (2 * room).bit_length()), 0
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
@@ -93,9 +95,9 @@ class Table:
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Adds keys that are distinct and unknown."""
-        if (self.held + len(keys)) * 4 > len(self.keys):
+        if (self.held + len(keys)) * 2 > len(self.keys):
             old, was = self.keys, self.values
-            self._make(2 * (self.held + len(keys)))
+            self._make(self.held + len(keys))
             self.put(old[old >= 0], was[old >= 0])
         self.held += len(keys)
         todo, at = np.arange(len(keys)), self._home(keys)
@@ -128,6 +130,7 @@ class Transducer:
         self.ranks, self.most = ranks, most_states
         self.tokens = {i: t for t, i in ranks.items()}
         # trie of all tokens: child[node] maps a byte to a node, token[node] is an id or -1
+        none: dict = {}  # most nodes have nothing below
         child: list[dict[int, int]] = [{}]
         token = [-1]
         for one, rank in ranks.items():
@@ -141,7 +144,7 @@ class Transducer:
                 at = below
             token[at] = rank
         # what a byte leads to: (node, its id or -1, whether longer tokens follow)
-        self.next = [{byte: (below, token[below], bool(child[below])) for byte, below in c.items()} for c in child]
+        self.next = [{byte: (below, token[below], bool(child[below])) for byte, below in c.items()} if c else none for c in child]
         self.token, self.grows = np.array(token, np.int64), np.array([bool(c) for c in child])
         steps = np.array([(node << 8 | byte, below) for node, c in enumerate(child) for byte, below in c.items()], np.int64)
         self.trie = Table(len(steps))
@@ -372,7 +375,7 @@ class Encoder:
     ``entry`` makes what is remembered of a piece from its ids.
     """
 
-    def __init__(self, path: str | None = None, pattern: str | None = None, most: int = 300_000, entry: Callable[[tuple[int, ...]], object] | None = None):
+    def __init__(self, path: str | None = None, pattern: str | None = None, most: int = 150_000, entry: Callable[[tuple[int, ...]], object] | None = None):
         import public_tokenizers
         import regex
 
@@ -504,7 +507,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker((Encoder.__name__, path), lambda: Encoder(path))
         for batch in batches:
-            for start, end, texts in chunks(batch):
+            for start, end, texts in chunks(batch, most=TEXTS):
                 ids = pa.array([list(chain.from_iterable(found)) for found in encoder.entries(texts)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), ids], ["doc_id", "ids"])
 
@@ -548,7 +551,7 @@ def op8(docs: DataFrame, path: str | None = None) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             rows: tuple[list, list, list] = ([], [], [])
-            for _, _, texts in chunks(batch):
+            for _, _, texts in chunks(batch, most=TEXTS):
                 for found in digester.entries(texts):
                     decimals, decoded, counts = zip(*found, strict=True) if found else ((), (), ())
                     for column, value in zip(rows, (sum(counts), sha(" ".join(decimals).encode()), sha(b"".join(decoded))), strict=True):
