@@ -30,6 +30,7 @@ Keys that only one text has are dropped before they travel with it: of the other
 broadcast, and what passes it is joined.  The bitmap has 8 bits a key and more, from 2^24 up to
 2^28 (at most 67 MB as rows); beyond 2^25 keys more pass it in vain, which costs a shuffle and no pair.
 
+Keys that hold the same texts would propose the same pairs, so of those one is kept.
 Texts with the same set are one class (told by a 64-bit hash of the set), so exact copies
 meet nothing.  Only keys, fingerprints and the sets of proposed pairs travel.
 
@@ -66,6 +67,8 @@ BITMAP = 1 << 24, 1 << 28
 BUCKETS = 1 << 18
 #: Texts of one key compared in one group.
 MOST = 2048
+#: Proposed pairs that a task holds to leave out repeats.
+HELD = 1 << 18
 #: Rows of ids or keys that may be broadcast; beyond, they are joined.
 BROADCAST_ROWS = 300_000
 
@@ -209,7 +212,25 @@ def _partners(most: int, similarity: float, distance: int, with_bits: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j])), pa.nulls(len(i), pa.int64())], names)
             step += 1
 
+    def distinct(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of ``found`` without repeats among up to ``HELD`` of them: a pair shares many keys."""
+        held, rows = [], 0
+        for batch in found:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= HELD:
+                held = pa.Table.from_batches(held).group_by(names).aggregate([]).to_batches()
+                rows = sum(map(len, held))
+                if rows >= HELD // 2:
+                    yield from held
+                    held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).group_by(names).aggregate([]).to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from distinct(proposed(batches))
+
+    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def offered(rows: list[np.ndarray]) -> tuple:
             key, _, cid, fp, n, root, *bits = rows
             return key, cid, fp.view(np.uint64), n, root, bits[0] if bits else None, references
@@ -233,6 +254,17 @@ def _partners(most: int, similarity: float, distance: int, with_bits: bool):
     return run
 
 
+def _told_apart(held: DataFrame) -> DataFrame:
+    """Rows of one key of all that hold the same texts, the least: the others would propose the same pairs.
+
+    Copies with a few changes share most of their keys, so without this a group proposes each of its
+    pairs once a key.  Sets are told apart by 128 bits of hashes and their size.
+    """
+    sets = held.groupBy("key").agg(F.bit_xor(F.xxhash64("cid")).alias("_x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("_y"), F.count("*").alias("_n"))
+    least = materialise(sets.groupBy("_x", "_y", "_n").agg(F.min("key").alias("key")).select("key"), "sets")
+    return held.join(_few(least), "key", "left_semi")
+
+
 def _few(df: DataFrame) -> DataFrame:
     """``df`` to be broadcast if it is small, else as it is."""
     return F.broadcast(df) if bounded_rows(df, BROADCAST_ROWS) is not None else df
@@ -317,7 +349,9 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     live = materialise(live, "livekeys")
     sweep(docs.sparkSession)
     held = _living(keys, live).select("key", "parts", "cid", "fp", "n")
-    held = materialise(held, "live")
+    every = materialise(held, "live")
+    held = materialise(_told_apart(every), "apart")
+    release(every)
     # keys are most of what was signed; from here on members are enough
     members = materialise(signed.select("doc_id", "cid"), "members")
     release(signed, live)

@@ -88,3 +88,26 @@ def test_nothing_and_one_text(table):
     assert near_copies.keep_distinct(table([], DOCS)).count() == 0
     assert near_copies.keep_distinct(table([(4, "only text", None, None, None)], DOCS)).count() == 1
     assert near_copies.keep_distinct(table([(i, "word " * 30_000 + "end", None, None, None) for i in range(3)], DOCS)).count() == 1
+
+
+def test_keys_that_hold_the_same_texts_propose_once(spark):
+    """Pairs of near copies share many keys: they left a task once a key."""
+    import numpy as np
+    import pyarrow as pa
+
+    from oreloom.llm.near_copies import PARITIES, _partners, _told_apart
+
+    rows = [(k, 1, c, 0, 100) for k in range(50) for c in range(20)] + [(k, 1, c, 0, 100) for k in (60, 61) for c in range(19)] + [(70, 1, 3, 0, 100)]
+    held = spark.createDataFrame(rows, "key long, parts long, cid long, fp long, n long")
+    kept = _told_apart(held)
+    assert sorted(map(tuple, kept.groupBy("key").count().collect())) == [(0, 20), (60, 19), (70, 1)]
+
+    def batches():
+        for k in range(50):
+            cid = np.arange(20)
+            full = lambda x: pa.array(np.full(20, x))
+            bits = pa.array([bytes(PARITIES // 8)] * 20, pa.binary())
+            yield pa.RecordBatch.from_arrays([full(k), full(0), pa.array(cid), full(0), full(100), pa.array(cid), bits], ["key", "part", "cid", "fp", "n", "root", "bits"])
+
+    found = pa.Table.from_batches(list(_partners(30, 0.8, 28, True)(batches())))
+    assert len(found) == 20 * 19 // 2
