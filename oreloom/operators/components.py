@@ -1,9 +1,13 @@
-"""Connected components by local contraction and alternating large-star and small-star steps.
+"""Connected components by contraction, within tasks and to random neighbours.
 
 First each task contracts the edges it has: a union-find over ``CHUNK`` edges at a time leaves a
 star around the least node of each piece, at most one edge a node, before anything is shuffled.
-Then edges shrink to stars around each component's smallest node in O(log n) rounds.  Every
-step is a grouped minimum (combined before the shuffle) and an equi-join.
+Then each node goes to the first of itself and its neighbours in an order that hashes give, another
+one each round; the edges between what nodes went to are contracted in their tasks again and go on.
+A node goes to itself or to one that others may share, so nodes shrink by the number of neighbours where
+these are many, and by a quarter at least on average: the rounds together shuffle a few times the edges.
+At last the steps are followed back and each component gets its least node.  Every step is a grouped
+minimum (combined before the shuffle) and an equi-join.
 
 Hubs: a node with over ``limit`` neighbours is joined apart, by a broadcast of the hubs' minima.
 The limit is a ``HUBS``-th of the edges and ``HUB`` at least, so there are at most 2 * ``HUBS`` of
@@ -20,10 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise, release
+from ..plans.storage import bounded_rows, materialise, release
 
 CHUNK = 1_000_000
 HUB, HUBS = 1_000_000, 2_000
+#: Nodes of which a step's table may be broadcast.
+SMALL = 200_000
 
 
 def contracted(left: pa.ChunkedArray, right: pa.ChunkedArray) -> pa.RecordBatch:
@@ -73,26 +79,33 @@ def _with_least(rows: DataFrame, least: DataFrame, total: int, hub: int) -> Data
     limit = max(hub, total // HUBS)
     if total <= limit:
         return rows.join(least, "a")
-    least = materialise(least, "least")
+    least = least if hasattr(least, "_oreloom_path") else materialise(least, "least")
     heavy = F.broadcast(least.where(F.col("n") > limit).select(F.col("a").alias("hub"), F.col("m").alias("of_hub")))
     known = rows.join(heavy, F.col("a") == F.col("hub"), "left")
     rest = known.where("hub is null").select(*rows.columns).join(least.where(F.col("n") <= limit), "a").select(*rows.columns, "m")
     return known.where("hub is not null").select(*rows.columns, F.col("of_hub").alias("m")).unionByName(rest)
 
 
-def _large_star(edges: DataFrame, total: int, hub: int = HUB) -> DataFrame:
-    """Every larger neighbour of a node goes to the least node of its neighbourhood."""
+def _picked(edges: DataFrame, salt: int) -> DataFrame:
+    """(a, m, n) of each node: the first of itself and its neighbours in an order of its own for each ``salt``, and its number of edges."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
-    moved = _with_least(both.where(F.col("b") > F.col("a")), least, total, hub)
-    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    place = lambda x: F.struct(F.xxhash64(F.lit(salt), x).alias("h"), F.col(x).alias("x"))
+    found = both.groupBy("a").agg(F.min(place("b")).alias("first"), F.count("*").alias("n"))
+    return found.select("a", F.least(place("a"), F.col("first"))["x"].alias("m"), "n")
 
 
-def _small_star(edges: DataFrame, total: int, hub: int = HUB) -> DataFrame:
-    """A node's smaller neighbours, and itself, go to the least of them.  Needs b < a."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = _with_least(edges, least, total, hub).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+def _rooted(steps: list[DataFrame]) -> DataFrame:
+    """(b, a) of each node of the first step and what the steps, one after the other, lead it to."""
+    found = None
+    for step in reversed(steps):
+        step = step.select(F.col("a").alias("b"), F.col("m").alias("a"))
+        if found is None:
+            found = step
+            continue
+        later = found.select(F.col("b").alias("a"), F.col("a").alias("_to"))
+        later = F.broadcast(later) if bounded_rows(later, SMALL) is not None else later
+        found = materialise(step.join(later, "a", "left").select("b", F.coalesce("_to", "a").alias("a")), "led")
+    return found
 
 
 def connected_components(edges: DataFrame, rounds: int = 60, hub: int = HUB) -> DataFrame:
@@ -106,19 +119,26 @@ def connected_components(edges: DataFrame, rounds: int = 60, hub: int = HUB) ->
     loops = F.col("a") == F.col("b")
     # a node with nothing but a loop keeps it: without an edge it would leave no row
     halves = edges.where("a is not null and b is not null").mapInArrow(_contract, schema)
-    now = materialise(halves, "edges")
-    alone = materialise(now.where(loops).select(F.col("a").alias("node")).distinct(), "alone")
-    total, mark = now.count(), None
-    for _ in range(rounds):
-        last, now = now, materialise(_small_star(_large_star(now.where(~loops), total, hub), total, hub), "star")
-        release(last)
-        # the sum of hashes tells sets of distinct edges apart
-        was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if was == mark:
+    first = materialise(halves, "edges")
+    alone = materialise(first.where(loops).select(F.col("a").alias("node")).distinct(), "alone")
+    last, now, steps = first, first.where(~loops), []
+    for salt in range(rounds):
+        total = now.count()
+        if not total:
             break
+        picked = materialise(_picked(now, salt), "picked")
+        steps.append(picked)
+        moved = _with_least(now, picked, total, hub).select(F.col("m").alias("b"), F.col("b").alias("a"))
+        moved = _with_least(moved, picked, total, hub).select(F.col("m").alias("a"), "b").where(~loops)
+        now = materialise(moved.mapInArrow(_contract, schema), "edges")
+        release(last)
+        last = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = found.select(F.col("root").alias("node"), "root").distinct()
-    lonely = alone.join(found.unionByName(roots), "node", "left_anti").select("node", F.col("node").alias("root"))
-    return found.unionByName(roots).unionByName(lonely)
+    if not steps:
+        return alone.select("node", F.col("node").alias("root"))
+    found = _rooted(steps)
+    least = found.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    found = _with_least(found, least, steps[0].count(), hub).select(F.col("b").alias("node"), F.col("m").alias("root"))
+    lonely = alone.join(found, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return found.unionByName(lonely)
