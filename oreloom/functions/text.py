@@ -33,8 +33,8 @@ def blank(x: Column | str) -> Column:
 
 def lines(x: Column | str) -> Column:
     """str.splitlines(): no empty piece after a final line break; none for an empty text."""
-    # split would compile a pattern of more than one character for every row
-    odd = lambda text: F.when(text.rlike(r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), F.regexp_replace(text, _BREAK, "\n")).otherwise(text)
+    # split would compile a pattern of more than one character for every row; of a class, characters are one table, each range is a test more
+    odd = lambda text: F.when(text.rlike(r"[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028-\u2029]"), F.regexp_replace(text, _BREAK, "\n")).otherwise(text)
     cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return let(col(x), lambda text: let(F.split(odd(text), "\n", -1), cut))
 
