@@ -398,7 +398,8 @@ def _judge(body: str) -> str:
 def model_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of a model where they keep the rules, else the rules' own."""
     files = _events(spark, sf_dir).selectExpr("'m/e' || event_id || '.py' as path", f"{_TAKER} as text")
-    rules = materialise(decide(dependencies.with_dependencies(extract.python_nodes(files), files.select("path"))), "rules")
+    nodes = materialise(extract.python_nodes(files), "nodes")  # read for imports and for decisions, parsed once
+    rules = materialise(decide(dependencies.with_dependencies(nodes, files.select("path"))), "rules")
     found = structured.decide_with_model(rules, _judge, retries=0)
     before = rules.select("node_id", F.col("reason").alias("was"))
     own = F.col("reason") != F.col("was")
