@@ -29,6 +29,7 @@ def root_module(line: Column, language: Column) -> Column:
 
 def internal_modules(paths: DataFrame) -> DataFrame:
     """(module) names that resolve to a file of the tree: m.suffix, m/index.suffix, m/__init__.py."""
+    paths = paths.where(F.substring_index("path", "/", 2) == F.col("path"))  # of others no name is without a slash
     ending = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     base = F.expr("substring(path, 1, length(path) - length(regexp_extract(path, '([.][^./]+)$', 1)))")
     found = paths.where(ending.isin(dims.SUFFIXES)).select("path", base.alias("base"))
@@ -92,10 +93,15 @@ def dependency_names(pip_imports: Column) -> Column:
 
 
 def with_dependencies(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """Nodes with stdlib_imports, pip_imports, internal_imports, business_coupling, side_effects."""
+    """Nodes with stdlib_imports, pip_imports, internal_imports, business_coupling, side_effects.
+
+    Lists of imports are classified once each, and nodes, which are wide, stay where they are while those are few.
+    """
     of = lambda kind: F.transform(F.filter("classes", lambda c: c["kind"] == kind), lambda c: c["import"])
-    classes = classify_imports(nodes, paths).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("ord", "import", "kind"))).alias("classes"))
-    out = nodes.join(classes, "node_id", "left")
+    lists = materialise(nodes.select("language", "imports").where(F.size("imports") > 0).distinct().withColumn("node_id", F.monotonically_increasing_id()), "lists")
+    classes = classify_imports(lists, paths).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("ord", "import", "kind"))).alias("classes"))
+    classes = materialise(lists.join(classes, "node_id").select("language", "imports", "classes"), "classes")
+    out = nodes.join(classes, ["language", "imports"], "left").select(*nodes.columns, "classes")
     out = out.withColumn("classes", F.coalesce("classes", F.array().cast("array<struct<ord:int,import:string,kind:string>>")))
     return out.withColumns(
         {f"{k}_imports": of(k) for k in ("stdlib", "pip", "internal")} | {"business_coupling": coupling(F.col("raw_code"), F.col("imports")), "side_effects": side_effects(F.col("raw_code"))}
