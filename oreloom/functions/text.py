@@ -28,7 +28,8 @@ def rstrip(x: Column | str) -> Column:
 
 def blank(x: Column | str) -> Column:
     """True for null and for white space alone."""
-    return F.coalesce(strip(x), F.lit("")) == ""
+    # from the left alone: from the right Spark would look at every character
+    return F.coalesce(F.ltrim(col(x), F.lit(_SPACES)), F.lit("")) == ""
 
 
 def lines(x: Column | str) -> Column:

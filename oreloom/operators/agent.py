@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from math import ceil
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +52,21 @@ def jittered(wait: Column, share: float = 0.1) -> Column:
     return wait * (1 + (F.rand() * 2 - 1) * share)
 
 
+#: What every request for an object of a schema starts with.
+FIXED = "Return exactly one JSON object that validates against the requested schema.\nDo not include markdown, code fences, commentary, or extra keys.\nUse double-quoted JSON strings and no trailing commas."
+
+
+def request(prompt: str, schema_name: str, schema: str) -> str:
+    """Body with the two ``messages`` of a prompt."""
+    import json
+
+    user = f"{prompt.strip()}\n\nRequired response schema name: {schema_name}\nRequired JSON schema:\n{schema}"
+    return json.dumps({"messages": [{"role": "system", "content": FIXED}, {"role": "user", "content": user}], "stream": False}, ensure_ascii=False, separators=(",", ":"))
+
+
 def messages(prompt: Column, schema_name: Column, schema: Column, system: Column | None = None) -> Column:
     """System and user message that ask for one JSON object of a schema."""
-    fixed = F.lit(
-        "Return exactly one JSON object that validates against the requested schema.\nDo not include markdown, code fences, commentary, or extra keys.\nUse double-quoted JSON strings and no trailing commas."
-    )
+    fixed = F.lit(FIXED)
     head = fixed if system is None else F.concat_ws("\n", F.nullif(strip(system), F.lit("")), fixed)
     user = F.concat(strip(prompt), F.lit("\n\nRequired response schema name: "), schema_name, F.lit("\nRequired JSON schema:\n"), schema)
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -125,14 +136,10 @@ def call_model(rows: DataFrame, transport: Callable[[str], str], retries: int =
     once, and these take turns of one token bucket (``Pace``; clocks of executors must agree).
     Nothing here opens a connection.
     """
-    places = rows.sparkSession.sparkContext.defaultParallelism if rate_per_minute else 0
-    start = time.time()
+    places, start = callers(rows, rate_per_minute), time.time()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        pace = Pace(start, rate_per_minute, (context.partitionId() if context else 0) % places, places, time.time, time.sleep) if places else None
+        pace = _own_pace(start, rate_per_minute, places)
         for pdf in batches:
             out = [(one.id, *attempts(transport, one.body, retries, initial_wait, pace, time.sleep)) for one in pdf.itertuples()]
             yield pd.DataFrame(out, columns=["id", "response", "error"])
@@ -141,6 +148,38 @@ def call_model(rows: DataFrame, transport: Callable[[str], str], retries: int =
     return (asked.repartition(places) if places else asked).mapInPandas(run, "id string, response string, error string")
 
 
+def callers(rows: DataFrame, rate_per_minute: float | None) -> int:
+    """Tasks that take turns of a rate; 0 without one."""
+    return rows.sparkSession.sparkContext.defaultParallelism if rate_per_minute else 0
+
+
+def _own_pace(start: float, rate_per_minute: float | None, places: int) -> Pace | None:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return Pace(start, rate_per_minute, (context.partitionId() if context else 0) % places, places, time.time, time.sleep) if places else None
+
+
+def with_answers(rows: DataFrame, prompt: Column, answer: Callable[[str, Callable], tuple[str | None, str | None]], transport: Callable[[str], str], retries: int = 3, rate_per_minute: float | None = None, initial_wait: float = 1.0) -> DataFrame:
+    """Rows with ``_said``, struct(content, fault) of what ``answer`` makes of a prompt, null where that is null.
+
+    ``answer`` gets the prompt and a call, which sends a body as ``call_model`` does and gives
+    (response, error).  Rows stay where they are, so no answer has to be joined to its row.
+    """
+    places, start = callers(rows, rate_per_minute), time.time()
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pace = _own_pace(start, rate_per_minute, places)
+        call = lambda body: attempts(transport, body, retries, initial_wait, pace, time.sleep)
+        for prompts in batches:
+            said = [None if one is None else answer(one, call) for one in prompts.to_pylist()]
+            parts = [pa.array([one and one[k] for one in said], pa.string()) for k in (0, 1)]
+            yield pa.StructArray.from_arrays(parts, ["content", "fault"], mask=pa.array([one is None for one in said], pa.bool_()))
+
+    said = F.arrow_udf(run, "struct<content:string,fault:string>").asNondeterministic()
+    return (rows.repartition(places) if places else rows).withColumn("_said", said(prompt))
+
+
 def named_arguments(args: Column | str) -> Column:
     """Argument vector of a JSON object, in the object's order.
 

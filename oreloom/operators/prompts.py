@@ -40,10 +40,16 @@ def review(draft: Column) -> Column:
     return _prompt("Revise these instructions.", ("Keep every script and reference path.", "Avoid the first person.", "Number steps without gaps."), F.concat(F.lit("Draft:\n"), draft))
 
 
+#: What a repair starts with; and its parts, with how many characters of each it holds.
+MEND = "The response didn't match the schema. Return one corrected JSON object."
+PARTS = {"Error": 2000, "Schema": 3000, "Response": 4000}
+
+
 def repair(payload: Column, error: Column, schema: Column) -> Column:
     """Asks to mend a response that failed its schema; excerpts are bounded."""
-    cut = lambda x, n: F.substring(x, 1, n)
-    return F.concat_ws(
-        "\n\n", F.lit("The response didn't match the schema. Return one corrected JSON object."), F.concat(F.lit("Error:\n"), cut(error, 2000)), F.concat(F.lit("Schema:\n"), cut(schema, 3000)),
-        F.concat(F.lit("Response:\n"), cut(payload, 4000)),
-    )
+    return F.concat_ws("\n\n", F.lit(MEND), *(F.concat(F.lit(f"{name}:\n"), F.substring(x, 1, most)) for (name, most), x in zip(PARTS.items(), (error, schema, payload), strict=True)))
+
+
+def repair_text(payload: str, error: str, schema: str) -> str:
+    """``repair`` of texts, for a task that has just seen the fault."""
+    return "\n\n".join([MEND, *(f"{name}:\n{x[:most]}" for (name, most), x in zip(PARTS.items(), (error, schema, payload), strict=True))])

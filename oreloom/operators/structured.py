@@ -1,23 +1,25 @@
 """Structured model answers: call, check against a schema, repair once, else fall back.
 
-The transport is injected; rows whose answer doesn't hold keep their deterministic value.  A
-model's script stands beside the template's until both are validated (``first_passing``).
+The transport is injected; rows whose answer doesn't hold keep their deterministic value.  Rows
+stay in their task while a model is asked: answers are never joined to what they answer.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import let
+from ..functions.columns import let, once
 from ..functions.text import col
 from ..plans.storage import materialise
 from . import prompts
-from .agent import call_model, messages
-from .contracts import FILENAME
-from .validate import document_error, matches_script_error, response_error
+from .agent import request, with_answers
+from .contracts import FILENAME, script_error
+from .validate import first_document, first_verdict, matches_script_error, predicted_help_failure, validate_other_scripts, validated
 
 Transport = Callable[[str], str]
 #: Field -> JSON type of the answers asked for; a type that ends in ? may be missing or null.
@@ -34,8 +36,6 @@ _IS = {"string": "^STRING", "array": "^ARRAY", "number": "^(?:BIGINT|INT|SMALLIN
 
 def schema_json(fields: dict[str, str]) -> str:
     """The JSON schema that a request carries."""
-    import json
-
     kinds = {name: {"type": kind.rstrip("?")} for name, kind in fields.items()}
     return json.dumps({"type": "object", "properties": kinds, "required": [n for n, k in fields.items() if not k.endswith("?")], "additionalProperties": False})
 
@@ -55,42 +55,110 @@ def _schema_error(raw: Column, fields: dict[str, str]) -> Column:
     return F.coalesce(*found)
 
 
-def _checked(called: DataFrame, fields: dict[str, str], rule: Callable[[Column], Column] | None = None) -> DataFrame:
-    content = F.get_json_object("response", "$.choices[0].message.content")
-    further = [rule(content)] if rule else []
-    fault = F.coalesce(F.col("error"), response_error("response", tuple(fields)), schema_error(content, fields), *further)
-    return called.select("id", content.alias("content"), fault.alias("fault"), F.col("error").isNotNull().alias("unreached"))
+def _distinct(pairs: list[tuple]) -> dict:
+    if len(found := dict(pairs)) < len(pairs):
+        raise ValueError("a key stands twice")
+    return found
+
+
+def _refused(text: str) -> None:
+    raise ValueError(f"{text} is no JSON")
+
+
+def _at(value: object, *path: str | int) -> object:
+    """Value below a JSON value, None where there is none."""
+    for step in path:
+        if not isinstance(value, dict if isinstance(step, str) else list):
+            return None
+        value = value.get(step) if isinstance(step, str) else value[step] if step < len(value) else None
+    return value
+
+
+def _text(value: object) -> str | None:
+    """A JSON value as a string column has it."""
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+_TYPES = {"string": str, "array": list, "number": (int, float), "boolean": bool, "object": dict}
+
+
+def answer_fault(response: str, fields: dict[str, str], rule: Callable[[dict], str | None] | None = None) -> tuple[str | None, str | None]:
+    """(content, first fault) of a chat response: what ``response_error`` and ``schema_error`` find, then ``rule``.
+
+    Both texts are parsed once, where expressions would for every field and rule.
+    """
+    try:
+        body = json.loads(response)
+    except (ValueError, RecursionError):
+        body = None
+    content = _text(_at(body, "choices", 0, "message", "content"))
+    if _at(body, "choices", 0) is None:
+        return content, "chat completion response missing choices"
+    if _at(body, "choices", 0, "message") is None:
+        return content, "chat completion choice missing message"
+    if not (content or "").strip():
+        return content, "chat completion message missing JSON content"
+    content = content.encode("utf-8", "replace").decode("utf-8")  # half of a surrogate pair can't leave Python
+    try:
+        said = json.loads(content, object_pairs_hook=_distinct, parse_constant=_refused)
+    except (ValueError, RecursionError):
+        return content, "chat completion content was not strict JSON"
+    if not isinstance(said, dict):
+        return content, "chat completion JSON content must be an object"
+    if extra := said.keys() - fields.keys():
+        return content, "provider returned unexpected fields: " + ", ".join(sorted(extra))
+    for name, kind in fields.items():
+        value, plain = said.get(name), kind.rstrip("?")
+        if value is None and not kind.endswith("?"):
+            return content, f"{name}: field required"
+        if value is not None and (not isinstance(value, _TYPES[plain]) or isinstance(value, bool) and plain == "number"):
+            return content, f"{name}: must be a JSON {plain}"
+    return content, rule(said) if rule else None
 
 
-def answers(asked: DataFrame, transport: Transport, name: str, fields: dict[str, str], repairs: int = 1, rule: Callable[[Column], Column] | None = None, **call) -> DataFrame:
-    """(id, content, fault) of (id, prompt) rows.
+def ask(rows: DataFrame, prompt: Column, transport: Transport, name: str, fields: dict[str, str], repairs: int = 1, rule: Callable[[dict], str | None] | None = None, **call) -> DataFrame:
+    """Rows with ``_content`` and ``_fault`` of a model's answers to their prompts, both null where there is none.
 
     An answer that breaks its schema, or for which ``rule`` of its content gives an error, is
-    sent back with its fault, ``repairs`` times; a call that failed for good is not.
+    sent back with its fault, ``repairs`` times; a call that failed for good is not.  To be
+    written before it is read twice: every reading asks anew.
     """
-    schema = F.lit(schema_json(fields))
-    body = lambda prompt: F.to_json(F.struct(messages(prompt, F.lit(name), schema).alias("messages"), F.lit(False).alias("stream")))
-    done = materialise(_checked(call_model(asked.select("id", body(F.col("prompt")).alias("body")), transport, **call), fields, rule), "answers")
-    for _ in range(repairs):
-        bad = done.where("fault is not null and not unreached")
-        again = bad.select("id", body(prompts.repair(F.coalesce("content", F.lit("")), F.col("fault"), schema)).alias("body"))
-        mended = _checked(call_model(again, transport, **call), fields, rule)
-        done = materialise(done.join(bad.select("id"), "id", "left_anti").unionByName(mended), "answers")
-    return done.select("id", "content", "fault")
+    schema = schema_json(fields)
+
+    def answer(prompt: str, send: Callable) -> tuple[str | None, str | None]:
+        for _ in range(repairs + 1):
+            response, error = send(request(prompt, name, schema))
+            if error is not None:
+                return None, error
+            content, fault = answer_fault(response or "", fields, rule)
+            if fault is None:
+                break
+            prompt = prompts.repair_text(content or "", fault, schema)
+        return content, fault
+
+    out = with_answers(rows, prompt, answer, transport, **call)
+    return out.withColumns({"_content": F.col("_said.content"), "_fault": F.col("_said.fault")}).drop("_said")
+
+
+def answers(asked: DataFrame, transport: Transport, name: str, fields: dict[str, str], repairs: int = 1, rule: Callable[[dict], str | None] | None = None, **call) -> DataFrame:
+    """(id, content, fault) of (id, prompt) rows, by ``ask``."""
+    said = ask(asked.select("id", "prompt"), F.col("prompt"), transport, name, fields, repairs, rule, **call)
+    return materialise(said.select("id", F.col("_content").alias("content"), F.col("_fault").alias("fault")), "answers")
 
 
 def decide_with_model(decisions: DataFrame, transport: Transport, **call) -> DataFrame:
     """Decisions in which a model judged what the rules let pass; where its answer fails the rules' decision stays."""
     context = F.to_json(F.struct("stdlib_imports", "pip_imports", "internal_imports", "business_coupling", "side_effects"))
-    asked = decisions.where("decision = 'extract'").select(F.col("node_id").alias("id"), prompts.candidate(context).alias("prompt"))
-    said = answers(asked, transport, "CandidateDecision", DECISION, **call).where("fault is null")
-    got = lambda name, kind="string": F.try_variant_get("_said", f"$.{name}", kind)
-    said = said.withColumn("_said", F.try_parse_json("content")).select(F.col("id").alias("node_id"), *(got(n, {"array": "array<string>", "number": "double"}.get(k.rstrip("?"), "string")).alias(f"m_{n}") for n, k in DECISION.items()))
-    sound = ((F.col("m_decision") == "extract") & F.col("m_skill_id").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") & ~F.startswith("m_skill_id", F.lit("skill-"))) | ((F.col("m_decision") == "skip") & F.col("m_skill_id").isNull())
-    out = decisions.join(said.where(sound), "node_id", "left")
-    names = {"dep_names": "m_dependencies"} | {n: f"m_{n}" for n in DECISION if n != "dependencies"}
-    own = F.col("m_decision").isNotNull()
-    put = {n: F.coalesce(F.col(m), F.col(n)) for n, m in names.items()} | {"skill_id": F.when(own, F.col("m_skill_id")).otherwise(F.col("skill_id"))}
+    said = ask(decisions, F.when(F.col("decision") == "extract", prompts.candidate(context)), transport, "CandidateDecision", DECISION, **call)
+    value = F.when(F.col("_fault").isNull(), F.try_parse_json("_content"))
+    got = lambda name, kind="string": F.try_variant_get("_value", f"$.{name}", kind)
+    kinds = {n: {"array": "array<string>", "number": "double"}.get(k.rstrip("?"), "string") for n, k in DECISION.items()}
+    out = said.withColumn("_value", once(value)).withColumn("_m", once(F.when(F.col("_value").isNotNull(), F.struct(*(got(n, k).alias(n) for n, k in kinds.items())))))
+    m = lambda name: F.col(f"_m.{name}")
+    sound = ((m("decision") == "extract") & m("skill_id").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") & ~F.startswith(m("skill_id"), F.lit("skill-"))) | ((m("decision") == "skip") & m("skill_id").isNull())
+    out = out.withColumn("_own", once(F.coalesce(sound, F.lit(False))))
+    names = {"dep_names": "dependencies"} | {n: n for n in DECISION if n != "dependencies"}
+    put = {n: F.when(F.col("_own"), F.coalesce(m(k), F.col(n))).otherwise(F.col(n)) for n, k in names.items()} | {"skill_id": F.when(F.col("_own"), m("skill_id")).otherwise(F.col("skill_id"))}
     return out.select(*(put[c].alias(c) if c in put else F.col(c) for c in decisions.columns))
 
 
@@ -98,53 +166,71 @@ def _arguments(content: Column) -> Column:
     return F.from_json(F.get_json_object(content, "$.cli_arguments"), ARGUMENTS)
 
 
-def script_answer_error(content: Column) -> Column:
-    """First thing in a script answer that can't be packaged: a flag, a value type, a file name; else null."""
-    flag = F.exists(_arguments(content), lambda p: ~F.coalesce(p["flag"].rlike(r"^--[A-Za-z0-9][A-Za-z0-9_-]*\z"), F.lit(False)))
-    named = F.exists(_arguments(content), lambda p: (F.coalesce(p["name"], F.lit("")) == "") | (F.coalesce(p["help"], F.lit("")) == ""))
-    kind = F.exists(_arguments(content), lambda p: ~F.coalesce(p["value_type"].isin(*VALUE_TYPES), F.lit(False)))
-    name = F.get_json_object(content, "$.filename")
-    return (
-        F.when(flag, "cli_arguments: flags must start with --")
-        .when(named, "cli_arguments: name and help must be non-empty")
-        .when(kind, f"cli_arguments: value_type must be one of {', '.join(VALUE_TYPES)}")
-        .when(~name.rlike(FILENAME) | ~F.endswith(name, F.lit(".py")), "filename must be a safe single-file Python script")
-    )
+_FLAG, _NAME = re.compile(r"--[A-Za-z0-9][A-Za-z0-9_-]*"), re.compile(FILENAME.removesuffix(r"\z"))
 
 
-def scripts_with_model(scripts: DataFrame, contexts: DataFrame, transport: Transport, **call) -> DataFrame:
-    """Scripts that a model wrote for Python scripts' nodes, in their columns; one for each sound answer.
+def script_answer_fault(said: dict) -> str | None:
+    """First thing in a script answer that can't be packaged: a flag, a value type, a file name; else None."""
+    arguments = [{k: _text(v) for k, v in p.items()} if isinstance(p, dict) else {} for p in said.get("cli_arguments") or ()]
+    name = said.get("filename")
+    if not all(_FLAG.fullmatch(p.get("flag") or "") for p in arguments):
+        return "cli_arguments: flags must start with --"
+    if not all(p.get("name") and p.get("help") for p in arguments):
+        return "cli_arguments: name and help must be non-empty"
+    if not all(p.get("value_type") in VALUE_TYPES for p in arguments):
+        return f"cli_arguments: value_type must be one of {', '.join(VALUE_TYPES)}"
+    if name is not None and not (_NAME.fullmatch(name) and name.endswith(".py")):
+        return "filename must be a safe single-file Python script"
+    return None
 
-    ``contexts`` are the nodes that the scripts come from.  Flags, file name and example command
-    are the model's own: those of the template don't fit a text that it didn't write.  The
-    skill_id stays the decision's.
+
+def ask_scripts(scripts: DataFrame, prompt: Column, transport: Transport, **call) -> DataFrame:
+    """Scripts with ``_content``, a model's sound answer to their prompt, else null."""
+    said = ask(scripts, prompt, transport, "GeneratedScript", SCRIPT, rule=script_answer_fault, **call)
+    return said.withColumn("_content", F.when(F.col("_fault").isNull(), F.col("_content"))).drop("_fault")
+
+
+def _own_script() -> dict[str, Column]:
+    """A script's columns by a model's answer (``_content``).
+
+    Flags, file name and example command are the model's own: those of the template don't fit a
+    text that it didn't write.  The skill_id stays the decision's.
     """
-    of = contexts.join(scripts.where("language = 'python'").select("node_id", "skill_id"), "node_id", "left_semi")
-    asked = of.select(F.col("node_id").alias("id"), prompts.python_script(F.to_json(F.struct("decision", "reason", "tags"))).alias("prompt"))
-    said = answers(asked, transport, "GeneratedScript", SCRIPT, rule=script_answer_error, **call).where("fault is null")
-    got = lambda name: F.get_json_object("content", f"$.{name}")
-    said = said.select(F.col("id").alias("node_id"), *(got(n).alias(f"m_{n}") for n in ("script_text", "description", "filename", "example_command", "supports_help")), _arguments(F.col("content")).alias("m_arguments"))
-    out = scripts.where("language = 'python'").join(said, "node_id")
-    filename = F.coalesce("m_filename", "filename")
-    put = {
-        "script_text": F.col("m_script_text"), "description": F.coalesce("m_description", "description"), "filename": filename, "entry_symbol": F.lit("core_function"), "runtime_hint": F.lit("python"),
-        "cli_arguments": F.coalesce("m_arguments", F.array().cast(ARGUMENTS)), "kept_imports": F.array().cast("array<string>"), "supports_help": F.coalesce(F.col("m_supports_help") == "true", F.lit(True)),
-        "example_command": F.coalesce("m_example_command", F.concat(F.lit("python scripts/"), filename, F.lit(" --output json"))),
+    got = lambda name: F.get_json_object("_content", f"$.{name}")
+    filename = F.coalesce(got("filename"), "filename")
+    return {
+        "script_text": got("script_text"), "description": F.coalesce(got("description"), "description"), "filename": filename, "entry_symbol": F.lit("core_function"), "runtime_hint": F.lit("python"),
+        "cli_arguments": F.coalesce(_arguments(F.col("_content")), F.array().cast(ARGUMENTS)), "kept_imports": F.array().cast("array<string>"), "supports_help": F.coalesce(got("supports_help") == "true", F.lit(True)),
+        "example_command": F.coalesce(got("example_command"), F.concat(F.lit("python scripts/"), filename, F.lit(" --output json"))),
     }
-    return out.select(*(put.get(c, F.col(c)).alias(c) for c in scripts.columns))
 
 
-def first_passing(checked: DataFrame) -> DataFrame:
-    """Of each node's checked scripts (``writer`` model or template) the model's if it passed, else the template's."""
-    model = checked.where("writer = 'model' and passed")
-    return model.unionByName(checked.where("writer = 'template'").join(model.select("node_id"), "node_id", "left_anti"))
+def validate_either(scripts: DataFrame) -> DataFrame:
+    """``validate_scripts`` of each row's script by a model (``_content``) if that passes, else of the row's own.
+
+    Adds ``writer``, model or template.  A row whose own script breaks a field's rule, and whose
+    model's doesn't pass, is left out.
+    """
+    other = scripts.where("language <> 'python'").where(script_error().isNull()).drop("_content")
+    rows = scripts.where("language = 'python'")
+    put = _own_script()
+    taken = lambda rows, at: rows.withColumns({n: F.col(f"{at}.{n}") for n in put})
+    # struct by struct, so that neither is made anew for each of its fields
+    rows = rows.withColumns({"_mine": F.struct(*put), "_fits": script_error().isNull()})
+    own = taken(rows.withColumn("_own", once(F.when(F.col("_content").isNotNull(), F.struct(*(c.alias(n) for n, c in put.items()))))), "_own")
+    fit = F.col("_own").isNotNull() & script_error().isNull() & ~(F.col("supports_help") & predicted_help_failure())
+    own = own.withColumn("_fit", once(F.coalesce(fit, F.lit(False)))).where("_fit or _fits")
+    told = first_verdict(own, F.when(F.col("_fit"), F.col("script_text")), F.col("entry_symbol"), F.when(F.col("_fits"), F.col("_mine.script_text")), F.col("_mine.entry_symbol"))
+    told = taken(told.withColumn("_best", once(F.when(F.col("first"), F.col("_own")).otherwise(F.col("_mine")))).where("first or _fits"), "_best")
+    told = validated(told).withColumn("writer", F.when(F.col("first"), "model").otherwise("template")).drop("_content", "_mine", "_fits", "_own", "_fit", "_best", "first")
+    return told.unionByName(validate_other_scripts(other).withColumn("writer", F.lit("template")))
 
 
 def manuals_with_model(passed: DataFrame, transport: Transport, **call) -> DataFrame:
-    """Scripts whose ``instructions`` are a model's where those hold and fit the script, else as they came."""
-    asked = passed.select(F.col("node_id").alias("id"), prompts.manual(F.to_json(F.struct("skill_id", "filename", "description", "example_command", "cli_arguments", "script_text"))).alias("prompt"))
-    said = answers(asked, transport, "SkillDocument", MANUAL, **call).where("fault is null").select(F.col("id").alias("node_id"), F.get_json_object("content", "$.instructions").alias("instructions"))
-    of = passed.drop("instructions").join(said, "node_id")
-    sound = of.where(F.coalesce(document_error("instructions"), matches_script_error()).isNull()).select("node_id", F.col("instructions").alias("m_instructions"))
-    out = passed.join(sound, "node_id", "left")
-    return out.select(*(F.coalesce("m_instructions", c).alias(c) if c == "instructions" else F.col(c) for c in passed.columns))
+    """Scripts whose ``instructions`` are a model's where those hold and fit the script, else as they came; and the first error of those as ``doc_error``."""
+    prompt = prompts.manual(F.to_json(F.struct("skill_id", "filename", "description", "example_command", "cli_arguments", "script_text")))
+    said = ask(passed, prompt, transport, "SkillDocument", MANUAL, **call)
+    said = said.withColumnRenamed("instructions", "_mine").withColumn("instructions", once(F.when(F.col("_fault").isNull(), F.get_json_object("_content", "$.instructions"))))
+    told = said.withColumn("_told", first_document(F.when(matches_script_error().isNull(), F.col("instructions")), F.col("_mine")))
+    told = told.withColumn("instructions", F.when(F.col("_told.first"), F.col("instructions")).otherwise(F.col("_mine")))
+    return told.withColumn("doc_error", F.col("_told.fault")).select(*passed.columns, "doc_error")

@@ -12,12 +12,13 @@ from ..operators.decide import INVALID, decide
 from ..operators.dependencies import with_dependencies
 from ..operators.document import skill_document, skill_file
 from ..operators.extract import mine
+from ..operators.prompts import python_script
 from ..operators.registry import entries
 from ..operators.script import native_scripts, python_scripts
-from ..operators.structured import Transport, decide_with_model, first_passing, manuals_with_model, scripts_with_model
+from ..operators.structured import Transport, ask_scripts, decide_with_model, manuals_with_model, validate_either
 from ..operators.validate import document_error, validate_scripts
 from ..sources.scan import decode, scan_tree, with_runtime
-from .storage import materialise
+from .storage import ROUNDS, materialise
 
 SCRIPT = (
     "node_id", "ordinal", "file_path", "language", "node_type", "name", "start_byte", "start_line", "end_line", "decision", "reason", "skill_id", "source", "tags", "dep_names",
@@ -63,28 +64,27 @@ def mine_files(files: DataFrame, transport: Transport | None = None, partial: bo
     bad = files.where("error is not null").select(F.lit("decode").alias("stage"), F.col("path").alias("key"), "error")
     rejects = bad.unionByName(parsed.where("error is not null").select(F.lit("parse").alias("stage"), F.col("file_path").alias("key"), "error"))
     decided = decide(with_dependencies(nodes, files.select("path")))
-    decisions = materialise(decided.observe(seen["decisions"], rows, F.count(F.when(F.col("decision") == "extract", 1)).alias("extracted")), "decisions")
-    if transport:
-        decisions = materialise(decide_with_model(decisions, transport, **call), "decisions")
+    decided = decided.observe(seen["decisions"], rows, F.count(F.when(F.col("decision") == "extract", 1)).alias("extracted"))
+    decisions = materialise(decide_with_model(decided, transport, **call) if transport else decided, "decisions", ROUNDS)
     chosen = decisions.where("decision = 'extract'")
     # a Python script needs a function; a suffix-less one found by its shebang goes whole
     distilled = (F.col("language") == "python") & F.col("core_source").isNotNull()
     chosen = chosen.withColumn("runtime_hint", F.lit(None).cast("string"))
-    scripts = python_scripts(chosen.where(distilled)).select(*SCRIPT).unionByName(native_scripts(chosen.where(~F.coalesce(distilled, F.lit(False))), good).select(*SCRIPT))
-    # written, so that rules don't make the script's text anew wherever they look at it
-    template = materialise(scripts, "scripts").withColumn("writer", F.lit("template"))
-    scripts, unfit = split_valid(template, script_error(), "script", "node_id")
+    prompt = F.when(F.col("language") == "python", python_script(F.to_json(F.struct("decision", "reason", "tags")))) if transport else F.lit(None)
+    chosen, columns = chosen.withColumn("prompt", prompt), (*SCRIPT, "prompt")
+    scripts = python_scripts(chosen.where(distilled)).select(*columns).unionByName(native_scripts(chosen.where(~F.coalesce(distilled, F.lit(False))), good).select(*columns))
     if transport:
-        model = scripts_with_model(template.drop("writer"), decisions, transport, **call).withColumn("writer", F.lit("model"))
-        scripts = scripts.unionByName(split_valid(materialise(model, "modelscripts"), script_error(), "script", "node_id")[0])
-    checked = validate_scripts(scripts)
-    if transport:
-        checked = first_passing(materialise(checked, "candidates"))
-    checked = materialise(checked.observe(seen["scripts"], rows, F.count(F.when(F.col("passed"), 1)).alias("passed")), "checked")
+        scripts = ask_scripts(scripts, F.col("prompt"), transport, **call)
+    # written, so that rules don't make the script's text anew wherever they look at it
+    template = materialise(scripts.drop("prompt"), "scripts", ROUNDS)
+    scripts, unfit = split_valid(template.drop("_content"), script_error(), "script", "node_id")
+    checked = validate_either(template) if transport else validate_scripts(scripts.withColumn("writer", F.lit("template")))
+    checked = materialise(checked.observe(seen["scripts"], rows, F.count(F.when(F.col("passed"), 1)).alias("passed")), "checked", ROUNDS)
     passed = checked.where("passed").withColumn("instructions", skill_document())
     if transport:
-        passed = materialise(manuals_with_model(passed, transport, **call), "manuals")
-    passed = passed.withColumn("doc_error", document_error("instructions"))
+        passed = materialise(manuals_with_model(passed, transport, **call), "manuals", ROUNDS)
+    else:
+        passed = passed.withColumn("doc_error", document_error("instructions"))
     packages = passed.where("doc_error is null").withColumn("skill_md", skill_file())
     undocumented = passed.where("doc_error is not null").select(F.lit("document").alias("stage"), F.col("node_id").alias("key"), F.col("doc_error").alias("error"))
     skipped = decisions.where("decision = 'skip'").select("node_id", "source", "reason").unionByName(checked.where("not passed").select("node_id", "source", F.lit(INVALID).alias("reason")))

@@ -42,32 +42,49 @@ def _remove(spark: SparkSession, path: str) -> None:
 BATCH_ROWS = 1000
 
 
+#: Tasks that share a core's part of a table, at least, where work costs far more per row than reading it.
+ROUNDS = 4
+
+
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Bounds what executors and their Python workers hold of wide rows; the session's setting comes back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name)
-    if 0 < int(was) <= BATCH_ROWS:
+def _set(spark: SparkSession, name: str, value: str | None) -> Iterator[None]:
+    """A setting for a while, unless ``value`` is None; the session's comes back."""
+    if value is None:
         yield
         return
-    spark.conf.set(name, str(BATCH_ROWS))
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, was)
+        if was is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, was)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds what executors and their Python workers hold of wide rows; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with _set(spark, name, None if 0 < int(spark.conf.get(name)) <= BATCH_ROWS else str(BATCH_ROWS)):
+        yield
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, rounds: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return it reread.
 
     A lost executor later costs a reread, not a recomputation, and values made from
     task-local state (row numbers) stay fixed.  The table is removed by ``release``, or at
-    driver exit.
+    driver exit.  With ``rounds`` the files that ``df`` reads are dealt to so many tasks a core,
+    unless a task would get less than opening a file counts for: with hardly more tasks than
+    cores most cores wait for the last ones.
     """
-    path = scratch(df.sparkSession, tag)
-    with _small_batches(df.sparkSession):
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    with _small_batches(spark), _set(spark, "spark.sql.files.minPartitionNum", rounds and str(rounds * spark.sparkContext.defaultParallelism)):
         df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._oreloom_path = path
     return out
 
